@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmill.llm import chat, decontamination, embedding_dedup, language_id, line_dedup, packing, simhash, substring_dedup, token_store
+from textmill.llm import chat, decontamination, embedding_dedup, language_id, license_scan, line_dedup, packing, simhash, substring_dedup, token_store
 from textmill.llm.common import scratch_path
 from textmill.session import table
 
@@ -164,3 +164,36 @@ p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label
 r AS (SELECT vec_id, vec_id AS c FROM v UNION SELECT p.b, r.c FROM r JOIN p ON p.a = r.vec_id)
 SELECT vec_id, (SELECT count(*) FROM p WHERE p.a = r.vec_id) AS n_links, min(c) AS component_id, vec_id = min(c) AS kept FROM r GROUP BY vec_id
 """
+
+
+@query
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(table(spark, sf_dir, "documents"), F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")))
+    return found.select(F.col("id").alias("doc_id"), "license", "cosine", "found", "directory")
+
+
+_TEMPLATE_ROWS = ", ".join(f"('{k}', '{v}')" for k, v in license_scan.TEMPLATES.items())
+ORACLE_SQL["op2_license_scan"] = rf"""
+WITH tpl(license, text) AS (VALUES {_TEMPLATE_ROWS}),
+tt AS (SELECT license, unnest(list_distinct({_WORDS})) AS term FROM tpl),
+d AS (SELECT doc_id, concat_ws('/', source, lang, doc_id) AS path, coalesce(text, '') AS text FROM documents WHERE doc_id IS NOT NULL),
+dw AS (SELECT doc_id, unnest(list_distinct({_WORDS})) AS term FROM d),
+n AS (SELECT count(*) AS n FROM d),
+idf AS (SELECT v.term, (ln((n + 1) / (count(doc_id) + 1)) + 1) ^ 2 AS w FROM (SELECT DISTINCT term FROM tt) v CROSS JOIN n LEFT JOIN dw USING (term) GROUP BY v.term, n),
+li AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM d),
+lw AS (SELECT doc_id, line, list_distinct({_WORDS}) AS terms FROM li),
+lt AS (SELECT doc_id, line, len(terms) AS words, unnest(terms) AS term FROM lw),
+tot AS (SELECT doc_id, line, words, sum(w) + (words - count(w)) * (SELECT (ln(n + 1) + 1) ^ 2 FROM n) AS total FROM lt LEFT JOIN idf USING (term) GROUP BY doc_id, line, words),
+nrm AS (SELECT license, sum(w) AS norm FROM tt JOIN idf USING (term) GROUP BY license),
+dot AS (SELECT doc_id, line, license, sum(w) AS dot FROM lt JOIN tt USING (term) JOIN idf USING (term) GROUP BY doc_id, line, license),
+sc AS (SELECT doc_id, line, words, license, round(dot / sqrt(total * norm), 6) AS cosine FROM dot JOIN tot USING (doc_id, line) JOIN nrm USING (license)),
+ln AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY cosine DESC, license) AS r FROM sc WHERE cosine >= 0.6),
+own AS (SELECT doc_id, min_by(license, struct_pack(a := -cosine, b := license)) AS license, max(cosine) AS cosine, sum(words) AS in_license FROM ln WHERE r = 1 GROUP BY doc_id),
+dirs AS (SELECT regexp_replace(path, '(^|/)[^/]*$', '') AS directory, min_by(license, struct_pack(a := -cosine, b := license, c := path)) AS license, max(cosine) AS cosine
+         FROM d JOIN own USING (doc_id) WHERE in_license >= 0.5 * greatest(len({_WORDS}), 1) GROUP BY 1),
+up AS (SELECT doc_id, directory, dirs.license, dirs.cosine, row_number() OVER (PARTITION BY doc_id ORDER BY length(directory) DESC) AS r
+       FROM d JOIN dirs ON d.path LIKE directory || '/%' OR directory = '' WHERE doc_id NOT IN (SELECT doc_id FROM own))
+SELECT d.doc_id, coalesce(own.license, up.license) AS license, coalesce(own.cosine, up.cosine) AS cosine,
+       CASE WHEN own.license IS NOT NULL THEN 'own' WHEN up.license IS NOT NULL THEN 'inherited' END AS found, up.directory AS directory
+FROM d LEFT JOIN own USING (doc_id) LEFT JOIN up ON d.doc_id = up.doc_id AND up.r = 1
+"""
