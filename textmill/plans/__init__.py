@@ -1 +1,6 @@
+"""Registered queries; importing this package registers them all."""
 
+from textmill.plans import relational  # noqa: F401
+from textmill.plans.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
