@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm.common import prepare, rows_of, text_bytes
+from textmill.llm.common import prepare, rows_of, text_bytes, tidy
 from textmill.llm.tokenization import encoder
 
 WINDOW = 4096
@@ -101,7 +101,7 @@ def _pack(path: str, end_id: int, capacity: int) -> Callable:
         for batch in batches:
             ids = batch.column(0).to_pylist()
             for first, texts in rows_of(batch, 1, 2 << 20):
-                encoded = tokens.encode(["" if t is None else t.decode("utf-8", "replace") for t in texts])
+                encoded = tokens.encode(texts)
                 for i, data in enumerate(encoded):
                     data += end
                     n, at = len(data) // 4, 0
@@ -123,7 +123,7 @@ def _pack(path: str, end_id: int, capacity: int) -> Callable:
         if full:
             yield out(full)
 
-    return run
+    return tidy(run)
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", capacity: int = WINDOW) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmill.llm.common import prepare, rows_of, text_bytes
+from textmill.llm.common import prepare, rows_of, text_bytes, tidy
 from textmill.llm.tokenization import encoder
 
 STRIPE_BYTES = 16 << 20
@@ -26,7 +26,7 @@ def _encode(path: str, end_id: int) -> Callable:
         end, tokens = np.array([end_id], "<u4").tobytes(), encoder(path)
         for batch in batches:
             for first, texts in rows_of(batch, 1, 2 << 20):
-                data = [x + end for x in tokens.encode(["" if t is None else t.decode("utf-8", "replace") for t in texts])]
+                data = [x + end for x in tokens.encode(texts)]
                 counts = np.fromiter((len(x) // 4 for x in data), np.int64, len(data))
                 offsets = np.concatenate([[0], np.cumsum(counts)])
                 ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(data), "<i4")))
@@ -36,7 +36,7 @@ def _encode(path: str, end_id: int) -> Callable:
                 )
                 before += int(offsets[-1])
 
-    return run
+    return tidy(run)
 
 
 LAYOUT = "doc_id long, part int, start_in_part long, n_tokens long, ids array<int>"
@@ -80,6 +80,7 @@ def read_tokens(spark: SparkSession, path: str, doc_ids: list[int] | None = None
     return rows.join(F.broadcast(offsets), "part").select("doc_id", (F.col("before") + F.col("start_in_part")).alias("start"), "n_tokens", "ids")
 
 
+@tidy
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lists = batch.column(3)

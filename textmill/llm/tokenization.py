@@ -5,20 +5,56 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 
 import numpy as np
 
-MOST_CACHED = 600_000
-_SPACES = re.compile(r"\s")
+MOST_CACHED = 1_200_000
+# The white space, besides space and line feed, that Unicode knows, in UTF-8.
+_OTHER_SPACES = [c.encode() for c in "\t\x0b\x0c\r\x85\xa0                　"]
+
+
+# What the two pre-tokenizers cut with, said for printable ASCII and the accented letters of Latin-1.
+_LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+_PLAIN = re.compile(f"[!-~{_LETTER}]+")
+_ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
+_WORD_PATTERN = _ENDINGS + r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_WORD_CUT = re.compile(f"{_ENDINGS}|[{_LETTER}]+|[0-9]|[^\\s{_LETTER}0-9]+")
+_BYTE_CUT = re.compile(f"{_ENDINGS}| ?[{_LETTER}]+| ?[0-9]+| ?[^\\s{_LETTER}0-9]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: itself where it is visible, else the next from 256."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = (b for b in range(256) if b not in shown)
+    return {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+class _Pretokens(dict):
+    """Ids of single pre-tokens, from the library's model."""
+
+    def __init__(self, model) -> None:  # noqa: ANN001
+        super().__init__()
+        self.model, self.letters = model, _byte_letters()
+
+    def __missing__(self, part: str) -> bytes:
+        if len(self) > MOST_CACHED:
+            self.clear()
+        spelled = part.encode().decode("latin-1").translate(self.letters)
+        self[part] = ids = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+        return ids
 
 
 class PieceEncoder:
     """Gives exactly the ids of ``Tokenizer.encode(text, add_special_tokens=False)``, as little-endian uint32 bytes.
 
-    Both kinds of tokenizer files used here never merge across certain white space: byte-level ones cut before a single
-    space that follows and precedes other characters, lower-casing ones drop white space. A text is cut there, each
-    distinct piece is encoded once by the library, and cached ids are joined. Texts that hold an added token, or white
-    space for which this does not hold, are encoded whole by the library.
+    Neither kind of tokenizer file used here merges across certain white space: byte-level ones cut before a space
+    that is alone between two words, lower-casing ones drop ASCII white space. A text is cut there, each distinct piece is
+    encoded once by the library, and cached ids are joined. Texts that hold an added token, or white space for which this
+    does not hold, are encoded whole by the library. Missing pieces are encoded together, with an added token between
+    them: the library treats what stands between added tokens as texts of their own. Of pieces of plain letters, digits
+    and ASCII marks, which no normaliser but lower-casing changes, the pre-tokens are cut here and the library's model
+    encodes each distinct one once.
     """
 
     def __init__(self, path: str) -> None:
@@ -28,40 +64,84 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
-        self.added = [t["content"] for t in spec.get("added_tokens", [])]
+        self.added = [t["content"].encode() for t in spec["added_tokens"]]
+        self.between, self.between_id = spec["added_tokens"][-1]["content"], spec["added_tokens"][-1]["id"]
         steps = spec["pre_tokenizer"].get("pretokenizers", [spec["pre_tokenizer"]])
         self.drops_spaces = steps[0].get("behavior") == "Removed"
-        self.cache: dict[str, bytes] = {}
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def pieces(self, text: str) -> list[str] | None:
+        self.prefix = "" if self.drops_spaces else " "
+        self.cache: dict[bytes, bytes] = {}
+        model = spec["model"]
+        usual = model["type"] == "BPE" and not model.get("dropout") and not model.get("unk_token") and not model.get("ignore_merges")
+        known = steps[0].get("pattern", {}).get("Regex") == _WORD_PATTERN if self.drops_spaces else steps == [s for s in steps if s.get("use_regex") and not s.get("add_prefix_space")]
+        self.cut = (_WORD_CUT if self.drops_spaces else _BYTE_CUT) if usual and known else None
+        self.parts = _Pretokens(self.tokenizer.model)
+
+    def _together(self, texts: list[str]) -> list[bytes]:
+        ids = np.array(self.tokenizer.encode_batch_fast([self.between.join(texts)], add_special_tokens=False)[0].ids, "<u4")
+        cuts = np.flatnonzero(ids == self.between_id).tolist()
+        if len(cuts) != len(texts) - 1:
+            raise ValueError("an added token stands inside a piece")
+        data = ids.tobytes()
+        return [data[4 * a : 4 * b] for a, b in zip([0, *(c + 1 for c in cuts)], [*cuts, len(ids)], strict=True)]
+
+    def whole(self, text: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+
+    def pieces(self, text: bytes) -> list[bytes] | None:
         """The text's pieces, or None if it must be encoded whole."""
         if any(t in text for t in self.added):
             return None
         if self.drops_spaces:
             return text.split()
-        if "  " in text or text[:1] == " " or text[-1:] == " ":
+        if b"  " in text or b"\n \n" in text or text[:1] in b" \n" or text[-1:] in b" \n":
+            return None
+        if any(s in text for s in (_OTHER_SPACES[:4] if text.isascii() else _OTHER_SPACES)):
             return None
-        if not text.isascii() or "\t" in text or "\r" in text or "\x0b" in text or "\x0c" in text:
-            if any(x != " " and x != "\n" for x in _SPACES.findall(text)):
-                return None
-        first, *rest = text.split(" ")
-        return [first, *(" " + x for x in rest)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.pieces(t) for t in texts]
-        cache = self.cache
-        new = list({p for pieces in cut if pieces for p in pieces if p not in cache})
-        if len(cache) + len(new) > MOST_CACHED:
-            cache.clear()
-            new = list({p for pieces in cut if pieces for p in pieces})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            cache.update(zip(part, self._library(part), strict=True))
-        get = cache.__getitem__
-        return [b"".join(map(get, pieces)) if pieces is not None else self._library([text])[0] for text, pieces in zip(texts, cut, strict=True)]
+        # a space before the first piece too: it is cut off again in encode()
+        return text.split(b" ")
+
+    def _learn(self, pieces: list[bytes]) -> None:
+        if len(self.cache) + len(pieces) > MOST_CACHED:
+            self.cache.clear()
+        rest = []
+        for piece in pieces:
+            text = piece.decode("utf-8", "replace")
+            if self.cut and _PLAIN.fullmatch(text):
+                text = text.lower() if self.drops_spaces else self.prefix + text
+                self.cache[piece] = b"".join([self.parts[x] for x in self.cut.findall(text)])
+            else:
+                rest.append(piece)
+        for at in range(0, len(rest), 1024):
+            part = rest[at : at + 1024]
+            self.cache.update(zip(part, self._together([self.prefix + p.decode("utf-8", "replace") for p in part]), strict=True))
+
+    def encode(self, texts: list[bytes | None]) -> list[bytes]:
+        out: list[bytes] = [b""] * len(texts)
+        unfinished, missing, get = [], set(), self.cache.get
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            pieces = self.pieces(text)
+            if pieces is None:
+                out[i] = self.whole(text)
+                continue
+            if self.prefix:
+                out[i] = self.whole(pieces[0])
+                del pieces[0]
+            found = list(map(get, pieces))
+            if None in found:
+                lost = [p for p, f in zip(pieces, found, strict=True) if f is None]
+                missing.update(lost)
+                unfinished.append((i, pieces, found))
+            else:
+                out[i] += b"".join(found)
+        if missing:
+            new = list(missing)
+            self._learn(new)
+            fresh = {p: self.cache[p] for p in new}
+            for i, pieces, found in unfinished:
+                out[i] += b"".join([f if f is not None else fresh[p] for p, f in zip(pieces, found, strict=True)])
+        return out
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}
