@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm.common import forest, materialize, prepare
+from textmill.llm.common import forest, materialize, prepare, tidy
 from textmill.llm.components import connected_components
 
 COSINE = 0.98
@@ -84,6 +84,7 @@ def _matrix(values: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(values.to_pylist()), "<f8").reshape(len(values), -1) if len(values) else np.zeros((0, 1))
 
 
+@tidy
 def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, label, embedding) -> (id, label, dims, raw bytes, null where a vector links with nothing)."""
     for batch in batches:
@@ -124,7 +125,7 @@ def _deal(shared, radius: float) -> Callable:  # noqa: ANN001
                     ["rep", "label", "cell", "owner", "raw", "code", "error"],
                 )
 
-    return run
+    return tidy(run)
 
 
 def _search(shared, cosine: float) -> Callable:  # noqa: ANN001

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm.common import prepare, rows_of, text_bytes
+from textmill.llm.common import prepare, rows_of, text_bytes, tidy
 
 FEATURES = 4096
 PER_LANGUAGE = 400  # the bound of the training sample: so many documents of each language, about
@@ -120,6 +120,7 @@ def train(langs: list[str], x: np.ndarray) -> LanguageModel:
     return LanguageModel(families, [(a, b) for _, a, b in tasks], np.array(weights).reshape(len(tasks), FEATURES + 1))
 
 
+@tidy
 def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, langs, found = [], [], []
@@ -166,7 +167,7 @@ def _predict(shared) -> Callable:  # noqa: ANN001
             found = [model.predict(None if t is None else t.decode("utf-8", "replace")) for _, texts in rows_of(batch, 1) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["row", "lang_pred", "score"])
 
-    return run
+    return tidy(run)
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm.common import discard, materialize, prepare, rows_of, text_bytes
+from textmill.llm.common import discard, materialize, prepare, rows_of, text_bytes, tidy
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -76,9 +76,10 @@ def _fill(bits: int) -> Callable:
                 packed = [[at // SEGMENT], [zlib.compress(once, 1)], [zlib.compress(twice, 1)]]
                 yield pa.RecordBatch.from_arrays([pa.array(packed[0], pa.int64()), *(pa.array(x, pa.binary()) for x in packed[1:])], ["segment", "once", "twice"])
 
-    return run
+    return tidy(run)
 
 
+@tidy
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Segments sorted by number: what two tasks have both seen once is seen twice."""
     number, once, twice = None, None, None
@@ -112,7 +113,7 @@ def twice_seen(texts: DataFrame) -> np.ndarray:
         texts.mapInArrow(_fill(bits), "segment long, once binary, twice binary").repartition("segment").sortWithinPartitions("segment")
     )
     merged = np.zeros(bits // 8, np.uint8)
-    for row in segments.mapInArrow(_merge, "segment long, twice binary").toLocalIterator():
+    for row in segments.mapInArrow(_merge, "segment long, twice binary").collect():
         part = np.frombuffer(zlib.decompress(row.twice), np.uint8)
         merged[row.segment * SEGMENT :][: len(part)] = part
     return merged
@@ -144,9 +145,10 @@ def _suspects(shared) -> Callable:  # noqa: ANN001
                     lo.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), batch.column(0).take(pa.array(ids, pa.int64()))], ["hi", "lo", "id"])
 
-    return run
+    return tidy(run)
 
 
+@tidy
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(row, text, drops) -> (row, n_lines, n_dropped, kept)."""
     for batch in batches:

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm.common import discard, forest, materialize, prepare, rows_of, text_bytes
+from textmill.llm.common import discard, forest, materialize, prepare, rows_of, text_bytes, tidy
 from textmill.llm.components import connected_components
 
 SHINGLE = 3
@@ -40,6 +40,7 @@ def fingerprint(text: bytes | None) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(first)).tobytes(), "big", signed=True)
 
 
+@tidy
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prints = [fingerprint(t) for _, texts in rows_of(batch, 1) for t in texts]
@@ -102,6 +103,7 @@ def _links(keys: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return forest(np.concatenate(a), np.concatenate(b))
 
 
+@tidy
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (key, fp) sorted by key -> links; a bucket may span batches."""
     keys = prints = np.empty(0, np.int64)
