@@ -16,6 +16,8 @@ from textmill.llm.tokenization import encoder
 
 WINDOW = 4096
 BLOCK_WINDOWS = 192  # windows that are balanced together; bounds memory and the padding a block may leave
+FILL = 0.999  # a block is closed before it holds more than this share of its windows
+PIECE = 512  # what is left of a document is cut at so many ids: small pieces balance closely
 
 
 def difference(lengths: list[int], ways: int) -> np.ndarray:
@@ -72,7 +74,7 @@ def windows(lengths: list[int], capacity: int = WINDOW) -> np.ndarray:
         ways += 1
 
 
-def _pack(path: str, end_id: int, capacity: int) -> Callable:
+def _pack(path: str, end_id: int, capacity: int, piece: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         sequence = (context.partitionId() if context else 0) << 36
@@ -109,12 +111,11 @@ def _pack(path: str, end_id: int, capacity: int) -> Callable:
                         full.append((ids[first + i], at, data[4 * at : 4 * (at + capacity)], n, sequence, 0))
                         sequence += 1
                         at += capacity
-                    if at < n:
-                        rest.append((ids[first + i], at, data[4 * at :], n))
-                        waiting += n - at
-                    if waiting >= (BLOCK_WINDOWS - 1) * capacity:
+                    if rest and waiting + n - at > FILL * BLOCK_WINDOWS * capacity:
                         yield out(packed(rest))
                         rest, waiting = [], 0
+                    rest += [(ids[first + i], p, data[4 * p : 4 * (p + piece)], n) for p in range(at, n, piece)]
+                    waiting += n - at
                     if len(full) >= 256:
                         yield out(full)
                         full = []
@@ -126,15 +127,15 @@ def _pack(path: str, end_id: int, capacity: int) -> Callable:
     return tidy(run)
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", capacity: int = WINDOW) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", capacity: int = WINDOW, piece: int = PIECE) -> DataFrame:
     """(doc_id, start, ids, doc_tokens, sequence_id, offset): the pieces of all documents in sequences of at most ``capacity`` ids.
 
     ``tokenizer`` is the path of a tokenizers file on every machine; ids are little-endian uint32 bytes, each document
-    ends with ``end_id``. A document of ``capacity`` ids or more gives full sequences first; what is left of each is packed
-    by differencing, a block of about BLOCK_WINDOWS windows at a time, inside the task that encoded it: no shuffle, and memory
-    is one block. Sequence ids carry the task's number above bit 36, so they are unique and come out alike when a task is
+    ends with ``end_id``. A document of ``capacity`` ids or more gives full sequences first; what is left of each is cut at
+    ``piece`` ids and packed by differencing, a block of about BLOCK_WINDOWS windows at a time, inside the task that encoded it:
+    no shuffle, and memory is one block. Sequence ids carry the task's number above bit 36, so they are unique and come out alike when a task is
     run again. Null and empty texts are their end id alone; null and repeated ids are carried as they are.
     """
     prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text"))
-    return rows.mapInArrow(_pack(tokenizer, end_id, capacity), "doc_id long, start long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return rows.mapInArrow(_pack(tokenizer, end_id, capacity, piece), "doc_id long, start long, ids binary, doc_tokens long, sequence_id long, offset long")
