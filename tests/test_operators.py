@@ -202,3 +202,28 @@ def test_scans_are_pruned_and_filters_pushed(spark, sf_dir):
     plan = QUERIES["p02_export_filter"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [In(o_custkey" in plan or "PushedFilters: [IsNotNull" in plan
     assert "o_totalprice" not in plan.split("ReadSchema")[1]
+
+
+def test_quota_selection_meets_minimums_and_keeps_rank_order():
+    from textmill.operators.selection import Candidate, covering_units, prefix_reorder, quota_selection
+
+    rows = [Candidate(str(i), i, scope) for i, scope in enumerate("aaabbc", 1)]
+    assert [c.id for c in quota_selection(rows, {"c": 1, "b": 1}, 4)] == ["1", "2", "4", "6"]
+    assert [c.id for c in prefix_reorder(rows, 2, {"c": 1})] == ["6", "1", "2", "3", "4", "5"]
+    assert prefix_reorder(rows, 0, {"c": 1}) == rows
+    units = [("u1", frozenset("x"), 5), ("u2", frozenset("y"), 5), ("u3", frozenset("xy"), 50)]
+    assert covering_units(units, "xy", 20) == ["u1", "u2"] and covering_units(units, "xy", 60) == ["u3"] and covering_units(units, "xyz", 99) == []
+
+
+def test_spans_and_overlaps():
+    from textmill.functions import spans
+
+    assert spans.strip_repeated_prefix("hello world", "world again") == " again"
+    assert spans.merge_paths(["Home", "A", "B"], ["b", "C"]) == ["A", "B", "C"]
+    assert spans.fuzzy_span("one  Two three", "one two") == (0, 8) and spans.fuzzy_span("abc", "zzz") is None
+    assert spans.parse_events(["event: a\nda", "ta: 1\ndata: 2\n\nda", "ta: x\n\n"]) == [("a", "1\n2"), ("message", "x")]
+    assert spans.table_blocks("| a | b |\n|---|---|\n| 1 | 2 |\n| 3 |  |\nend") == ["a: 1; b: 2\na: 3"]
+    assert spans.collect_ids('{"x": {"id": [1, [2]]}, "id": 1}', ("id",)) == ["1", "2"]
+    assert spans.remove_boilerplate("x\nx\n---\nPhone:\n123\n\n\ny", [])["text"] == "x\n\ny"
+    assert spans.centered_window("alpha beta gamma delta", 6, 10, 12) == "alpha beta gamma"
+    assert spans.sentence_chunks("A b. C d. E f.", 9, 4) == ["A b. C d.", "C d. E f."]

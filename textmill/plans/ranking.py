@@ -145,10 +145,10 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return ranking.top_k(table(spark, d, "conversations"), ["conv_id"], [F.desc(F.char_length("text")), F.col("turn")], 3).select("conv_id", "turn")
 
 
-@query("k17_parent_ranking", "SELECT l_suppkey, min(l_linenumber) AS best, least(count(*), 8) AS n, row_number() OVER (ORDER BY min(l_linenumber), least(count(*), 8) DESC, l_suppkey) AS rank FROM lineitem WHERE l_quantity > 49 GROUP BY 1")
+@query("k17_parent_ranking", "SELECT l_suppkey, min(l_linenumber) AS best, least(count(*), 8) AS n FROM lineitem WHERE l_quantity > 49 GROUP BY 1 ORDER BY best, n DESC, l_suppkey LIMIT 50")
 def _(spark: SparkSession, d: str) -> DataFrame:
     grouped = table(spark, d, "lineitem").where("l_quantity > 49").groupBy("l_suppkey").agg(F.min("l_linenumber").alias("best"), F.least(F.count("*"), F.lit(8)).alias("n"))
-    return grouped.withColumn("rank", F.row_number().over(Window.orderBy("best", F.desc("n"), "l_suppkey")))
+    return grouped.orderBy("best", F.desc("n"), "l_suppkey").limit(50)
 
 
 @query("k18_risk_top", "SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS i, count(*) OVER (PARTITION BY source) AS n FROM documents) WHERE i <= least(3, ceil(n * 0.1))")
@@ -165,9 +165,9 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return ranking.choose_profile(profiles, ["o_custkey"], ["o_orderkey"]).select("o_custkey", "o_orderkey")
 
 
-@query("k20_case_folded_sort", "SELECT p_partkey, row_number() OVER (ORDER BY lower(p_brand), lower(p_type), p_partkey) AS position FROM part")
+@query("k20_case_folded_sort", "SELECT p_partkey, p_brand, p_type FROM part ORDER BY lower(p_brand), lower(p_type), p_partkey")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").select("p_partkey", F.row_number().over(Window.orderBy(F.lower("p_brand"), F.lower("p_type"), "p_partkey")).alias("position"))
+    return table(spark, d, "part").select("p_partkey", "p_brand", "p_type").orderBy(F.lower("p_brand"), F.lower("p_type"), "p_partkey")
 
 
 @query("k21_nearest_anchor", "SELECT l_orderkey, arg_min(anchor, (round(w, 9), anchor)) AS anchor, round(min(w), 6) AS distance FROM (SELECT l_orderkey * 10 + l_linenumber AS l_orderkey, anchor, 0.7::DOUBLE * (l_discount - d) ** 2 + 0.3::DOUBLE * (l_tax - t) ** 2 AS w FROM lineitem, (VALUES ('calm', 0.02::DOUBLE, 0.01::DOUBLE), ('tense', 0.08, 0.02), ('warm', 0.05, 0.07)) v(anchor, d, t)) GROUP BY 1")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textmill.functions import text
@@ -62,11 +62,11 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return a.join(b, (F.col("a.conv_id") == F.col("b.conv_id")) & (F.col("a.turn") < F.col("b.turn"))).where(alike).select("a.conv_id", "a.turn", F.col("b.turn").alias("other"))
 
 
-@query("x03_restored_scores", "SELECT n_nationkey, coalesce(score, 0) AS score, row_number() OVER (ORDER BY coalesce(score, 0) DESC, n_nationkey) AS position FROM nation LEFT JOIN (SELECT s_nationkey, round(max(s_acctbal), 2) AS score FROM supplier GROUP BY 1) ON n_nationkey = s_nationkey")
+@query("x03_restored_scores", "SELECT n_nationkey, coalesce(score, 0) AS score FROM nation LEFT JOIN (SELECT s_nationkey, round(max(s_acctbal), 2) AS score FROM supplier GROUP BY 1) ON n_nationkey = s_nationkey ORDER BY score DESC, n_nationkey LIMIT 15")
 def _(spark: SparkSession, d: str) -> DataFrame:
     best = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.round(F.max("s_acctbal"), 2).alias("score"))
     rows = table(spark, d, "nation").join(best, "n_nationkey", "left").select("n_nationkey", F.coalesce("score", F.lit(0.0)).alias("score"))
-    return rows.withColumn("position", F.row_number().over(Window.orderBy(F.desc("score"), "n_nationkey")))
+    return rows.orderBy(F.desc("score"), "n_nationkey").limit(15)
 
 
 @query("x05_cache_accounting", "SELECT count(*) FILTER (WHERE c.h IS NOT NULL) AS hits, count(*) FILTER (WHERE c.h IS NULL) AS misses FROM (SELECT DISTINCT md5(text) AS h FROM documents) k LEFT JOIN (SELECT DISTINCT md5(text) AS h FROM documents WHERE doc_id % 3 = 0) c USING (h)")
