@@ -252,3 +252,27 @@ def excel_cell(text: Column, most: int = 32767, marker: str = " [truncated]") ->
 def image_references(markdown: Column) -> Column:
     found = F.regexp_extract_all(markdown, F.lit(r"!\[[^\]]*\]\(([^)\s]+)[^)]*\)"), F.lit(1))
     return F.filter(F.transform(found, lambda x: F.regexp_replace(x, "[?#].*$", "")), lambda x: ~F.lower(x).rlike("^(data:|https?:)"))
+
+
+def url_identity(url: Column, folded: list[str]) -> Column:
+    """The canonical URL without the query keys that only choose a view of one page."""
+    canonical = canonical_url(url)
+    keys = "|".join(map(re.escape, folded))
+    return F.regexp_replace(F.regexp_replace(canonical, rf"(?<=[?&])({keys})=[^&]*&?", ""), "[?&]$", "")
+
+
+def query_terms(text: Column, expansions: dict[str, list[str]]) -> Column:
+    """The distinct words in order, then what they expand to."""
+    said = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
+    table = F.create_map(*(x for k, v in expansions.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
+    more = F.flatten(F.transform(said, lambda w: F.coalesce(F.try_element_at(table, w), F.array().cast("array<string>"))))
+    return F.array_distinct(F.concat(said, more))
+
+
+def context_label(parts: dict[str, Column]) -> Column:
+    """``name: value`` for each part that is not empty, one a line."""
+    return F.concat_ws("\n", *(F.when(F.trim(v) != "", F.concat(F.lit(f"{k}: "), F.trim(v))) for k, v in parts.items()))
+
+
+def rating_label(text: Column) -> Column:
+    return F.nullif(F.upper(F.regexp_extract(text, r"(?i)\brating\s*[:=]\s*([a-e][+-]?)", 1)), F.lit(""))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textmill.functions import similarity, text
-from textmill.operators import evaluation, ranking
+from textmill.operators import evaluation, joins, ranking
 from textmill.plans.registry import query
 from textmill.session import table
 
@@ -356,3 +356,35 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 @query("x13_longest_run", "WITH m AS (SELECT user_id, value, value > 20 AS up, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - row_number() OVER (PARTITION BY user_id, value > 20 ORDER BY ts, event_id) AS g FROM events), r AS (SELECT user_id, g, count(*) AS n, max(value) - min(value) AS r FROM m WHERE up GROUP BY 1, 2), b AS (SELECT user_id, max(n) AS longest, sum(n)::BIGINT AS active, max((n, r)) AS b FROM r GROUP BY 1) SELECT u.user_id, coalesce(longest, 0) AS longest, coalesce(active, 0) AS active, round(coalesce(b[2], 0), 6) AS range FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN b USING (user_id)")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.longest_run(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], "value", 20.0)
+
+
+@query("f08_url_identity", f"SELECT page_id, regexp_replace(regexp_replace(canonical, '([?&])page=[^&]*&?', '\\1'), '[?&]$', '') AS identity FROM ({_URL})")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", text.url_identity(F.col("url"), ["page"]).alias("identity"))
+
+
+@query("f14_query_terms", r"""WITH w AS (SELECT item_id, unnest(a) AS w, generate_subscripts(a, 1) AS i FROM (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS a FROM benchmark)), u AS (SELECT item_id, w, min(i) AS i FROM w GROUP BY 1, 2),
+e AS (SELECT item_id, w, i FROM u UNION ALL SELECT item_id, x, 1000000 + j FROM u, (VALUES ('der', 1), ('la', 2)) v(x, j) WHERE w = 'the'), f AS (SELECT item_id, w, min(i) AS i FROM e GROUP BY 1, 2) SELECT item_id, string_agg(w, ' ' ORDER BY i) AS terms FROM f GROUP BY 1""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "benchmark").select("item_id", F.array_join(text.query_terms(F.col("text"), {"the": ["der", "la"]}), " ").alias("terms"))
+
+
+@query("f15_context_label", "SELECT doc_id, 'scope: ' || lang || chr(10) || 'source: ' || source AS label FROM documents")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    parts = {"scope": F.col("lang"), "title": F.lit("  "), "section": F.lit(None).cast("string"), "source": F.col("source")}
+    return table(spark, d, DOCS).select("doc_id", text.context_label(parts).alias("label"))
+
+
+@query("f40_rating_labels", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'B+' END AS rating FROM orders")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    said = F.when(F.col("o_orderstatus") == "F", "the Rating: b+ was given").otherwise("no rating")
+    return table(spark, d, "orders").select("o_orderkey", text.rating_label(said).alias("rating"))
+
+
+@query("u16_evidence_with_neighbours", "SELECT a.conv_id, a.turn AS anchor, string_agg(b.turn::VARCHAR, ',' ORDER BY b.turn) AS added FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND abs(a.turn - b.turn) = 1 AND b.role <> 'assistant' WHERE a.role = 'assistant' GROUP BY 1, 2")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    turns = table(spark, d, "conversations").select("conv_id", "turn", "role")
+    chosen = turns.where("role = 'assistant'").select("conv_id", "turn")
+    near = joins.neighbours(chosen, turns.select("conv_id", "turn"), ["conv_id"], "turn", 1)
+    fresh = near.join(chosen.withColumnRenamed("turn", "neighbour"), ["conv_id", "neighbour"], "left_anti")
+    return fresh.groupBy("conv_id", "anchor").agg(F.array_join(F.transform(F.array_sort(F.collect_list("neighbour")), lambda x: x.cast("string")), ",").alias("added"))
