@@ -9,6 +9,7 @@ from textmill.functions import text
 from textmill.operators import dedup, ranking, selection
 from textmill.plans.registry import query
 from textmill.session import table
+from textmill.sources import files
 
 
 def _ranked(spark: SparkSession, d: str) -> DataFrame:
@@ -126,3 +127,27 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 def _(spark: SparkSession, d: str) -> DataFrame:
     labels = table(spark, d, "labels").select("doc_id", F.lit(True).alias("there"))
     return table(spark, d, "documents").join(labels, "doc_id", "left").agg(F.count("*").alias("documents"), F.count_if(F.col("there").isNull()).alias("missing"))
+
+
+@query("k03_index_choice", "SELECT label, count(*) >= 50 OR label = 3 AS approximate FROM embeddings GROUP BY 1")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    sizes = table(spark, d, "embeddings").groupBy("label").agg(F.count("*").alias("n"))
+    return sizes.select("label", ranking.ann_eligible(F.col("n"), 50, F.col("label") == 3).alias("approximate"))
+
+
+@query("k06_overfetch", "SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS i FROM documents) WHERE i <= 12")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    first, _more = ranking.overfetch(3)
+    return ranking.top_k(table(spark, d, "documents"), ["source"], [F.desc("n_chars"), F.col("doc_id")], first).select("source", "doc_id")
+
+
+@query("t11_lease_replay", "WITH f AS (SELECT *, 4 - sum((o_orderstatus = 'F')::INT) OVER (PARTITION BY o_custkey) AS free FROM orders), w AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_orderkey) AS place FROM f WHERE o_orderstatus <> 'F') SELECT o_orderkey FROM w WHERE place <= free")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    requests = table(spark, d, "orders").withColumn("active", F.col("o_orderstatus") == "F")
+    return ranking.admitted(requests, ["o_custkey"], [F.col("o_orderpriority"), F.col("o_orderkey")], 4, "active").select("o_orderkey")
+
+
+@query("s19_metadata", "SELECT key, value FROM (VALUES ('model', 'b'), ('size', '1'), ('build', '7')) t(key, value)")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    stored = spark.createDataFrame([("model", "a"), ("size", "1")], "key string, value string")
+    return files.upsert(stored, spark.createDataFrame([("model", "b"), ("build", "7")], "key string, value string"), ["key"])
