@@ -9,18 +9,18 @@ from array import array
 
 import numpy as np
 
-MOST_CACHED = 1_200_000
+MOST_CACHED = 600_000  # entries of a cache's younger half; the elder half is as long at most
 # The white space, besides space and line feed, that Unicode knows, in UTF-8.
 _OTHER_SPACES = [c.encode() for c in "\t\x0b\x0c\r\x85\xa0                　"]
 
 
 # What the two pre-tokenizers cut with, said for printable ASCII and the accented letters of Latin-1.
 _LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
-_PLAIN = re.compile(f"[!-~{_LETTER}]+")
+_PLAIN = re.compile(f"[!-~\n{_LETTER}]+")
 _ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
 _WORD_PATTERN = _ENDINGS + r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _WORD_CUT = re.compile(f"{_ENDINGS}|[{_LETTER}]+|[0-9]|[^\\s{_LETTER}0-9]+")
-_BYTE_CUT = re.compile(f"{_ENDINGS}| ?[{_LETTER}]+| ?[0-9]+| ?[^\\s{_LETTER}0-9]+")
+_BYTE_CUT = re.compile(f"{_ENDINGS}| ?[{_LETTER}]+| ?[0-9]+| ?[^\\s{_LETTER}0-9]+|\\s+(?!\\S)|\\s+")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -31,19 +31,27 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Pretokens(dict):
-    """Ids of single pre-tokens, from the library's model."""
+    """Ids of single pre-tokens, from the library's model; what was not used for two fillings is forgotten."""
 
     def __init__(self, model) -> None:  # noqa: ANN001
         super().__init__()
-        self.model, self.letters = model, _byte_letters()
+        self.tokenize, self.letters, self.elder = model.tokenize, _byte_letters(), {}
 
     def __missing__(self, part: str) -> bytes:
-        if len(self) > MOST_CACHED:
+        if len(self) > MOST_CACHED // 4:
+            self.elder = dict(self)
             self.clear()
-        spelled = part.encode().decode("latin-1").translate(self.letters)
-        self[part] = ids = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+        ids = self.elder.pop(part, None)
+        self[part] = ids = self.model_ids(part) if ids is None else ids
         return ids
 
+    def model_ids(self, part: str) -> bytes:
+        if part.isascii() and part.isprintable():
+            spelled = self.letters[32] + part[1:] if part[0] == " " else part
+        else:
+            spelled = part.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.tokenize(spelled)]).tobytes()
+
 
 class PieceEncoder:
     """Gives exactly the ids of ``Tokenizer.encode(text, add_special_tokens=False)``, as little-endian uint32 bytes.
@@ -70,6 +78,7 @@ class PieceEncoder:
         self.drops_spaces = steps[0].get("behavior") == "Removed"
         self.prefix = "" if self.drops_spaces else " "
         self.cache: dict[bytes, bytes] = {}
+        self.elder: dict[bytes, bytes] = {}
         model = spec["model"]
         usual = model["type"] == "BPE" and not model.get("dropout") and not model.get("unk_token") and not model.get("ignore_merges")
         known = steps[0].get("pattern", {}).get("Regex") == _WORD_PATTERN if self.drops_spaces else steps == [s for s in steps if s.get("use_regex") and not s.get("add_prefix_space")]
@@ -102,22 +111,34 @@ class PieceEncoder:
 
     def _learn(self, pieces: list[bytes]) -> None:
         if len(self.cache) + len(pieces) > MOST_CACHED:
-            self.cache.clear()
-        rest = []
+            self.elder, self.cache = self.cache, {}
+        rest, cache, parts, again = [], self.cache, self.parts, self.elder.pop
         for piece in pieces:
-            text = piece.decode("utf-8", "replace")
-            if self.cut and _PLAIN.fullmatch(text):
-                text = text.lower() if self.drops_spaces else self.prefix + text
-                self.cache[piece] = b"".join([self.parts[x] for x in self.cut.findall(text)])
-            else:
-                rest.append(piece)
+            ids = again(piece, None)
+            if ids is None:
+                word, mark = (piece[:-1], piece[-1:]) if piece[-1:] in (b",", b".") else (piece, b"")
+                if self.cut and word.isalpha():  # ASCII letters, and the mark that most often follows them
+                    plain = word.lower() if self.drops_spaces else word
+                    ids = cache.get(plain)
+                    if ids is None:
+                        ids = parts.model_ids(self.prefix + plain.decode())
+                        cache[plain] = ids
+                    if mark:
+                        ids += parts[mark.decode()]
+                elif self.cut and _PLAIN.fullmatch(text := piece.decode("utf-8", "replace")):
+                    ids = b"".join([parts[x] for x in self.cut.findall(text.lower() if self.drops_spaces else " " + text)])
+                else:
+                    rest.append(piece)
+                    continue
+            cache[piece] = ids
         for at in range(0, len(rest), 1024):
             part = rest[at : at + 1024]
             self.cache.update(zip(part, self._together([self.prefix + p.decode("utf-8", "replace") for p in part]), strict=True))
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
+        """Ids of each text. The distinct pieces of all texts are looked up once, in a table small enough to stay near the CPU."""
         out: list[bytes] = [b""] * len(texts)
-        unfinished, missing, get = [], set(), self.cache.get
+        cut: list[tuple[int, list[bytes]]] = []
         for i, text in enumerate(texts):
             if not text:
                 continue
@@ -128,19 +149,17 @@ class PieceEncoder:
             if self.prefix:
                 out[i] = self.whole(pieces[0])
                 del pieces[0]
-            found = list(map(get, pieces))
-            if None in found:
-                lost = [p for p, f in zip(pieces, found, strict=True) if f is None]
-                missing.update(lost)
-                unfinished.append((i, pieces, found))
-            else:
-                out[i] += b"".join(found)
+            cut.append((i, pieces))
+        distinct = list(set().union(*(pieces for _, pieces in cut)))
+        found = list(map(self.cache.get, distinct))
+        missing = [p for p, ids in zip(distinct, found, strict=True) if ids is None]
+        local = dict(zip(distinct, found, strict=True))
         if missing:
-            new = list(missing)
-            self._learn(new)
-            fresh = {p: self.cache[p] for p in new}
-            for i, pieces, found in unfinished:
-                out[i] += b"".join([f if f is not None else fresh[p] for p, f in zip(pieces, found, strict=True)])
+            self._learn(missing)
+            local.update(zip(missing, map(self.cache.__getitem__, missing), strict=True))
+        get = local.__getitem__
+        for i, pieces in cut:
+            out[i] += b"".join(map(get, pieces))
         return out
 
 
