@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
 import functools
 import gc
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -55,14 +57,22 @@ def shared_folder(spark: SparkSession) -> str:
     if folder := spark.conf.get("spark.checkpoint.dir", None):
         return folder.rstrip("/")
     if spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master:
-        folder = "file://" + tempfile.mkdtemp(prefix="textmill-")
+        own = tempfile.mkdtemp(prefix="textmill-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        folder = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", folder)
         return folder
     raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/textmill/{label}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/textmill/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all that this application has materialized; results that were not written yet can then not be read any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/textmill/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
