@@ -9,8 +9,10 @@ import pandas as pd
 
 
 def plain(value) -> str:  # noqa: ANN001
-    if value is None or value is pd.NaT or (isinstance(value, float) and value != value):
+    if value is None or value is pd.NaT or value is pd.NA or (isinstance(value, float) and value != value):
         return "null"
+    if isinstance(value, float) and value.is_integer():  # integers with nulls arrive as floats
+        return str(int(value))
     if isinstance(value, float):
         return repr(round(value, 6) + 0.0)
     if "bool" in type(value).__name__:
