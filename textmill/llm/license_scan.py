@@ -5,8 +5,6 @@ Built from DataFrame and SQL functions only.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +15,7 @@ COSINE = 0.6
 FILE_SHARE = 0.5  # a file is a licence file if so many of its words stand in license lines, or by its name
 FILE_NAME = r"(?i)(^|/)(licen[cs]e|copying|notice)(\.[a-z]+)?$"
 BROADCAST_DIRECTORIES = 100_000
+BROADCAST_TERMS = 500_000
 
 # Short notices by SPDX id.
 TEMPLATES = {
@@ -40,11 +39,30 @@ def template_terms(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
     return rows.select("license", F.explode(F.array_distinct(words("text"))).alias("term"))
 
 
-def term_weights(files: DataFrame, vocabulary: list[str], text_col: str) -> tuple[dict[str, float], float]:
-    """idf of each template term over all files, and of a term that no template has; the driver gets a row for each term."""
-    found = files.select(F.explode(F.array_intersect(F.array_distinct(words(text_col)), F.lit(vocabulary))).alias("term")).groupBy("term").count().collect()
-    rows, counts = files.count(), {r["term"]: r["count"] for r in found}
-    return {t: math.log((rows + 1) / (counts.get(t, 0) + 1)) + 1 for t in vocabulary}, math.log(rows + 1) + 1
+def term_counts(files: DataFrame, terms: DataFrame, text_col: str) -> DataFrame:
+    """(term, n): how many of all files hold each of the terms; they are broadcast only after they were counted."""
+    wanted = F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms
+    held = files.select(F.explode(F.array_distinct(words(text_col))).alias("term")).join(wanted, "term", "left_semi")
+    return wanted.join(held.groupBy("term").agg(F.count("*").alias("n")), "term", "left").select("term", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def weight(n: Column, files: int) -> Column:
+    """The squared idf of a term that n of the files hold."""
+    return F.pow(F.log(F.lit(files + 1) / (n + 1)) + 1, 2)
+
+
+def signal_terms(templates: dict[str, dict[str, float]], share: float) -> list[str]:
+    """Terms of which a text needs at least one: all others of any template together weigh less than ``share`` of its norm."""
+    left, signal = {k: share * sum(t.values()) for k, t in templates.items()}, []
+    weights = {term: w for t in templates.values() for term, w in t.items()}
+    for term in sorted(weights, key=lambda t: (weights[t], t)):
+        inside = [k for k, t in templates.items() if term in t]
+        if all(left[k] - weights[term] > 1e-9 for k in inside):
+            for k in inside:
+                left[k] -= weights[term]
+        else:
+            signal.append(term)
+    return signal
 
 
 def parent(path: Column) -> Column:
@@ -54,29 +72,33 @@ def parent(path: Column) -> Column:
 def license_lines(files: DataFrame, id_col: str, text_col: str, templates: dict[str, str], cosine: float) -> DataFrame:
     """(id, line, license, cosine, words): the best license of each line that reaches ``cosine``.
 
-    Lines and templates are sets of lower-case words weighed by idf. A line's cosine is at most the root of the share of
-    its squared weight that lies on template terms, so lines below that bound are left out before any join, and
-    none that could reach the threshold is lost.
+    Lines and templates are sets of lower-case words weighed by idf, with each word's document frequency over all files. A
+    line's squared weight is at least its product with a template, so a cosine of c needs a product of c**2 times the
+    template's squared weight. What is below that is left out before frequencies are counted for all words of the other
+    lines; none that could reach the threshold is lost.
     """
     spark = files.sparkSession
+    files = files.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    n_files, least = files.count(), (cosine - 1e-6) ** 2  # cosines are rounded to six digits
     terms = template_terms(spark, templates)
-    vocabulary = sorted({r.term for r in terms.select("term").distinct().collect()})
-    idf, unknown = term_weights(files, vocabulary, text_col)
-    weight = F.create_map(*(F.lit(x) for t in vocabulary for x in (t, idf[t] ** 2)))
-    lines = files.select(F.col(id_col).cast("long").alias("id"), F.posexplode(F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n", -1)).alias("line", "text"))
-    lines = lines.select("id", "line", F.array_distinct(words("text")).alias("terms")).select("id", "line", F.size("terms").alias("words"), F.array_intersect("terms", F.lit(vocabulary)).alias("known"))
-    lines = lines.where(F.size("known") > 0).select("id", "line", "words", "known", F.aggregate("known", F.lit(0.0), lambda a, t: a + F.element_at(weight, t)).alias("mass"))
-    lines = lines.withColumn("total", F.col("mass") + (F.col("words") - F.size("known")) * unknown**2).where(F.col("mass") >= (cosine**2 - 1e-9) * F.col("total"))
-    weights = spark.createDataFrame([(t, w**2) for t, w in idf.items()], "term string, w double")
-    norms = terms.join(F.broadcast(weights), "term").groupBy("license").agg(F.sum("w").alias("norm"))
+    counts = term_counts(files, terms.select("term").distinct(), "text").select("term", weight(F.col("n"), n_files).alias("w"))
+    weighed: dict[str, dict[str, float]] = {}
+    for r in terms.join(counts, "term").collect():
+        weighed.setdefault(r.license, {})[r.term] = r.w
     # one row for each term of each template: a fixed table
-    weighed = F.broadcast(terms.join(F.broadcast(weights), "term").join(F.broadcast(norms), "license"))
-    scored = (
-        lines.select("id", "line", "words", "total", F.explode("known").alias("term")).join(weighed, "term")
-        .groupBy("id", "line", "words", "total", "license", "norm").agg(F.sum("w").alias("dot"))
-        .withColumn("cosine", F.round(F.col("dot") / F.sqrt(F.col("total") * F.col("norm")), 6)).where(F.col("cosine") >= cosine)
-    )
-    best = scored.groupBy("id", "line", "words").agg(F.min(F.struct((-F.col("cosine")).alias("less"), F.col("license"))).alias("best"))
+    products = F.broadcast(spark.createDataFrame([(k, sum(t.values()), term, w) for k, t in weighed.items() for term, w in t.items()], "license string, norm double, term string, w double"))
+    near = files.where(F.arrays_overlap(words("text"), F.lit(signal_terms(weighed, least))))
+    lines = near.select("id", F.posexplode(F.split("text", "\n", -1)).alias("line", "text")).select("id", "line", F.array_distinct(words("text")).alias("terms"))
+    lines = lines.where(F.arrays_overlap("terms", F.lit(signal_terms(weighed, least)))).withColumn("unit", F.monotonically_increasing_id())
+    lines = materialize(lines, "license-candidates")
+    each = lines.select("unit", "id", "line", F.size("terms").alias("words"), F.explode("terms").alias("term"))
+    dots = each.join(products, "term").groupBy("unit", "license", "norm").agg(F.sum("w").alias("dot"))
+    dots = materialize(dots.where(F.col("dot") >= least * F.col("norm") - 1e-9), "license-products")
+    live = materialize(each.join(dots.select("unit").distinct(), "unit", "left_semi"), "license-terms")
+    found = term_counts(files, live.select("term").distinct(), "text")
+    totals = live.join(found, "term").groupBy("unit", "id", "line", "words").agg(F.sum(weight(F.col("n"), n_files)).alias("total"))
+    scored = dots.join(totals, "unit").withColumn("cosine", F.round(F.col("dot") / F.sqrt(F.col("total") * F.col("norm")), 6)).where(F.col("cosine") >= cosine)
+    best = scored.groupBy("unit", "id", "line", "words").agg(F.min(F.struct((-F.col("cosine")).alias("less"), F.col("license"))).alias("best"))
     return best.select("id", "line", "best.license", (-F.col("best.less")).alias("cosine"), "words")
 
 
