@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tests.oracle import compare
+from textmill.functions import text
 from textmill.plans import QUERIES
 
 WHOLE_SQL = {
@@ -17,6 +21,8 @@ WHOLE_SQL = {
     "j22_full_outer_allow_list": """SELECT coalesce(lower(a.c_name), lower(b.s_name)) AS name, a.c_custkey IS NOT NULL AS registered, b.s_suppkey IS NOT NULL AS allowed
         FROM (SELECT c_custkey, replace(c_name, 'Customer', 'Actor') AS c_name FROM customer) a
         FULL JOIN (SELECT s_suppkey, upper(CASE WHEN s_suppkey % 3 <> 0 THEN replace(s_name, 'Supplier', 'Actor') ELSE s_name END) AS s_name FROM supplier) b ON lower(a.c_name) = lower(b.s_name)""",
+    "w06_preceding_context": "SELECT conv_id, turn, coalesce(string_agg(text, '|') OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), '') AS context FROM conversations",
+    "x09_page_texts": "SELECT source, string_agg(text, ' ' ORDER BY first_id) AS text FROM (SELECT source, text, min(doc_id) AS first_id FROM documents GROUP BY 1, 2) GROUP BY 1",
 }
 
 
@@ -32,3 +38,31 @@ def late_ids(sf_dir, tmp_path_factory) -> str:
 @pytest.mark.parametrize("name", ["p05_json_key_removal", "p06_json_merge", "f49_json_ids", "f50_canonical_json", "w03_ordinality", "j22_full_outer_allow_list"])
 def test_no_subset_of_ids(spark, late_ids, name):
     compare(spark, QUERIES[name], WHOLE_SQL[name], late_ids)
+
+
+@pytest.mark.parametrize("name", ["w06_preceding_context", "x09_page_texts"])
+def test_whole_texts(spark, sf_dir, name):
+    compare(spark, QUERIES[name], WHOLE_SQL[name], sf_dir)
+
+
+def test_terms_after_the_first_words_count(spark, tmp_path):
+    body = "alpha " + "x y " * 13
+    docs = [(i, body, "en", "s") for i in range(11)] + [(11, body + "the of la " + " ".join(f"w{i}" for i in range(40)), "en", "s")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "alpha")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert "11" in {r.id for r in QUERIES["k11_quota_selection"](spark, str(tmp_path)).collect()}
+    assert min((r.position, r.id) for r in QUERIES["k12_prefix_reorder"](spark, str(tmp_path)).collect())[1] == "11"
+
+
+def prefixes(turn: str) -> list[str]:
+    return [re.split(r"[,.!?;:\n]", turn[: m.start()])[-1][-32:] for m in re.finditer(r"(?<![^\W_])(?:of|de|und)(?![^\W_])", turn)]
+
+
+def test_each_cue_is_negated_by_the_words_before_it(spark, sf_dir):
+    turns = ["x " * 40 + "the bank of it", "the of the", "the, of", "la der of", "a" * 31 + " of", "the " + "b" * 28 + " of", "the " + "b" * 30 + " of", "of de und", ""]
+    df = spark.createDataFrame([(t,) for t in turns], "t string").select("t", text.cue_prefixes(F.col("t"), r"(?<![\p{L}\p{N}])(?:of|de|und)(?![\p{L}\p{N}])", r",.!?;:\n", 32).alias("p"))
+    assert {r.t: r.p for r in df.collect()} == {t: prefixes(t) for t in turns}
+    negated = lambda t: any(len(re.findall(r"(?<![^\W_])(?:la|the|der)(?![^\W_])", p)) % 2 for p in prefixes(t.lower()))
+    wanted = sorted((c, n, negated(t)) for c, n, t in duckdb.sql(f"SELECT conv_id, turn, text FROM '{sf_dir}/conversations.parquet'").fetchall())
+    assert sorted(map(tuple, QUERIES["f33_negation_parity"](spark, sf_dir).collect())) == wanted
+    assert {x[2] for x in wanted} == {True, False}

@@ -215,6 +215,14 @@ def negated(prefix: Column, operators: str) -> Column:
     return F.regexp_count(prefix, F.lit(operators)) % 2 == 1
 
 
+def cue_prefixes(text: Column, cue: str, boundaries: str, window: int) -> Column:
+    """For each place of a cue, what stands before it in its clause, at most ``window`` characters."""
+    near, far = f"(?<=(?:^|[{boundaries}])([^{boundaries}]{{0,{window - 1}}}))", f"(?<=([^{boundaries}]{{{window}}}))"
+    parts = [F.regexp_extract_all(text, F.lit(f"(?={cue})(?:{near}|{far}){cue}"), F.lit(i)) for i in (1, 2)]
+    # where the second way matches, the first group can hold what was tried before
+    return F.zip_with(*parts, lambda a, b: F.when(b != "", b).otherwise(a))
+
+
 def excel_date(serial: Column) -> Column:
     return F.date_add(F.lit("1899-12-30").cast("date"), F.floor(serial).cast("int"))
 

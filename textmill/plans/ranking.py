@@ -46,7 +46,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 @query("w06_preceding_context", "SELECT conv_id, turn, coalesce(string_agg(left(text, 20), '|') OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), '') AS context FROM conversations")
 def _(spark: SparkSession, d: str) -> DataFrame:
     w = W("conv_id").orderBy("turn", "role", "text").rowsBetween(-4, -1)
-    return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(F.collect_list(F.substring("text", 1, 20)).over(w), "|").alias("context"))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(F.collect_list("text").over(w), "|").alias("context"))
 
 
 @query("w07_overflow_batches", "SELECT conv_id, turn FROM (SELECT conv_id, turn, count(*) OVER (PARTITION BY conv_id) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i FROM conversations) WHERE i <= (greatest(n - 2, 0) // 2) * 2")

@@ -14,9 +14,9 @@ from textmill.sources import files
 
 def _ranked(spark: SparkSession, d: str) -> DataFrame:
     found = ranking.bm25(table(spark, d, "documents"), table(spark, d, "benchmark").withColumnRenamed("text", "question"), "doc_id", "text", "item_id", "question", 21)
-    docs = table(spark, d, "documents").select("doc_id", "lang", "source", F.array_distinct(F.slice(ranking.terms("text"), 1, 20)).alias("terms"))
+    docs = table(spark, d, "documents").select("doc_id", "lang", "source", "text")
     return found.join(docs, "doc_id").select(
-        F.col("item_id").alias("query_id"), F.col("doc_id").cast("string").alias("id"), "rank", F.col("lang").alias("scope"), "source", F.lit("").alias("family"), F.lit("").alias("evidence"), "terms"
+        F.col("item_id").alias("query_id"), F.col("doc_id").cast("string").alias("id"), "rank", F.col("lang").alias("scope"), "source", F.lit("").alias("family"), F.lit("").alias("evidence"), F.array_distinct(ranking.terms("text")).alias("terms")
     )
 
 
@@ -79,9 +79,10 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("x09_page_texts", "SELECT source, string_agg(head, ' ' ORDER BY first_id) AS text FROM (SELECT source, left(text, 5) AS head, min(doc_id) AS first_id FROM documents GROUP BY 1, 2) GROUP BY 1")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    heads = table(spark, d, "documents").groupBy("source", F.substring("text", 1, 5).alias("head")).agg(F.min("doc_id").alias("first_id"))
-    ordered = F.array_sort(F.collect_list(F.struct("first_id", "head")))
-    return heads.groupBy("source").agg(F.array_join(F.transform(ordered, lambda x: x["head"]), " ").alias("text"))
+    blocks = table(spark, d, "documents").select("source", "doc_id", "text", F.sha2("text", 256).alias("hash"))
+    first = blocks.groupBy("source", "hash").agg(F.min_by("text", "doc_id").alias("block"), F.min("doc_id").alias("first_id"))
+    ordered = F.array_sort(F.collect_list(F.struct("first_id", "block")))
+    return first.groupBy("source").agg(F.array_join(F.transform(ordered, lambda x: x["block"]), " ").alias("text"))
 
 
 @query("x11_conversation_catalog", "SELECT conv_id, count(*) FILTER (WHERE role IN ('user','assistant') AND trim(text) <> '') AS turns, min(turn) AS first_turn, max(turn) AS last_turn, bool_or(role = 'user') AND bool_or(role = 'assistant') AS has_rehearsal FROM conversations GROUP BY 1")

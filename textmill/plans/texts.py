@@ -123,7 +123,10 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("f33_negation_parity", r"SELECT conv_id, turn, len(regexp_extract_all(lower(left(text, 32)), '(^| )(la|the|der)( |$)')) % 2 = 1 AS negated FROM conversations")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "conversations").select("conv_id", "turn", text.negated(F.lower(F.substring("text", 1, 32)), r"(^| )(la|the|der)( |$)").alias("negated"))
+    # "of", "de" and "und" stand for the cues, articles for the negating words; a turn is negated if one of its cues is
+    word = r"(?<![\p{L}\p{N}])(?:%s)(?![\p{L}\p{N}])"
+    prefixes = text.cue_prefixes(F.lower("text"), word % "of|de|und", r",.!?;:\n", 32)
+    return table(spark, d, "conversations").select("conv_id", "turn", F.exists(prefixes, lambda p: text.negated(p, word % "la|the|der")).alias("negated"))
 
 
 @query("f38_excel_dates", "SELECT event_id, (DATE '1899-12-30' + CAST(43000 + event_id % 2000 AS INTEGER))::DATE::VARCHAR AS day FROM events")
