@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tests.oracle import compare
 from textmill.functions import text
+from textmill.operators import dedup
 from textmill.plans import QUERIES
 
 WHOLE_SQL = {
@@ -66,3 +67,11 @@ def test_each_cue_is_negated_by_the_words_before_it(spark, sf_dir):
     wanted = sorted((c, n, negated(t)) for c, n, t in duckdb.sql(f"SELECT conv_id, turn, text FROM '{sf_dir}/conversations.parquet'").fetchall())
     assert sorted(map(tuple, QUERIES["f33_negation_parity"](spark, sf_dir).collect())) == wanted
     assert {x[2] for x in wanted} == {True, False}
+
+
+def test_distinct_turns_after_many_copies_are_taken(spark):
+    turns = ["Same  text"] * 150 + ["same text", "SAME text"] * 100 + ["b b b b b b b b b b", "b b b b b b b b b b b", "c", "d", "e"]
+    rows = [(k, i, t) for k in (1, 2) for i, t in enumerate(turns)] + [(3, 0, None), (3, 1, ""), (3, 2, "x"), (None, 5, "y")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, text string")
+    found = sorted((r.conv_id or 0, r.turn) for r in dedup.diversify(df, ["conv_id"], "turn", "text", limit=4).collect())
+    assert found == [(0, 5)] + [(k, i) for k in (1, 2) for i in (0, 350, 352, 353)] + [(3, 0), (3, 2)]

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,19 +38,27 @@ def near_duplicate_units(a: str, b: str, ratio: float = 0.85) -> bool:
     return a == b or (bool(short) and short in long and len(short) / len(long) >= ratio)
 
 
-def diversify(units: DataFrame, keys: list[str], order: str, text_col: str, limit: int, most_looked_at: int = 200) -> DataFrame:
-    """The first ``limit`` units of each key that are no near-duplicates of one taken before: greedy, so one Python group a key.
+def diversify(units: DataFrame, keys: list[str], order: str, text_col: str, limit: int) -> DataFrame:
+    """The first ``limit`` units of each key that are no near-duplicates of one taken before: greedy, so in one pass over a key's rows in order.
 
-    A group is a query's candidate list: its first ``most_looked_at`` rows, a bound the retrieval branches have themselves.
+    Of a key's equal texts, folded to lower case and single spaces, only the earliest row can be taken, so the others are left out
+    before. The rest is streamed in order, and a key's rows are skipped once its limit is met.
     """
-    ranked = units.withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy(order, text_col))).where(F.col("_i") <= most_looked_at)
-
-    def pick(group: pd.DataFrame) -> pd.DataFrame:
-        taken: list[int] = []
-        texts = [" ".join((t or "").lower().split()) for t in group[text_col]]
-        for i in group["_i"].argsort():
-            if len(taken) < limit and not any(near_duplicate_units(texts[i], texts[j]) for j in taken):
-                taken.append(i)
-        return group.iloc[taken]
-
-    return ranked.groupBy(*keys).applyInPandas(pick, ranked.schema).drop("_i")
+    folded = F.array_join(F.filter(F.split(F.lower(F.coalesce(text_col, F.lit(""))), r"[\s\u001c-\u001f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"), lambda x: x != ""), " ")
+    rows = units.withColumn("_folded", folded).withColumn("_hash", F.sha2("_folded", 256))
+    first = rows.groupBy(*keys, "_hash").agg(F.min_by(F.struct(*units.columns, "_folded"), F.struct(order, text_col)).alias("_row")).select("_row.*")
+    names = units.columns
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, taken = None, []
+        for batch in batches:
+            kept = []
+            for i, (here, text) in enumerate(zip(zip(*(batch.column(k).to_pylist() for k in keys)), batch.column("_folded").to_pylist())):
+                if here != key:
+                    key, taken = here, []
+                if len(taken) < limit and not any(near_duplicate_units(text, t) for t in taken):
+                    taken.append(text)
+                    kept.append(i)
+            yield batch.select(names).take(pa.array(kept, pa.int64()))
+
+    return first.repartition(*keys).sortWithinPartitions(*keys, order, text_col).mapInArrow(pick, units.schema)
