@@ -24,6 +24,8 @@ WHOLE_SQL = {
         FULL JOIN (SELECT s_suppkey, upper(CASE WHEN s_suppkey % 3 <> 0 THEN replace(s_name, 'Supplier', 'Actor') ELSE s_name END) AS s_name FROM supplier) b ON lower(a.c_name) = lower(b.s_name)""",
     "w06_preceding_context": "SELECT conv_id, turn, coalesce(string_agg(text, '|') OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), '') AS context FROM conversations",
     "x09_page_texts": "SELECT source, string_agg(text, ' ' ORDER BY first_id) AS text FROM (SELECT source, text, min(doc_id) AS first_id FROM documents GROUP BY 1, 2) GROUP BY 1",
+    "p17_catalog_filter": "SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P' AND o_orderdate::DATE BETWEEN DATE '1995-01-01' AND DATE '1996-06-30' AND lower(o_orderpriority || ' ' || o_orderstatus) LIKE '%high%'",
+    "k17_parent_ranking": "SELECT l_suppkey, min(l_linenumber) AS best, least(count(*), 8) AS n FROM lineitem GROUP BY 1",
 }
 
 
@@ -75,3 +77,13 @@ def test_distinct_turns_after_many_copies_are_taken(spark):
     df = spark.createDataFrame(rows, "conv_id long, turn long, text string")
     found = sorted((r.conv_id or 0, r.turn) for r in dedup.diversify(df, ["conv_id"], "turn", "text", limit=4).collect())
     assert found == [(0, 5)] + [(k, i) for k in (1, 2) for i in (0, 350, 352, 353)] + [(3, 0), (3, 2)]
+
+
+def test_all_matching_and_all_ranked_rows(spark, sf_dir, tmp_path):
+    duckdb.sql(f"COPY (SELECT * REPLACE (o_orderkey + 1000000 * i AS o_orderkey) FROM '{sf_dir}/orders.parquet', range(8) r(i)) TO '{tmp_path}/orders.parquet' (FORMAT parquet)")
+    duckdb.sql(f"COPY (SELECT * REPLACE (l_suppkey + 1000 * i AS l_suppkey) FROM '{sf_dir}/lineitem.parquet', range(8) r(i)) TO '{tmp_path}/lineitem.parquet' (FORMAT parquet)")
+    for name in ("p17_catalog_filter", "k17_parent_ranking"):
+        compare(spark, QUERIES[name], WHOLE_SQL[name], str(tmp_path))
+    assert QUERIES["p17_catalog_filter"](spark, str(tmp_path)).count() > 100
+    ranked = QUERIES["k17_parent_ranking"](spark, str(tmp_path)).collect()
+    assert len(ranked) > 50 and ranked == sorted(ranked, key=lambda r: (r.best, -r.n, r.l_suppkey))

@@ -114,7 +114,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 def _(spark: SparkSession, d: str) -> DataFrame:
     day = F.to_date("o_orderdate")
     rows = table(spark, d, "orders").where((F.col("o_orderstatus") != "P") & day.between("1995-01-01", "1996-06-30") & F.lower(F.concat_ws(" ", "o_orderpriority", "o_orderstatus")).contains("high"))
-    return rows.orderBy(F.desc_nulls_last("o_orderdate"), F.desc("o_orderkey")).limit(100).select("o_orderkey")
+    return rows.orderBy(F.desc_nulls_last("o_orderdate"), F.desc("o_orderkey")).select("o_orderkey")
 
 
 @query("p18_account_status", "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'pending' WHEN c_mktsegment = 'MACHINERY' THEN 'disabled' WHEN c_acctbal > 5000 THEN 'enabled' ELSE 'registered' END AS status FROM customer")
