@@ -19,7 +19,7 @@ def best(line: str, texts: list[str]) -> tuple[float, str]:
     docs = [bag(t) for t in texts]
     w = lambda t: (math.log((len(docs) + 1) / (sum(t in d for d in docs) + 1)) + 1) ** 2
     size = lambda x: sum(map(w, x))
-    found = [(size(bag(line) & bag(t)) / math.sqrt(size(bag(line)) * size(bag(t))), k) for k, t in license_scan.TEMPLATES.items()]
+    found = [(size(bag(line) & bag(t)) / math.sqrt(size(bag(line)) * size(bag(t))), k) for k, t in license_scan.all_templates()]
     return max(found, key=lambda x: (round(x[0], 6), x[1]))
 
 
@@ -32,3 +32,40 @@ def test_words_outside_the_templates_weigh_by_their_own_frequency(spark):
     wanted = {i: best(t, texts) for i, t in enumerate(texts)}
     assert found == {i: (round(c, 6), k) for i, (c, k) in wanted.items() if round(c, 6) >= 0.6}
     assert found[300] == (round(best(line, texts)[0], 6), "MIT") and found[300][0] > 0.9
+
+
+MIT = """Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+GPL = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+
+def f(): return 1
+"""
+
+
+def test_full_texts_headers_and_sentences(spark):
+    inside = "Some words here that say nothing at all about it. Released under the MIT License. Further words follow then, and more."
+    rows = [(1, "m/any", MIT), (2, "m/code", "x = 1"), (3, "g/a.py", GPL), (4, "g/b.py", "y = 2"), (5, "s/t", inside), (6, "s/u", "z")] + [(i, f"o/{i}", f"filler{i} of the and to") for i in range(7, 60)]
+    df = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    found = {r.id: (r.license, r.found) for r in license_scan.scan(df, F.col("path")).where("license is not null").collect()}
+    assert found == {1: ("MIT", "own"), 2: ("MIT", "inherited"), 3: ("GPL-3.0", "own"), 4: ("GPL-3.0", "inherited"), 5: ("MIT", "own")}

@@ -1,10 +1,12 @@
-"""License scans: TF-IDF cosine of lines and licence files to templates, then inheritance from the nearest ancestor directory.
+"""License scans: TF-IDF cosine of lines, headers and whole files to templates, then inheritance from the nearest ancestor directory.
 
 Built from DataFrame and SQL functions only.
 """
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,9 +36,43 @@ TEMPLATES = {
 }
 
 
-def template_terms(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
-    rows = spark.createDataFrame(list(templates.items()), "license string, text string")
-    return rows.select("license", F.explode(F.array_distinct(words("text"))).alias("term"))
+# The headers that licences ask for, and the first lines of their texts, by SPDX id.
+_GNU = "This program is free software{0} you can redistribute it and/or modify it under the terms of the GNU {1}General Public License as published by the Free Software Foundation, either version {2} of the License, or (at your option) any later version."
+_WARRANTY = " This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {0}General Public License for more details. You should have received a copy of the GNU {0}General Public License along with this program. If not, see https://www.gnu.org/licenses/."
+HEADERS = [
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 '
+     'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    *((f"{short}-{n}.0", text) for short, name, versions in (("GPL", "", "23"), ("LGPL", "Lesser ", "3")) for n in versions for text in (_GNU.format(":", name, n), _GNU.format(":", name, n) + _WARRANTY.format(name))),
+]
+TEXTS = Path(__file__).parent / "licenses"  # full texts, by SPDX id
+
+
+def all_templates() -> list[tuple[str, str]]:
+    """(license, text): short notices, headers and full texts."""
+    return [*TEMPLATES.items(), *HEADERS, *((p.stem, p.read_text(encoding="utf-8")) for p in sorted(TEXTS.glob("*.txt")))]
+
+
+def template_terms(spark: SparkSession, templates: list[tuple[str, str]]) -> DataFrame:
+    rows = spark.createDataFrame([(i, k, t) for i, (k, t) in enumerate(templates)], "template int, license string, text string")
+    return rows.select("template", "license", F.explode(F.array_distinct(words("text"))).alias("term"))
+
+
+def pieces(text: str) -> Column:
+    """(kind, text) of what is compared in a text: each line and, where they differ from it, the sentences in lines, the blocks between blank lines, the leading comment and the whole text."""
+    whole = F.col(text)
+    marks = r"[ \t]*(?:#|//|/\*|\*|--|;|%|<!--|'|\"\"\").*"
+    lines = F.split(whole, "\n", -1)
+    sentences = F.flatten(F.transform(lines, lambda x: F.split(x, r"(?<=[.!?;:])\s+", -1)))
+    # a line of marks only is as good as a blank one
+    blocks = F.filter(F.split(whole, r"\n(?:[^\p{L}\p{N}\n]*\n)+", -1), lambda x: F.contains(x, F.lit("\n")))
+    leading = F.array(F.regexp_extract(whole, rf"^(?:(?:{marks})?\n)*(?:{marks})?", 0))
+    kinds = (("line", lines), ("sentence", F.array_except(sentences, lines)), ("block", F.array_union(blocks, F.filter(leading, lambda x: F.contains(x, F.lit("\n"))))), ("file", F.filter(F.array(whole), lambda x: F.contains(x, F.lit("\n")))))
+
+    def named(kind: str, parts: Column) -> Column:
+        return F.transform(parts, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("text")))
+
+    return F.flatten(F.array(*(named(*k) for k in kinds)))
 
 
 def term_counts(files: DataFrame, terms: DataFrame, text_col: str) -> DataFrame:
@@ -51,7 +87,7 @@ def weight(n: Column, files: int) -> Column:
     return F.pow(F.log(F.lit(files + 1) / (n + 1)) + 1, 2)
 
 
-def signal_terms(templates: dict[str, dict[str, float]], share: float) -> list[str]:
+def signal_terms(templates: dict[tuple[int, str], dict[str, float]], share: float) -> list[str]:
     """Terms of which a text needs at least one: all others of any template together weigh less than ``share`` of its norm."""
     left, signal = {k: share * sum(t.values()) for k, t in templates.items()}, []
     weights = {term: w for t in templates.values() for term, w in t.items()}
@@ -69,37 +105,39 @@ def parent(path: Column) -> Column:
     return F.regexp_replace(path, "(^|/)[^/]*$", "")
 
 
-def license_lines(files: DataFrame, id_col: str, text_col: str, templates: dict[str, str], cosine: float) -> DataFrame:
-    """(id, line, license, cosine, words): the best license of each line that reaches ``cosine``.
+def license_pieces(files: DataFrame, id_col: str, text_col: str, templates: list[tuple[str, str]], cosine: float) -> DataFrame:
+    """(id, kind, license, cosine, words): the best license of each piece of a text that reaches ``cosine``.
 
-    Lines and templates are sets of lower-case words weighed by idf, with each word's document frequency over all files. A
-    line's squared weight is at least its product with a template, so a cosine of c needs a product of c**2 times the
+    Pieces and templates are sets of lower-case words weighed by idf, with each word's document frequency over all files. A
+    piece's squared weight is at least its product with a template, so a cosine of c needs a product of c**2 times the
     template's squared weight. What is below that is left out before frequencies are counted for all words of the other
-    lines; none that could reach the threshold is lost.
+    pieces; none that could reach the threshold is lost.
     """
     spark = files.sparkSession
     files = files.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     n_files, least = files.count(), (cosine - 1e-6) ** 2  # cosines are rounded to six digits
     terms = template_terms(spark, templates)
     counts = term_counts(files, terms.select("term").distinct(), "text").select("term", weight(F.col("n"), n_files).alias("w"))
-    weighed: dict[str, dict[str, float]] = {}
+    weighed: dict[tuple[int, str], dict[str, float]] = {}
     for r in terms.join(counts, "term").collect():
-        weighed.setdefault(r.license, {})[r.term] = r.w
+        weighed.setdefault((r.template, r.license), {})[r.term] = r.w
     # one row for each term of each template: a fixed table
-    products = F.broadcast(spark.createDataFrame([(k, sum(t.values()), term, w) for k, t in weighed.items() for term, w in t.items()], "license string, norm double, term string, w double"))
-    near = files.where(F.arrays_overlap(words("text"), F.lit(signal_terms(weighed, least))))
-    lines = near.select("id", F.posexplode(F.split("text", "\n", -1)).alias("line", "text")).select("id", "line", F.array_distinct(words("text")).alias("terms"))
-    lines = lines.where(F.arrays_overlap("terms", F.lit(signal_terms(weighed, least)))).withColumn("unit", F.monotonically_increasing_id())
-    lines = materialize(lines, "license-candidates")
-    each = lines.select("unit", "id", "line", F.size("terms").alias("words"), F.explode("terms").alias("term"))
-    dots = each.join(products, "term").groupBy("unit", "license", "norm").agg(F.sum("w").alias("dot"))
+    products = F.broadcast(spark.createDataFrame([(*k, sum(t.values()), term, w) for k, t in weighed.items() for term, w in t.items()], "template int, license string, norm double, term string, w double"))
+    signal = F.lit(signal_terms(weighed, least))
+    near = files.where(F.arrays_overlap(words("text"), signal)).select("id", F.explode(pieces("text")).alias("piece"))
+    found = near.select("id", "piece.kind", words("piece.text").alias("all")).where(F.arrays_overlap("all", signal)).withColumn("terms", F.array_distinct("all"))
+    # lines count by their different words, as they are added up
+    found = found.select("id", "kind", F.size(F.when(F.col("kind") == "line", F.col("terms")).otherwise(F.col("all"))).alias("words"), "terms", F.monotonically_increasing_id().alias("unit"))
+    found = materialize(found, "license-candidates")
+    each = found.select("unit", "id", "kind", "words", F.explode("terms").alias("term"))
+    dots = each.join(products, "term").groupBy("unit", "template", "license", "norm").agg(F.sum("w").alias("dot"))
     dots = materialize(dots.where(F.col("dot") >= least * F.col("norm") - 1e-9), "license-products")
     live = materialize(each.join(dots.select("unit").distinct(), "unit", "left_semi"), "license-terms")
-    found = term_counts(files, live.select("term").distinct(), "text")
-    totals = live.join(found, "term").groupBy("unit", "id", "line", "words").agg(F.sum(weight(F.col("n"), n_files)).alias("total"))
+    held = term_counts(files, live.select("term").distinct(), "text")
+    totals = live.join(held, "term").groupBy("unit", "id", "kind", "words").agg(F.sum(weight(F.col("n"), n_files)).alias("total"))
     scored = dots.join(totals, "unit").withColumn("cosine", F.round(F.col("dot") / F.sqrt(F.col("total") * F.col("norm")), 6)).where(F.col("cosine") >= cosine)
-    best = scored.groupBy("unit", "id", "line", "words").agg(F.min(F.struct((-F.col("cosine")).alias("less"), F.col("license"))).alias("best"))
-    return best.select("id", "line", "best.license", (-F.col("best.less")).alias("cosine"), "words")
+    best = scored.groupBy("unit", "id", "kind", "words").agg(F.min(F.struct((-F.col("cosine")).alias("less"), F.col("license"))).alias("best"))
+    return best.select("id", "kind", "best.license", (-F.col("best.less")).alias("cosine"), "words")
 
 
 def scan(
@@ -107,8 +145,9 @@ def scan(
 ) -> DataFrame:
     """(id, path, license, cosine, found, directory) for each row: its own license, or that of the nearest ancestor directory.
 
-    Every line of every whole text is compared. A file's own license is its best line (then the smaller SPDX id). A licence
-    file, by its name or because FILE_SHARE of its words stand in license lines, sets the license of its directory (the best
+    Every line, sentence and block of every whole text, its leading comment and the text itself are compared with notices,
+    headers and full texts. A file's own license is that of its best piece (then the smaller SPDX id). A licence
+    file, by its name or because FILE_SHARE of its words stand in license lines or in one longer piece, sets the license of its directory (the best
     cosine, then license, then path); files without one inherit it from the nearest directory above them. ``found`` is
     ``own``, ``inherited`` or null.
 
@@ -118,8 +157,9 @@ def scan(
     """
     known = files.select(F.col(id_col).cast("long").alias("id"), path.alias("path"), F.col(text_col).cast("string").alias("text"))
     real = known.where(F.col("id").isNotNull())
-    lines = materialize(license_lines(real.select("id", "text"), "id", "text", templates or TEMPLATES, cosine), "license-lines")
-    own = lines.groupBy("id").agg(F.min(F.struct((-F.col("cosine")).alias("less"), "license")).alias("best"), F.sum("words").alias("in_license"))
+    found = materialize(license_pieces(real.select("id", "text"), "id", "text", list(templates.items()) if templates else all_templates(), cosine), "license-pieces")
+    lines, longer = (F.coalesce(f(F.when((F.col("kind") == "line") == is_line, F.col("words"))), F.lit(0)) for f, is_line in ((F.sum, True), (F.max, False)))
+    own = found.groupBy("id").agg(F.min(F.struct((-F.col("cosine")).alias("less"), "license")).alias("best"), F.greatest(lines, longer).alias("in_license"))
     own = materialize(own.select("id", "best.license", (-F.col("best.less")).alias("cosine"), "in_license"), "own-licenses")
     holders = real.join(own, "id").withColumn("share", F.col("in_license") / F.greatest(F.size(words("text")), F.lit(1)))
     directories = materialize(
