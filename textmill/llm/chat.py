@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # A turn is  <turn ROLE>\nTEXT</turn>\n  with role and text escaped: no unescaped "<" or ">" is left in them, so neither
-# these marks nor those of any other template inside a text can be taken for a mark.
+# these marks nor those of any other template inside a text can be taken for a mark. A line feed inside a role is escaped as
+# well, so the first ">\n" of a turn ends its role.
 OPEN, BODY, CLOSE = "<turn ", ">\n", "</turn>\n"
 TARGET = "assistant"
 
@@ -20,10 +21,19 @@ def escape(column: Column) -> Column:
     return column
 
 
+def escape_role(column: Column) -> Column:
+    return F.replace(escape(column), F.lit("\n"), F.lit(r"\n"))
+
+
 def unescape(column: Column) -> Column:
     return F.regexp_replace(column, r"\\([\\<>])", "$1")
 
 
+def unescape_role(column: Column) -> Column:
+    """Pairs of backslashes are set aside first: any other backslash then starts an escape."""
+    return F.array_join(F.transform(F.split(column, r"\\\\"), lambda x: unescape(F.replace(x, F.lit(r"\n"), F.lit("\n")))), "\\")
+
+
 def format_examples(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """(conv_id, last_turn, formatted, loss_start, loss_length): an example for each assistant turn, with all turns before it.
 
@@ -44,7 +54,7 @@ def format_examples(turns: DataFrame, conv_col: str = "conv_id", turn_col: str =
         ).alias("t"),
     )
     ordered = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
-    formatted = F.transform("turns", lambda t: F.concat(F.lit(OPEN), escape(t["role"]), F.lit(BODY), escape(t["text"]), F.lit(CLOSE)))
+    formatted = F.transform("turns", lambda t: F.concat(F.lit(OPEN), escape_role(t["role"]), F.lit(BODY), escape(t["text"]), F.lit(CLOSE)))
     places = F.filter(
         F.sequence(F.lit(1), F.size("turns")), lambda i: (F.element_at("turns", i)["role"] == TARGET) | (i == F.size("turns"))
     )
@@ -63,7 +73,7 @@ def parse_turns(formatted: Column) -> Column:
     return F.transform(
         F.slice(parts, F.lit(1), F.size(parts) - 1),
         lambda p: F.struct(
-            unescape(F.substring(p, F.lit(len(OPEN) + 1), F.instr(p, F.lit(BODY)) - len(OPEN) - 1)).alias("role"),
+            unescape_role(F.substring(p, F.lit(len(OPEN) + 1), F.instr(p, F.lit(BODY)) - len(OPEN) - 1)).alias("role"),
             unescape(F.substring(p, F.instr(p, F.lit(BODY)) + len(BODY), F.char_length(p))).alias("text"),
         ),
     )

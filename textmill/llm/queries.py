@@ -122,7 +122,7 @@ ORACLE_SQL["op8_chat_formatting"] = rf"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
            UNION ALL VALUES (-7, 0, 'user', '{HOSTILE}'), (-7, 1, 'assistant', '{HOSTILE}')),
 o AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY conv_id) AS n,
-             6 + length(role) + 2 + length(text) + 8 + len(regexp_extract_all(role || text, '[\\<>]')) AS f
+             6 + length(role) + 2 + length(text) + 8 + len(regexp_extract_all(role || text, '[\\<>]')) + len(regexp_extract_all(role, '\n')) AS f
       FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
 p AS (SELECT *, sum(f) OVER (PARTITION BY conv_id ORDER BY i) AS upto FROM o)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
