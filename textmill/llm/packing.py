@@ -17,6 +17,7 @@ from textmill.llm.tokenization import encoder
 WINDOW = 4096
 BLOCK_WINDOWS = 192  # windows that are balanced together; bounds memory and the padding a block may leave
 FILL = 0.999  # a block is closed before it holds more than this share of its windows
+BLOCK_PIECES = 16_384  # pieces that are balanced together: a piece costs two numbers for each window of its block
 PIECE = 512  # what is left of a document is cut at so many ids: small pieces balance closely
 
 
@@ -111,7 +112,7 @@ def _pack(path: str, end_id: int, capacity: int, piece: int) -> Callable:
                         full.append((ids[first + i], at, data[4 * at : 4 * (at + capacity)], n, sequence, 0))
                         sequence += 1
                         at += capacity
-                    if rest and waiting + n - at > FILL * BLOCK_WINDOWS * capacity:
+                    if rest and (waiting + n - at > FILL * BLOCK_WINDOWS * capacity or len(rest) >= BLOCK_PIECES):
                         yield out(packed(rest))
                         rest, waiting = [], 0
                     rest += [(ids[first + i], p, data[4 * p : 4 * (p + piece)], n) for p in range(at, n, piece)]
@@ -132,8 +133,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", t
 
     ``tokenizer`` is the path of a tokenizers file on every machine; ids are little-endian uint32 bytes, each document
     ends with ``end_id``. A document of ``capacity`` ids or more gives full sequences first; what is left of each is cut at
-    ``piece`` ids and packed by differencing, a block of about BLOCK_WINDOWS windows at a time, inside the task that encoded it:
-    no shuffle, and memory is one block. Sequence ids carry the task's number above bit 36, so they are unique and come out alike when a task is
+    ``piece`` ids and packed by differencing, a block of about BLOCK_WINDOWS windows or BLOCK_PIECES pieces at a time, inside the task
+    that encoded it: no shuffle, and memory is one block, also where all texts are a word long. Sequence ids carry the task's number above bit 36, so they are unique and come out alike when a task is
     run again. Null and empty texts are their end id alone; null and repeated ids are carried as they are.
     """
     prepare(docs.sparkSession)
