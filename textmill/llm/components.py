@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textmill.llm.common import discard, materialize
@@ -13,16 +13,16 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Every link is turned to point from its larger end u to its smaller end v.
     A small-star step hangs all smaller neighbours of u below the smallest; a large-star step replaces v
-    by v's own smallest neighbour. Both keep components and end in one star for each. Groups are only ever
-    over the *smaller* neighbours of a node, which stay few; the join on the popular end v reads two plain tables,
-    so AQE may broadcast or split it. Each round is written to the shared folder: no lineage grows, nothing is collected.
+    by v's own smallest neighbour. Both keep components and end in one star for each. A node's smallest neighbour is
+    an aggregate with partial results before the shuffle, and is joined back to plain tables, so AQE may broadcast it or split a
+    popular node. Each round is written to the shared folder: no lineage grows, nothing is collected.
     Nulls and self-links are ignored; an empty table gives an empty table.
     """
     edges = materialize(
         links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links"
     )
     for _ in range(max_rounds):
-        low = edges.withColumn("p", F.min("v").over(Window.partitionBy("u")))
+        low = edges.join(edges.groupBy("u").agg(F.min("v").alias("p")), "u")
         hung = F.when(F.col("v") == F.col("p"), F.col("u")).otherwise(F.col("v"))
         small = materialize(
             low.select(hung.alias("u"), F.col("p").alias("v"), (F.col("v") != F.col("p")).alias("moved"))

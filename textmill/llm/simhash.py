@@ -19,6 +19,7 @@ MAX_BITS = 3
 SEGMENTS = 2
 WIDTH = 64 // SEGMENTS
 SMALL_GROUP = 24
+LARGE_GROUP = 4096  # a bucket of more fingerprints is searched by the bytes of the segment that it leaves open
 
 
 def fingerprint(text: bytes | None) -> int:
@@ -58,8 +59,8 @@ def _near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x ^ y) <= MAX_BITS
 
 
-def _group_links(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links in one large bucket: each found member is compared with those not yet reached."""
+def _forest_of(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links among some fingerprints: each found member is compared with those not yet reached."""
     a, b, left = [], [], prints
     while len(left):
         queue, left = [left[0]], left[1:]
@@ -76,6 +77,27 @@ def _group_links(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(a), np.concatenate(b)) if a else (empty, empty)
 
 
+def _group_links(prints: np.ndarray, slot: int) -> tuple[np.ndarray, np.ndarray]:
+    """A forest of the links in one bucket of ``slot``'s segment.
+
+    Of the four bytes of the other segment at least one is equal in two fingerprints that differ in three bits or fewer, so a large
+    bucket is cut by each of them in turn.
+    """
+    if len(prints) <= LARGE_GROUP:
+        return _forest_of(prints)
+    a, b = [], []
+    other = 0 if slot // WIDTH else WIDTH
+    for shift in range(other, other + WIDTH, 8):
+        byte = (prints >> shift) & 255
+        order = np.argsort(byte, kind="stable")
+        edges = np.searchsorted(byte[order], np.arange(257))
+        for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            x, y = _forest_of(prints[order[i:j]])
+            a.append(x)
+            b.append(y)
+    return forest(np.concatenate(a), np.concatenate(b))
+
+
 def _links(keys: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A forest of the links within the buckets of rows sorted by key."""
     starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
@@ -95,7 +117,7 @@ def _links(keys: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray
         a.append(x[near])
         b.append(y[near])
     for at, n in zip(starts[sizes > SMALL_GROUP], sizes[sizes > SMALL_GROUP], strict=True):
-        x, y = _group_links(prints[at : at + n])
+        x, y = _group_links(prints[at : at + n], int(keys[at] >> 32))
         a.append(x)
         b.append(y)
     if not a:
@@ -107,20 +129,31 @@ def _links(keys: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (key, fp) sorted by key -> links; a bucket may span batches."""
     keys = prints = np.empty(0, np.int64)
+    held: list[pa.RecordBatch] = []
+    waiting, wanted = 0, 200_000
 
     def out(k: np.ndarray, p: np.ndarray) -> pa.RecordBatch:
         a, b = _links(k, p)
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
+    def gather() -> None:
+        nonlocal keys, prints
+        keys = np.concatenate([keys, *(x.column(0).to_numpy(zero_copy_only=False) for x in held)])
+        prints = np.concatenate([prints, *(x.column(1).to_numpy(zero_copy_only=False) for x in held)])
+        held.clear()
+
     for batch in batches:
-        keys = np.concatenate([keys, batch.column(0).to_numpy(zero_copy_only=False)])
-        prints = np.concatenate([prints, batch.column(1).to_numpy(zero_copy_only=False)])
-        if len(keys) < 200_000:
+        held.append(batch)
+        waiting += len(batch)
+        if waiting < wanted:
             continue
+        gather()
         cut = int(np.searchsorted(keys, keys[-1]))  # the last bucket may go on
         if cut:
             yield out(keys[:cut], prints[:cut])
-            keys, prints = keys[cut:], prints[cut:]
+            keys, prints = keys[cut:].copy(), prints[cut:].copy()
+        waiting, wanted = len(keys), max(200_000, 2 * len(keys))  # a large bucket is copied a few times, not once a batch
+    gather()
     if len(keys):
         yield out(keys, prints)
 
