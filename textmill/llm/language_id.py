@@ -11,11 +11,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textmill.llm.common import prepare, rows_of, text_bytes, tidy
 
 FEATURES = 4096
 PER_LANGUAGE = 400  # the bound of the training sample: so many documents of each language, about
+MOST_LANGUAGES = 200  # the bound of the label set: the most frequent labels, so that a column of free text cannot fill the driver
 UNKNOWN = "und"
 PIECE = 1 << 20
 
@@ -139,21 +141,25 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> LanguageModel:
+def fit(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, most_languages: int = MOST_LANGUAGES
+) -> LanguageModel:
     """Learn from a bounded sample of the labelled rows that are not held out.
 
-    Of a language with n such rows, those whose id hashes into the first per_language / n of the range are taken,
-    so the driver receives about ``per_language`` vectors of fixed size for each language, whatever the input.
+    The ``most_languages`` most frequent labels are learned (then the smaller ones). Of a language with n such rows, those whose id
+    hashes into the first per_language / n of the range are taken, so the driver receives about ``per_language`` vectors of fixed
+    size for each language, whatever the input.
     """
-    prepare(docs.sparkSession)
-    usable = docs.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col))
-    counts = {r["lang"]: r["count"] for r in usable.groupBy(F.col(lang_col).alias("lang")).count().collect()}
+    spark = docs.sparkSession
+    prepare(spark)
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    usable = rows.where(F.col("id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("id"))
+    counts = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
     if not counts:
         return LanguageModel({}, [], np.zeros((0, FEATURES + 1)))
-    draw, chosen = F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(1 << 30)), F.lit(False)
-    for lang, n in sorted(counts.items()):
-        chosen = F.when(F.col(lang_col) == lang, draw < int(min(1.0, per_language / n) * (1 << 30))).otherwise(chosen)
-    picked = usable.where(chosen).select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("lang"), text_bytes(text_col).alias("text"))
+    shares = spark.createDataFrame([(r.lang, int(min(1.0, per_language / r.n) * (1 << 30))) for r in counts], "lang string, share long")
+    # a row a language, MOST_LANGUAGES at most
+    picked = usable.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.col("share")).select("id", "lang", text_bytes("text").alias("text"))
     rows = sorted(picked.mapInArrow(_sample, "id long, lang string, x binary").collect(), key=lambda r: (r.id, r.lang, r.x))
     if not rows:
         return LanguageModel({}, [], np.zeros((0, FEATURES + 1)))
@@ -179,12 +185,14 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
     spark = docs.sparkSession
     prepare(spark)
     shared = spark.sparkContext.broadcast(model)
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), text_bytes(text_col).alias("text"))
-    out = rows.select("row").schema.simpleString()[len("struct<") : -1].replace("row:", "row ", 1)
-    return rows.mapInArrow(_predict(shared), f"{out}, lang_pred string, score double")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), text_bytes(F.col(f"`{text_col}`")).alias("text"))
+    out = T.StructType([rows.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(_predict(shared), out)
 
 
 def known_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The documents whose language can be told, unchanged."""
-    found = identify(docs, fit(docs, id_col, text_col, lang_col), text_col)
-    return found.where(F.col("lang_pred") != UNKNOWN).select("row.*")
+    """The documents whose language can be told, unchanged. Where nothing could be learned, those with a letter."""
+    model = fit(docs, id_col, text_col, lang_col)
+    if not model.families:
+        return docs.where(F.col(f"`{text_col}`").cast("string").rlike(r"\p{L}"))
+    return identify(docs, model, text_col).where(F.col("lang_pred") != UNKNOWN).select("row.*")
