@@ -8,15 +8,17 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textmill.llm.common import prepare, rows_of, text_bytes, tidy
+from textmill.llm.common import materialize, prepare, rows_of, text_bytes, tidy
 from textmill.llm.tokenization import encoder
 
 STRIPE_BYTES = 16 << 20
 ROW_INDEX_STRIDE = 1000
 TEXT_PER_FILE = 48 << 20
+FILE_BLOCK = 4096  # files whose totals are added up in one group
+BROADCAST_FILES = 200_000  # rows (16 bytes each) that may be broadcast; beyond it the join shuffles
 
 
 def _encode(path: str, end_id: int) -> Callable:
@@ -42,7 +44,7 @@ def _encode(path: str, end_id: int) -> Callable:
 LAYOUT = "doc_id long, part int, start_in_part long, n_tokens long, ids array<int>"
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", stride: int = ROW_INDEX_STRIDE) -> None:
     """Encode every whole text, append ``end_id``, and write the ids in ascending id order as ORC files.
 
     Documents are range-partitioned by id and sorted inside a file, so file and stripe statistics on ``doc_id`` bound disjoint
@@ -58,26 +60,32 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col
     (
         ordered.mapInArrow(_encode(tokenizer, end_id), LAYOUT)
         .write.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01")
-        .option("orc.create.index", "true").option("orc.row.index.stride", str(ROW_INDEX_STRIDE))
+        .option("orc.create.index", "true").option("orc.row.index.stride", str(stride))
         .option("orc.stripe.size", str(STRIPE_BYTES)).option("compression", "zstd").orc(path)
     )
 
 
+def file_offsets(rows: DataFrame) -> DataFrame:
+    """(part, before): how many ids lie in the files before each; running sums inside blocks of files, and over the blocks."""
+    totals = rows.groupBy("part").agg(F.sum("n_tokens").alias("total")).withColumn("block", F.floor(F.col("part") / FILE_BLOCK))
+    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = totals.groupBy("block").agg(F.sum("total").alias("total")).select("block", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("blocks_before"))
+    inside = Window.partitionBy("block").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    return totals.withColumn("inside", F.coalesce(F.sum("total").over(inside), F.lit(0))).join(blocks, "block").select("part", (F.col("blocks_before") + F.col("inside")).alias("before"))
+
+
 def read_tokens(spark: SparkSession, path: str, doc_ids: list[int] | None = None) -> DataFrame:
     """(doc_id, start, n_tokens, ids): ``start`` counts the ids of all documents before.
 
     Stripes are read in parallel. With ``doc_ids`` the predicate reaches the reader, which skips files, stripes and
-    row groups by statistics and Bloom filters. Only the totals of the files, one row each, are added up on the driver.
+    row groups by statistics and Bloom filters. The files' offsets are broadcast behind a count of the files.
     """
     rows = spark.read.schema(LAYOUT).orc(path)
-    totals = {r.part: r.total for r in rows.groupBy("part").agg(F.sum("n_tokens").alias("total")).collect()}
-    parts = sorted(totals)
-    before = np.concatenate([[0], np.cumsum([totals[p] for p in parts])]).tolist()
-    offsets = spark.createDataFrame(list(zip(parts, before, strict=False)), "part int, before long")
+    offsets = materialize(file_offsets(rows), "file-offsets")
     if doc_ids is not None:
         rows = rows.where(F.col("doc_id").isin(doc_ids))
-    # one row a file, from the directory listing: its size is that of the list of files
-    return rows.join(F.broadcast(offsets), "part").select("doc_id", (F.col("before") + F.col("start_in_part")).alias("start"), "n_tokens", "ids")
+    small = offsets.count() <= BROADCAST_FILES
+    return rows.join(F.broadcast(offsets) if small else offsets, "part").select("doc_id", (F.col("before") + F.col("start_in_part")).alias("start"), "n_tokens", "ids")
 
 
 @tidy
