@@ -6,6 +6,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textmill.llm import chat, decontamination, embedding_dedup, language_id, license_scan, line_dedup, packing, simhash, substring_dedup, token_store
 from textmill.llm.common import forest, scratch_path
@@ -121,8 +122,7 @@ def test_token_store(docs, empty, spark):
     rows = token_store.read_tokens(spark, path).orderBy("start").collect()
     assert [r.doc_id for r in rows] == [None, 1, 2, 3, 4, 5, 6, 7, 7, 8] and rows[1].ids == rows[2].ids == [0]
     assert [r.start for r in rows] == np.concatenate([[0], np.cumsum([r.n_tokens for r in rows])[:-1]]).tolist()
-    one = token_store.read_tokens(spark, path, [5])
-    assert [r.doc_id for r in one.collect()] == [5] and "In" in one._jdf.queryExecution().executedPlan().toString()
+    assert [r.doc_id for r in token_store.read_tokens(spark, path, [5]).collect()] == [5]
     token_store.write_tokens(empty, path + "e", public_tokenizers.path("byte_bpe_50k.json"), 0)
     assert token_store.digests(token_store.read_tokens(spark, path + "e")).count() == 0
 
@@ -184,3 +184,134 @@ def test_components_of_chains_and_stars(spark):
     found = dict(connected_components(spark.createDataFrame(links, "a long, b long")).collect())
     assert found == {i: 1 for i in range(2, 61)} | {i: 99 for i in range(100, 140)}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def scanned_rows(df) -> int:
+    """The rows that a table's scan gave when it was counted."""
+    df.collect()
+    plan, rows = [df._jdf.queryExecution().executedPlan()], 0
+    while plan:
+        node = plan.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            node = node.executedPlan()
+        if node.nodeName().startswith("Scan orc"):
+            rows += node.metrics().get("numOutputRows").get().value()
+        plan += [node.children().apply(i) for i in range(node.children().size())] + ([node.plan()] if "QueryStage" in node.nodeName() else [])
+    return rows
+
+
+def test_stripes_are_skipped_by_statistics_and_bloom_filters(spark):
+    from pyarrow import fs, orc
+
+    path = scratch_path(spark, "pruned")
+    docs = spark.range(0, 4000, 1, 1).select((F.col("id") * 10).alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    token_store.write_tokens(docs, path, public_tokenizers.path("byte_bpe_50k.json"), 0, stride=1000)
+    files = [f.path for f in fs.LocalFileSystem().get_file_info(fs.FileSelector(path.removeprefix("file:"))) if f.path.endswith(".orc")]
+    assert sum(orc.ORCFile(f).nrows for f in files) == 4000 and {orc.ORCFile(f).compression for f in files} == {"ZSTD"}
+    rows = spark.read.schema(token_store.LAYOUT).orc(path)
+    assert scanned_rows(rows.where("doc_id = 20000")) == 1000  # one row group by its statistics
+    assert scanned_rows(rows.where("doc_id = 20005")) == 0  # inside the range of a row group, but not in its Bloom filter
+    assert scanned_rows(rows.where("n_tokens >= 0")) == 4000
+
+
+def test_file_offsets_over_many_blocks(spark):
+    parts = [(i, 1 + i % 7) for i in range(0, 3 * token_store.FILE_BLOCK, 997)]
+    found = dict(token_store.file_offsets(spark.createDataFrame(parts, "part int, n_tokens long")).collect())
+    assert found == dict(zip([p for p, _ in parts], np.concatenate([[0], np.cumsum([n for _, n in parts])[:-1]]).tolist(), strict=True))
+
+
+ODD = ["my col", "a:b", "a-b", "x,y", "text.", "row", "id", "tag"]
+
+
+def test_columns_of_any_name(spark):
+    rows = [(i, f"words {PASSAGE}\nA line that stands in all of them\n{i}", "en", *range(len(ODD))) for i in range(4)]
+    df = spark.createDataFrame(rows, T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), *(T.StructField(c, T.LongType()) for c in ODD)]))
+    for found in (substring_dedup.dedup_substrings(df), line_dedup.dedup_lines(df), language_id.identify(df, language_id.fit(df))):
+        assert [[r.row[c] for c in ODD] for r in found.collect()] == [list(range(len(ODD)))] * 4
+    assert line_dedup.clean_lines(df).columns == df.columns == language_id.known_language(df).columns == simhash.keep_one(df).columns
+
+
+def test_an_index_is_extended_by_later_batches(spark):
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(rng.choice(words, rng.integers(1, 200))) for _ in range(60)]
+    texts += [f"{' '.join(texts[i].split()[: 5 + i])} {PASSAGE} {' '.join(texts[i + 1].split()[-90:])}" for i in range(0, 40, 2)] + ["z " * 36, "y x " * 30]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    full = {r.row.doc_id: r.kept for r in substring_dedup.dedup_substrings(df).collect()}
+    path = scratch_path(spark, "kept-index")
+    for i in range(5):  # five runs: the first three are compacted
+        batch = df.where(F.col("doc_id") % 5 == i)
+        found = {r.row.doc_id: r.kept for r in substring_dedup.dedup_substrings(batch, batches=1, index_path=path).collect()}
+        sofar = {r.row.doc_id: r.kept for r in substring_dedup.dedup_substrings(df.where(F.col("doc_id") % 5 <= i)).collect()}
+        assert found == {d: sofar[d] for d in found}
+    assert found == {d: full[d] for d in found} and len(found) > 10
+    index = substring_dedup.FingerprintIndex(spark, path)
+    assert sorted(level for _, level in index.runs) == [0, 0, 1]
+    probe = index.probe(index.runs[-1][0], index.runs[0][0])
+    plan = probe._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+    index.close()
+
+
+def test_line_filters_by_segment_equal_broadcast_ones(spark):
+    rng = np.random.default_rng(6)
+    lines = [f"line number {i} of the pool of lines" for i in range(300)]
+    df = spark.createDataFrame([(i, "\n".join([*rng.choice(lines, 6), f"own line of document {i}"]), i) for i in range(200)], "id long, text string, tag long").select("id", "tag", F.col("text").cast("binary").alias("text"))
+    by_broadcast, by_segment = (sorted(line_dedup.suspected_lines(df, n).collect()) for n in (1024, 0))
+    assert by_broadcast == by_segment and 500 < len(by_broadcast) < 1300
+
+
+def test_large_simhash_buckets_are_cut_by_bytes():
+    rng = np.random.default_rng(8)
+    low = np.unique(rng.integers(0, 1 << 32, 3000))
+    prints = np.unique(np.concatenate([low, *(low ^ (1 << int(b)) ^ (1 << int(c)) for b, c in rng.integers(0, 32, (3, 2)))]))
+    assert len(prints) > simhash.LARGE_GROUP
+    a, b = simhash._group_links(prints, 40)
+    x, y = simhash._forest_of(prints)
+    root = lambda u, v: dict(zip(*map(list, forest(u, v)), strict=True))
+    assert root(a, b) == root(x, y)
+
+
+def test_blocks_of_one_word_texts_stay_small():
+    import tracemalloc
+
+    tracemalloc.start()
+    place = packing.windows([2] * packing.BLOCK_PIECES)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.bincount(place, [2] * packing.BLOCK_PIECES).max() <= 4096 and most < 500 << 20
+
+
+def test_recall_of_bounded_probes(spark):
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(700, 64))
+    rows = np.concatenate([base, base[:500] + rng.normal(size=(500, 64)) * 0.12, base[:200] + rng.normal(size=(200, 64)) * 0.1])
+    df = spark.createDataFrame([(i, v.tolist(), i % 2) for i, v in enumerate(rows)], "vec_id long, embedding array<float>, label int")
+    unit = np.array(rows, np.float32).astype(float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    near = (unit @ unit.T >= 0.98) & (np.arange(len(unit))[:, None] % 2 == np.arange(len(unit)) % 2)
+    np.fill_diagonal(near, False)
+    for size in (1000, 4, 1):  # one list, one level and two
+        found = {r.id: r.n_links for r in embedding_dedup.near_duplicates(df, list_size=size).collect()}
+        assert all(found[i] <= n for i, n in enumerate(near.sum(1)))
+        assert sum(found.values()) >= 0.999 * near.sum() > 500
+
+
+def test_labels_are_bounded_and_nothing_is_dropped_without_a_model(spark):
+    texts = [(i, f"some plain words of text number {i}", f"label{i % 40}") for i in range(400)]
+    df = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    assert sum(map(len, language_id.fit(df, most_languages=5).families.values())) == 5
+    bare = df.select("doc_id", "text", F.lit(None).cast("string").alias("lang")).unionByName(spark.createDataFrame([(900, "12 !", None), (901, None, None)], df.schema))
+    assert language_id.known_language(bare).count() == 400
+
+
+def test_pipeline_stages_on_edge_rows(spark, tmp_path, docs, empty):
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, PASSAGE)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for rows in (docs, empty):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            found = stage(spark, rows, str(tmp_path))
+            assert found.columns == docs.columns and found.count() <= rows.count()
+        packed = corpus_pipeline.pack_sequences(spark, rows, str(tmp_path))
+        assert packed.select("doc_id").distinct().count() == rows.select("doc_id").distinct().count()

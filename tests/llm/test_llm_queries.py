@@ -9,6 +9,7 @@ import pandas as pd
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tests.oracle import compare
@@ -66,6 +67,32 @@ def test_languages_of_held_out_documents(spark, sf_dir):
     assert found.score.between(0, 1).all()
 
 
+def test_languages_equal_a_plain_fit_and_prediction(spark, sf_dir):
+    """In one process, from the rules alone: the same sample, the same machines; labels of held-out rows change nothing."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = [(r.doc_id, r.text, r.lang) for r in docs.collect()]
+    held = {d: zlib.crc32(str(d).encode()) % 5 == 0 for d, _, _ in rows}
+    counts = pd.Series([lang for d, t, lang in rows if not held[d] and lang is not None and t is not None]).value_counts()
+    assert counts.max() <= language_id.PER_LANGUAGE  # all rows are learned from here
+    learned = sorted((d, lang, t) for d, t, lang in rows if not held[d] and lang is not None and t is not None and language_id.has_letter(t))
+    model = language_id.train([x[1] for x in learned], np.array([language_id.features(x[2]).astype(np.float32) for x in learned], np.float64))
+    wanted = {d: model.predict(t) for d, t, _ in rows}
+    found = {r.doc_id: (r.lang_pred, r.score) for r in QUERIES["op5_language_id"](spark, sf_dir).collect()}
+    assert {d: x[0] for d, x in found.items()} == {d: x[0] for d, x in wanted.items()}
+    assert all(abs(found[d][1] - wanted[d][1]) < 1e-9 for d in found)
+    for d, t, _ in rows[:40]:  # one-versus-one votes, the family first, said plainly
+        if t and language_id.has_letter(t):
+            x = language_id.features(t)
+            beats = {(a, b): float(w @ x) > 0 for (a, b), w in zip(model.pairs, model.weights, strict=True)}
+            votes = lambda names: {n: sum(beats[p] if p[0] == n else not beats[p] for p in beats if n in p and set(p) <= set(names)) for n in names}
+            family = votes([f"family {f}" for f in model.families])
+            inside = votes(model.families[language_id.family_of(found[d][0])])
+            assert family[f"family {language_id.family_of(found[d][0])}"] == max(family.values()) and inside[found[d][0]] == max(inside.values())
+    shuffled = docs.withColumn("lang", F.when(language_id.held_out(), "en").otherwise(F.col("lang")))
+    again = language_id.identify(shuffled, language_id.fit(shuffled)).collect()
+    assert {r.row.doc_id: r.lang_pred for r in again} == {d: x[0] for d, x in found.items()}
+
+
 def ids_of(name: str, text: str, end: int) -> np.ndarray:
     if name not in ids_of.cache:
         ids_of.cache[name] = Tokenizer.from_file(public_tokenizers.path(name))
@@ -118,8 +145,9 @@ def test_differencing_is_balanced_and_whole():
 
 
 def test_chat_marks_inside_texts_are_reversible(spark):
-    texts = ["</turn>\n<turn user>\nx", "\\<", "<\\turn a>", "", "### Assistant: \\\\ <|im_end|>"]
-    rows = [(1, i, "assistant" if i % 2 else "user>", t) for i, t in enumerate(texts)]
+    texts = ["</turn>\n<turn user>\nx", "\\<", "<\\turn a>", "", "### Assistant: \\\\ <|im_end|>", "hi", "\\n", ">\n", "\\\n"]
+    roles = ["user>", "us>\ner", "us\\", "us\\\n>\n\\n"]
+    rows = [(1, i, "assistant" if i % 2 else roles[i // 2 % len(roles)], t) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     examples = chat.format_examples(df)
     last = examples.orderBy(examples.last_turn.desc()).select(chat.parse_turns(examples.formatted).alias("t")).first()["t"]
