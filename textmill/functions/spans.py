@@ -196,6 +196,19 @@ def located(text: Column, quote: Column) -> Column:
     return run(text, quote)
 
 
+def located_in_order(text: Column, parts: Column) -> Column:
+    """(start, stop) of each part in the text, each looked for from the end of the last one that was found; null where it is not there."""
+    span = "struct<start:int,stop:int>"
+    start = F.struct(F.lit(1).alias("cursor"), F.array().cast(f"array<{span}>").alias("found"))
+
+    def step(s: Column, part: Column) -> Column:
+        at = F.call_function("locate", part, text, s["cursor"])
+        here = F.when(at > 0, F.struct((at - 1).alias("start"), (at - 1 + F.char_length(part)).alias("stop")))
+        return F.struct(F.when(at > 0, at + F.char_length(part)).otherwise(s["cursor"]).alias("cursor"), F.concat(s["found"], F.array(here)).alias("found"))
+
+    return F.aggregate(parts, start, step, lambda s: s["found"])
+
+
 def ids_in(document: Column, keys: tuple[str, ...]) -> Column:
     @F.pandas_udf(_STRINGS)
     def run(documents: pd.Series) -> pd.Series:

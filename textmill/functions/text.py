@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # The query keys that only track, and the words that vote for a language.
-TRACKING_KEYS = ["fbclid", "gclid", "ref", "utm_campaign", "utm_content", "utm_medium", "utm_source", "utm_term"]
+TRACKING_KEYS = ["sso", "shownavigation", "locale", "utm_source", "utm_medium", "utm_campaign", "wt_mc"]
 GERMAN_WORDS = ["der", "die", "das", "für", "mit", "und", "von", "wir"]
 ENGLISH_WORDS = ["and", "for", "of", "the", "to", "we", "with"]
 
@@ -43,14 +43,61 @@ def compare_form(text: Column, prefixes: list[str]) -> Column:
     return F.trim(F.regexp_replace(spelled, "^(" + "|".join(map(re.escape, prefixes)) + ") ", ""))
 
 
-def canonical_url(url: Column) -> Column:
-    """https, lower-case host, no port but 443, no fragment, slashes collapsed, query sorted without tracking keys; else null."""
-    scheme, host, path, query = F.lower(F.try_parse_url(url, F.lit("PROTOCOL"))), F.lower(F.try_parse_url(url, F.lit("HOST"))), F.try_parse_url(url, F.lit("PATH")), F.try_parse_url(url, F.lit("QUERY"))
-    port = F.regexp_extract(F.coalesce(F.try_parse_url(url, F.lit("AUTHORITY")), F.lit("")), r":(\d+)$", 1)
-    items = F.array_sort(F.filter(F.split(F.coalesce(query, F.lit("")), "&"), lambda x: (x != "") & ~F.lower(F.split(x, "=")[0]).isin(TRACKING_KEYS)))
-    clean = F.regexp_replace(F.regexp_replace(F.coalesce(path, F.lit("")), "/{2,}", "/"), "/+$", "")
-    joined = F.concat(F.lit("https://"), host, F.when(clean == "", "/").otherwise(clean), F.when(F.size(items) > 0, F.concat(F.lit("?"), F.array_join(items, "&"))).otherwise(""))
-    return F.when(scheme.isin("http", "https") & (host != "") & port.isin("", "443"), joined)
+_URL_PARTS = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?"
+_PLAIN_CLEAN = "[\u200b-\u200d\ufeff]"
+
+
+def url_parts(url: Column) -> list[Column]:
+    """Scheme, authority, path and query of an absolute or relative URL, empty where there is none."""
+    return [F.regexp_extract(url, _URL_PARTS, i) for i in range(1, 5)]
+
+
+def join_url(base: Column, href: Column) -> Column:
+    """``href`` as seen from the page ``base``: absolute, of the same scheme, of the same host, a query, or relative to the page's folder."""
+    scheme, host, path, _ = url_parts(base)
+    to_scheme, to_host, to_path, query = url_parts(href)
+    folder = F.regexp_extract(path, "^(.*/)", 1)
+    steps = F.split(F.when(to_path.startswith("/"), to_path).otherwise(F.concat(F.when(folder == "", "/").otherwise(folder), to_path)), "/")
+    ends_in_dots = F.element_at(steps, -1).isin(".", "..")
+    walked = F.aggregate(
+        steps, F.array().cast("array<string>"),
+        lambda done, x: F.when(x == "..", F.when(F.size(done) > 1, F.slice(done, F.lit(1), F.size(done) - 1)).otherwise(done)).when(x == ".", done).otherwise(F.concat(done, F.array(x))),
+    )
+    there = F.concat(F.array_join(walked, "/"), F.when(ends_in_dots, "/").otherwise(""))
+    asked = F.when(href.contains("?"), F.concat(F.lit("?"), query)).otherwise("")
+    return (
+        F.when(to_scheme != "", href).when(to_host != "", F.concat(scheme, F.lit(":"), href))
+        .when(to_path == "", F.concat(scheme, F.lit("://"), host, path, asked)).otherwise(F.concat(scheme, F.lit("://"), host, there, asked))
+    )
+
+
+def _decoded(text: Column) -> Column:
+    return F.coalesce(F.try_url_decode(text), F.replace(text, F.lit("+"), F.lit(" ")))
+
+
+def _encoded(text: Column) -> Column:
+    """Percent-encoded but for letters, digits and _.-~; a space is a plus."""
+    return F.replace(F.replace(F.url_encode(text), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
+def canonical_url(url: Column, base: Column | None = None, hosts: dict[str, str] | None = None) -> Column:
+    """https, lower-case host, no port but 443, no fragment, slashes collapsed, decoded query pairs sorted without tracking keys; else null.
+
+    Zero-width characters go; a relative URL is joined to ``base``; ``hosts`` names aliases of hosts.
+    """
+    clean = F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(url, F.lit("")), _PLAIN_CLEAN, ""), r"\s+", " "))
+    whole = clean if base is None else join_url(base, clean)
+    scheme, authority, path, query = url_parts(whole)
+    named = F.lower(F.regexp_replace(F.regexp_replace(authority, "^.*@", ""), r":\d*$", ""))
+    port = F.regexp_extract(authority, r":(\d+)$", 1)
+    for alias, host in (hosts or {}).items():
+        named = F.when(named == alias, host).otherwise(named)
+    pairs = F.transform(F.filter(F.split(query, "&"), lambda x: x != ""), lambda x: F.struct(_decoded(F.substring_index(x, "=", 1)).alias("k"), _decoded(F.regexp_extract(x, "=(.*)$", 1)).alias("v")))
+    items = F.transform(F.array_sort(F.filter(pairs, lambda x: ~F.lower(x["k"]).isin(TRACKING_KEYS))), lambda x: F.concat(_encoded(x["k"]), F.lit("="), _encoded(x["v"])))
+    way = F.regexp_replace(F.regexp_replace(F.trim(path), "/{2,}", "/"), "/+$", "")
+    joined = F.concat(F.lit("https://"), named, F.when(way == "", "/").otherwise(way), F.when(F.size(items) > 0, F.concat(F.lit("?"), F.array_join(items, "&"))).otherwise(""))
+    skipped = clean.rlike("(?i)^(#|javascript:|mailto:|tel:|data:)") | (clean == "")
+    return F.when(~skipped & F.lower(scheme).isin("http", "https") & (named != "") & port.isin("", "443"), joined)
 
 
 def unique_rule_match(text: Column, rules: dict[str, str]) -> Column:

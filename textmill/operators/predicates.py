@@ -19,11 +19,12 @@ def any_of(conditions: Iterable[Column]) -> Column:
 
 
 def compile_filter(filters: dict[str, Any], direct: Iterable[str], json_col: str, ignored: Iterable[str] = ()) -> Column:
-    """A metadata filter as one pushable condition.
+    """A metadata filter as one condition.
 
-    Names in ``direct`` are columns, others are keys of the JSON column. A list means any of its values; an empty list matches
-    nothing; ``ignored`` names are skipped.
+    Names in ``direct`` are text columns and reach the scan; others are keys of the JSON column, whose values must contain the wanted
+    one with its type. A list means any of its values; an empty list matches nothing; ``ignored`` names are skipped.
     """
+    document = F.try_parse_json(json_col)
     direct, skipped, found = set(direct), set(ignored), []
     for name, wanted in filters.items():
         if name in skipped:
@@ -32,12 +33,35 @@ def compile_filter(filters: dict[str, Any], direct: Iterable[str], json_col: str
         if not values:
             found.append(F.lit(False))
         elif name in direct:
-            found.append(F.col(name).isin(values))
+            found.append(F.col(name).isin([str(v) for v in values]))
         else:
-            found.append(F.get_json_object(json_col, f"$.{name}").isin([str(v) for v in values]))
+            found.append(any_of(json_contains(document, {name: v}) for v in values))
     return all_of(found)
 
 
+def json_contains(document: Column, wanted: Any) -> Column:
+    """Whether a VARIANT holds ``wanted``: equal scalars of one type, all entries of an object, all elements of an array."""
+    kind = F.schema_of_variant(document)
+    if wanted is None:
+        found = F.is_variant_null(document)
+    elif isinstance(wanted, bool):
+        found = (kind == "BOOLEAN") & (F.try_variant_get(document, "$", "boolean") == wanted)
+    elif isinstance(wanted, (int, float)):
+        found = kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)") & (F.try_variant_get(document, "$", "double") == float(wanted))
+    elif isinstance(wanted, dict):
+        found = kind.startswith("OBJECT") & all_of(json_contains(F.try_variant_get(document, _json_path(k), "variant"), v) for k, v in wanted.items())
+    elif isinstance(wanted, (list, tuple)):
+        elements = F.try_variant_get(document, "$", "array<variant>")
+        found = kind.startswith("ARRAY") & all_of(F.exists(elements, lambda x, w=w: json_contains(x, w)) for w in wanted)
+    else:
+        found = (kind == "STRING") & (F.try_variant_get(document, "$", "string") == str(wanted))
+    return F.coalesce(found, F.lit(False))
+
+
+def _json_path(key: str) -> str:
+    return "$['" + key.replace("\\", "\\\\").replace("'", "\\'") + "']"
+
+
 def half_open(ts: Column, start: str | None, end: str | None) -> Column:
     bounds = [ts >= F.lit(start).cast("timestamp")] if start else []
     return all_of(bounds + ([ts < F.lit(end).cast("timestamp")] if end else []))
@@ -52,17 +76,20 @@ def require_fields(df: DataFrame, active: dict[str, Any], needs: dict[str, str])
 
 
 def drop_json_keys(json_col: str, keys: Iterable[str]) -> Column:
-    """The JSON object without top-level keys; values keep their JSON form."""
-    entries = F.from_json(F.col(json_col), "map<string,string>")
-    return F.to_json(F.map_filter(entries, lambda k, _: ~k.isin(list(keys))))
+    """The JSON object without top-level keys, others in order; values keep their types at any depth. Null where it is no object."""
+    return F.to_json(F.map_filter(_entries(F.col(json_col)), lambda k, _: ~k.isin(list(keys))))
 
 
 def merge_json(left: str, right: dict[str, Column]) -> Column:
-    """The JSON object with entries added; the right side wins."""
-    added = F.create_map(*(x for k, v in right.items() for x in (F.lit(k), v.cast("string"))))
-    names = list(right)
-    old = F.map_filter(F.coalesce(F.from_json(F.col(left), "map<string,string>"), F.create_map().cast("map<string,string>")), lambda k, _: ~k.isin(names))
-    return F.to_json(F.map_concat(old, added))
+    """The JSON object with entries added, keys in order; the right side wins, and all values keep their types. No object counts as an empty one."""
+    added = _entries(F.to_json(F.struct(*(v.alias(k) for k, v in right.items())), {"ignoreNullFields": "false"}))
+    nothing = _entries(F.lit("{}"))
+    old = F.map_filter(F.coalesce(_entries(F.col(left)), nothing), lambda k, _: ~k.isin(list(right)))
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(F.map_concat(old, added)), lambda a, b: F.when(a["key"] < b["key"], -1).otherwise(1))))
+
+
+def _entries(document: Column) -> Column:
+    return F.try_variant_get(F.try_parse_json(document), "$", "map<string,variant>")
 
 
 def blank_to_null(text: Column) -> Column:

@@ -6,7 +6,6 @@ is one Python group; many queries run side by side.
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
@@ -14,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textmill.operators import dedup, ranking
+
 
 @dataclass
 class Candidate:
@@ -90,22 +91,38 @@ def prefix_reorder(candidates: Iterable[Candidate], window: int, targets: dict[s
     return head + [c for c in order if c not in head]
 
 
-def covering_units(units: list[tuple[str, frozenset, int]], needed: Iterable[str], most_chars: int, most_units: int = 8) -> list[str]:
-    """The least number of units (id, terms, length) that together hold all needed terms within the length.
+MOST_COMBINED = 8
+
 
-    Nothing is combined where one unit suffices; among equal counts most term contributions win, then the first units.
+def covering_units(units: DataFrame, keys: list[str], id_col: str, order: str, text_col: str, needed: list[str], most_chars: int) -> DataFrame:
+    """(keys, units): for each key the least number of units that together hold all needed terms within ``most_chars``.
+
+    Of a key's units the first MOST_COMBINED that are no near-duplicates of one another are combined. One unit is enough where it holds
+    all; among equal counts most term contributions win, then the first units. Keys without such a combination give no row.
+    """
+    wanted = F.array(*map(F.lit, needed))
+    distinct = dedup.diversify(units.select(*dict.fromkeys([*keys, id_col, order, text_col])), keys, order, text_col, limit=MOST_COMBINED)
+    held = distinct.select(*keys, F.struct(F.col(order).alias("at"), F.col(id_col).alias("id"), F.char_length(text_col).alias("length"), F.filter(wanted, lambda t: F.array_contains(ranking.terms(text_col), t)).alias("terms")).alias("unit"))
+    grouped = held.groupBy(*keys).agg(F.array_sort(F.collect_list("unit")).alias("units"))  # MOST_COMBINED at most
+    masks = grouped.select(*keys, "units", F.explode(F.sequence(F.lit(1), F.expr("CAST(shiftleft(1, size(units)) - 1 AS INT)"))).alias("mask"))
+    places = F.filter(F.sequence(F.lit(0), F.size("units") - 1), lambda i: F.expr("mask").bitwiseAND(F.call_function("shiftleft", F.lit(1), i)) != 0)
+    chosen = masks.withColumn("places", places).withColumn("chosen", F.transform("places", lambda i: F.get("units", i)))
+    total = F.aggregate("chosen", F.lit(0), lambda s, u: s + u["length"])
+    gained = F.aggregate("chosen", F.lit(0), lambda s, u: s + F.size(u["terms"]))
+    fits = chosen.where((total <= most_chars) & (F.size(F.array_distinct(F.flatten(F.transform("chosen", lambda u: u["terms"])))) == len(set(needed))))
+    ranked = F.struct(F.size("places").alias("n"), (-gained).alias("less"), F.col("places"))
+    return fits.groupBy(*keys).agg(F.min_by(F.transform("chosen", lambda u: u["id"]), ranked).alias("units"))
+
+
+def cycle(rows: DataFrame, id_col: str, times: float) -> DataFrame:
+    """Each row with a ``copy`` number, so that there are ``times`` as many rows: whole rounds, then the first rows by id again.
+
+    The last, partial round is cut by a range of ids that holds as many rows, not by a numbering of all rows in one task.
     """
-    wanted = frozenset(needed)
-    units = units[:most_units]
-    for u in units:
-        if wanted <= u[1] and u[2] <= most_chars:
-            return [u[0]]
-    for n in range(2, len(units) + 1):
-        fits = [c for c in itertools.combinations(range(len(units)), n) if sum(units[i][2] for i in c) <= most_chars and wanted <= frozenset().union(*(units[i][1] for i in c))]
-        if fits:
-            best = min(fits, key=lambda c: (-sum(len(units[i][1] & wanted) for i in c), c))
-            return [units[i][0] for i in best]
-    return []
+    whole, part = int(times), times - int(times)
+    full = rows.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(whole - 1)))) if whole else rows.limit(0).withColumn("copy", F.lit(0))
+    n = int(rows.count() * times) - whole * rows.count()
+    return full if part <= 0 or n <= 0 else full.unionByName(rows.orderBy(id_col).limit(n).withColumn("copy", F.lit(whole)))
 
 
 SCHEMA = "query_id long, id string, position long"

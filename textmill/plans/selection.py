@@ -32,8 +32,15 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("k07_unit_diversification")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    units = ranking.top_k(table(spark, d, "conversations"), ["conv_id", "role"], [F.col("turn"), F.col("text")], 8)
-    return dedup.diversify(units.select("conv_id", "turn", "text"), ["conv_id"], "turn", "text", limit=6).select("conv_id", "turn")
+    units = dedup.diversify(table(spark, d, "conversations").select("conv_id", "turn", "text"), ["conv_id"], "turn", "text", limit=8)
+    first, _ = ranking.overfetch(16)
+    return units.orderBy("turn", "conv_id", "text").limit(first).select("conv_id", "turn")
+
+
+@query("k14_covering_units")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    found = selection.covering_units(table(spark, d, "conversations"), ["conv_id"], "turn", "turn", "text", ["of", "the"], 4000)
+    return found.select("conv_id", F.array_join(F.transform("units", lambda x: x.cast("string")), ",").alias("units"))
 
 
 @query("k15_exact_fact_scores", """WITH f AS (SELECT o_custkey % 50 AS query_id, o_custkey AS group_id, o_orderpriority AS identity, count(*) OVER (PARTITION BY o_orderpriority) AS df, o_orderstatus = 'F' AS phrase, o_totalprice > 200000 AS authority FROM orders), n AS (SELECT greatest(1, count(*)) AS n FROM orders),
@@ -77,7 +84,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return keys.select("h").distinct().join(stored, "h", "left").agg(F.count("there").alias("hits"), F.count_if(F.col("there").isNull()).alias("misses"))
 
 
-@query("x09_page_texts", "SELECT source, string_agg(head, ' ' ORDER BY first_id) AS text FROM (SELECT source, left(text, 5) AS head, min(doc_id) AS first_id FROM documents GROUP BY 1, 2) GROUP BY 1")
+@query("x09_page_texts", "SELECT source, string_agg(text, ' ' ORDER BY first_id) AS text FROM (SELECT source, text, min(doc_id) AS first_id FROM documents GROUP BY 1, 2) GROUP BY 1")
 def _(spark: SparkSession, d: str) -> DataFrame:
     blocks = table(spark, d, "documents").select("source", "doc_id", "text", F.sha2("text", 256).alias("hash"))
     first = blocks.groupBy("source", "hash").agg(F.min_by("text", "doc_id").alias("block"), F.min("doc_id").alias("first_id"))
@@ -104,10 +111,12 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return cases.agg(F.count("*").alias("cases"), (F.count_distinct("id") == F.count("*")).alias("is_unique"))
 
 
-@query("x20_workload_resize", "SELECT r_name || '-' || i AS name FROM region, range(0, 20) t(i) WHERE i % 5 = r_regionkey")
+@query("x20_workload_resize", "WITH s AS (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) - 1 AS pos, count(*) OVER () AS n FROM documents) SELECT doc_id || '#' || c AS id, md5(CASE WHEN c > 0 THEN text || ' [copy ' || c || ']' ELSE text END) AS text_hash FROM s, range(0, 3) r(c) WHERE pos + c * n < (5 * n) // 2")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    wanted = spark.range(20).select(F.col("id").alias("i"), (F.col("id") % 5).cast("int").alias("r_regionkey"))
-    return wanted.join(table(spark, d, "region"), "r_regionkey").select(F.concat_ws("-", "r_name", "i").alias("name"))
+    """Sources cycled until there are two and a half times as many documents, each copy with a text of its own."""
+    resized = selection.cycle(table(spark, d, "documents").select("doc_id", "text"), "doc_id", 2.5)
+    text_of = F.when(F.col("copy") > 0, F.concat("text", F.lit(" [copy "), "copy", F.lit("]"))).otherwise(F.col("text"))
+    return resized.select(F.concat_ws("#", "doc_id", "copy").alias("id"), F.md5(text_of).alias("text_hash"))
 
 
 @query("x21_export_cells", "SELECT event_id, '' AS nothing, CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'false' END AS flag, '''@' || event_type AS cell FROM events")
@@ -136,10 +145,13 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return sizes.select("label", ranking.ann_eligible(F.col("n"), 50, F.col("label") == 3).alias("approximate"))
 
 
-@query("k06_overfetch", "SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS i FROM documents) WHERE i <= 12")
+@query("k06_overfetch", """WITH f AS (SELECT * FROM (SELECT source, doc_id, n_chars, md5(text) AS h, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS i FROM documents) WHERE i <= 48),
+u AS (SELECT source, h, min(i) AS i, arg_min(doc_id, i) AS doc_id FROM f GROUP BY 1, 2) SELECT source, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY i) AS j FROM u) WHERE j <= 12""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    first, _more = ranking.overfetch(3)
-    return ranking.top_k(table(spark, d, "documents"), ["source"], [F.desc("n_chars"), F.col("doc_id")], first).select("source", "doc_id")
+    first, more = ranking.overfetch(3)
+    docs = table(spark, d, "documents").select("source", "doc_id", "n_chars", F.md5("text").alias("h"))
+    fetched = ranking.top_k(docs, ["source"], [F.desc("n_chars"), F.col("doc_id")], more, "i")
+    return ranking.top_k(dedup.first_per_key(fetched, ["source", "h"], [F.col("i")]), ["source"], [F.col("i")], first).select("source", "doc_id")
 
 
 @query("t11_lease_replay", "WITH f AS (SELECT *, 4 - sum((o_orderstatus = 'F')::INT) OVER (PARTITION BY o_custkey) AS free FROM orders), w AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_orderkey) AS place FROM f WHERE o_orderstatus <> 'F') SELECT o_orderkey FROM w WHERE place <= free")
@@ -148,7 +160,11 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return ranking.admitted(requests, ["o_custkey"], [F.col("o_orderpriority"), F.col("o_orderkey")], 4, "active").select("o_orderkey")
 
 
-@query("s19_metadata", "SELECT key, value FROM (VALUES ('model', 'b'), ('size', '1'), ('build', '7')) t(key, value)")
+@query("s19_metadata", "WITH h AS (SELECT 'rows:' || event_type || ':' || user_id AS key, count(*) FILTER (WHERE ts < TIMESTAMP '2024-01-15') AS a, count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-15') AS b FROM events GROUP BY 1) SELECT key, CASE WHEN b > 0 THEN b ELSE a END::VARCHAR AS value FROM h")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    stored = spark.createDataFrame([("model", "a"), ("size", "1")], "key string, value string")
-    return files.upsert(stored, spark.createDataFrame([("model", "b"), ("build", "7")], "key string, value string"), ["key"])
+    """A store of key and value texts, loaded from the first half of the events and saved over from the second."""
+    def load(condition: str) -> DataFrame:
+        keyed = table(spark, d, "events").where(condition).groupBy(F.concat_ws(":", F.lit("rows"), "event_type", "user_id").alias("key"))
+        return keyed.agg(F.count("*").cast("string").alias("value"))
+
+    return files.upsert(load("ts < '2024-01-15'"), load("ts >= '2024-01-15'"), ["key"])

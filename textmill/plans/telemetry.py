@@ -110,6 +110,6 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return files.insert_new(rows.where("c_custkey % 2 = 0"), rows.where("c_custkey % 3 = 0").withColumn("c_mktsegment", F.lit("NEW")), ["c_custkey"])
 
 
-@query("s20_bounded_log", "SELECT event_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 2000")
+@query("s20_bounded_log", "SELECT event_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 20000")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return files.keep_last(table(spark, d, "events"), ["ts", "event_id"], 2000).select("event_id")
+    return files.keep_last(table(spark, d, "events"), ["ts", "event_id"], 20_000).select("event_id")
