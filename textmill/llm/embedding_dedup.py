@@ -22,6 +22,7 @@ SUBSPACES, CODES = 8, 32
 REACH = 4.0  # probes go so many standard deviations of a random direction's share in one dimension far
 BLOCK = 1024  # members and visitors of a list that one task compares at once
 PAIRS = 1 << 16
+BROADCAST_LISTS = 200_000  # rows (label, list, sizes) that may be broadcast
 
 
 def _squares(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -264,12 +265,15 @@ def near_duplicates(
         where = ["label", "cell", "depth"]
         blocks = dealt.groupBy(*where).agg(*(F.greatest(F.ceil(n / BLOCK), F.lit(1)).cast("int").alias(c) for c, n in (("m", F.count_if(F.expr("cell = own"))), ("v", F.count("*")))))
         blocks = materialize(blocks, "list-blocks")
-        placed = dealt.join(blocks, where).withColumn("m_at", F.pmod(F.xxhash64("rep"), F.col("m")).cast("int")).withColumn("v_at", F.pmod(F.xxhash64("rep"), F.col("v")).cast("int"))
+        # where the lists' sizes are joined by a shuffle, blocks of one list still go to different tasks
+        small = blocks.count() <= BROADCAST_LISTS
+        placed = dealt.join(F.broadcast(blocks) if small else blocks, where).withColumn("m_at", F.pmod(F.xxhash64("rep"), F.col("m")).cast("int")).withColumn("v_at", F.pmod(F.xxhash64("rep"), F.col("v")).cast("int"))
         members = placed.where("cell = own").withColumn("v_at", F.explode(F.sequence(F.lit(0), F.col("v") - 1))).withColumn("role", F.lit(0))
         visitors = placed.withColumn("m_at", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).withColumn("role", F.lit(1))
         group = [*where, "m_at", "v_at"]
         fields = [*group, "role", "rep", "copies", "own", "raw", "code", "error"]
-        pairs = members.select(fields).unionByName(visitors.select(fields)).groupBy(*group).applyInArrow(_search(shared, cosine, kind), "a long, b long, edge boolean")
+        both = members.select(fields).unionByName(visitors.select(fields))
+        pairs = (both if small else both.repartition(*group)).groupBy(*group).applyInArrow(_search(shared, cosine, kind), "a long, b long, edge boolean")
         pairs = materialize(pairs, "vector-links")
         discard(dealt)
         found = pairs if found is None else found.union(pairs)
