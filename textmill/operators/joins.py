@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SMALL_ROWS = 50_000
+SMALL_FACTS = 5_000
 
 
 def latest(df: DataFrame, keys: list[str], order: list[str], columns: list[str]) -> DataFrame:
@@ -35,9 +35,16 @@ def normalized(text: str) -> Column:
 
 
 def contained_facts(queries: DataFrame, facts: DataFrame, query_col: str, fact_col: str) -> DataFrame:
-    """Facts whose normalised words stand in a query as whole words: an equi-join on the fact's first word, then containment."""
+    """Facts whose normalised words stand in a query as whole words: an equi-join on the fact's first word, then containment.
+
+    Where the facts are few, a query's other words are left out before it is multiplied by its words.
+    """
     keyed = facts.select(fact_col, normalized(fact_col).alias("_fact")).distinct().withColumn("_first", F.element_at(F.split(F.trim("_fact"), " "), 1))
-    said = queries.withColumn("_query", normalized(query_col)).withColumn("_first", F.explode(F.array_distinct(F.split(F.trim("_query"), " "))))
+    words = F.array_distinct(F.split(F.trim("_query"), " "))
+    firsts = [r[0] for r in keyed.select("_first").distinct().limit(SMALL_FACTS + 1).collect()]
+    if len(firsts) <= SMALL_FACTS:
+        words = F.array_intersect(words, F.lit(firsts) if firsts else F.array().cast("array<string>"))
+    said = queries.withColumn("_query", normalized(query_col)).withColumn("_first", F.explode(words))
     return said.join(keyed, "_first").where(F.contains("_query", "_fact")).drop("_query", "_fact", "_first")
 
 

@@ -1,27 +1,120 @@
-"""The flagship query: vector branches and a BM25 branch fused by weighted reciprocal ranks."""
+"""The flagship query: five branches, collapsed to parents, fused by weighted reciprocal ranks, reranked and selected."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmill.operators import ranking
+from textmill.operators import joins, ranking, selection
 from textmill.plans.registry import query
-from textmill.session import table
+from textmill.session import table, written
 
+BRANCH = 16
+LINES = 24  # bits of a unit's id that number the lines of a document
+WEIGHTS = {"dense": 1.0, "lexical": 1.0, "exact": 1.25}
+RERANKED = 21
 
-def flagship(spark: SparkSession, d: str) -> DataFrame:
-    """For each benchmark item: documents by BM25 and by length-alike rank, fused; the first ten."""
-    docs = table(spark, d, "documents")
+
+def _collapsed(chunks: DataFrame, units: DataFrame) -> DataFrame:
+    """Two ranked branches (item_id, doc_id, child, score, rank) as one of parents, the first BRANCH."""
+    rows = chunks.withColumn("has_unit", F.lit(False)).withColumn("position", F.col("rank"))
+    rows = rows.unionByName(units.withColumn("has_unit", F.lit(True)).withColumn("position", F.col("rank") + (1 << 20)))
+    found = ranking.collapse(rows.drop("rank"), ["item_id"], "doc_id", "child", "score", "position", "has_unit")
+    return found.where(F.col("rank") <= BRANCH).select("item_id", "doc_id", "rank")
+
+
+def _dense(spark: SparkSession, d: str, items: DataFrame) -> DataFrame:
+    """Even vectors stand for documents, each odd one for a unit of the document before it."""
+    vectors = table(spark, d, "embeddings").select("vec_id", "embedding")
+    asked = vectors.join(items.select("item_id"), F.col("vec_id") == F.col("item_id")).select(F.col("item_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    parent = (F.col("vec_id") - F.col("vec_id") % 2).alias("doc_id")
+    _, more = ranking.overfetch(BRANCH)
+    branches = [ranking.knn(vectors.where(F.col("vec_id") % 2 == half), asked, "vec_id", "embedding", k) for half, k in ((0, BRANCH), (1, more))]
+    return _collapsed(*(b.select(F.col("query_id").alias("item_id"), parent, F.col("vec_id").alias("child"), "score", "rank") for b in branches))
+
+
+def _lexical(spark: SparkSession, d: str, items: DataFrame) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "text")).select((F.shiftleft("doc_id", LINES) + F.col("line")).alias("unit_id"), "text")
+    _, more = ranking.overfetch(BRANCH)
+    chunks = ranking.bm25(docs, items, "doc_id", "text", "item_id", "question", BRANCH).withColumn("child", F.col("doc_id"))
+    units = ranking.bm25(lines, items, "unit_id", "text", "item_id", "question", more).withColumn("doc_id", F.shiftright("unit_id", LINES)).withColumnRenamed("unit_id", "child")
+    return _collapsed(*(b.select("item_id", "doc_id", "child", "score", "rank") for b in (chunks, units)))
+
+
+def _exact(spark: SparkSession, d: str, items: DataFrame) -> DataFrame:
+    """Documents that hold an item's second and third word as a phrase, by the phrase's rarity and the document's authority."""
+    docs = table(spark, d, "documents").select("doc_id", "source", "text")
+    facts = items.select("item_id", F.array_join(F.slice(F.split(F.trim(joins.normalized("question")), " "), 2, 2), " ").alias("fact")).where("fact <> ''")
+    held = written(joins.contained_facts(docs, facts.select("fact").distinct(), "text", "fact").select("doc_id", "source", "fact"), "exact-facts")
+    df = held.groupBy("fact").agg(F.count_distinct("doc_id").alias("df"))
+    rows = held.join(df, "fact").join(facts, "fact").select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("group_id"), F.col("fact").alias("identity"), "df", F.lit(True).alias("phrase"), (F.col("source") == "src0").alias("authority"))
+    scored = selection.exact_fact_scores(rows, docs.count()).select(F.col("query_id").alias("item_id"), F.col("group_id").alias("doc_id"), "score")
+    return ranking.top_k(scored, ["item_id"], [F.desc("score"), F.col("doc_id")], BRANCH).select("item_id", "doc_id", "rank")
+
+
+def reranked(spark: SparkSession, d: str) -> DataFrame:
+    """(item_id, doc_id, score, first_rank, rerank_score, final, position) for each benchmark item as a question.
+
+    Dense and lexical search each look at documents and at their units and collapse units to documents; exact search looks for
+    phrases. Reciprocal ranks are added with weights 1, 1 and 1.25; the first RERANKED are scored again by the share of the
+    question's words that they hold, and both ranks are fused.
+    """
     items = table(spark, d, "benchmark").withColumnRenamed("text", "question")
-    lexical = ranking.bm25(docs, items, "doc_id", "text", "item_id", "question", 28)
-    vectors = table(spark, d, "embeddings")
-    queries = vectors.join(items.select("item_id"), F.col("vec_id") == F.col("item_id")).select(F.col("item_id").alias("query_id"), F.col("embedding").alias("query_vector"))
-    dense = ranking.knn(vectors, queries, "vec_id", "embedding", 28).select(F.col("query_id").alias("item_id"), F.col("vec_id").alias("doc_id"), "rank")
-    fused = ranking.reciprocal_rank_fusion([(lexical.select("item_id", "doc_id", "rank"), 1.0), (dense, 1.0)], ["item_id"], "doc_id")
-    return fused.where("first_rank <= 10").select("item_id", "doc_id", "score", "first_rank")
+    branches = {"dense": _dense(spark, d, items), "lexical": _lexical(spark, d, items), "exact": _exact(spark, d, items)}
+    first = ranking.reciprocal_rank_fusion([(branches[n], w) for n, w in WEIGHTS.items()], ["item_id"], "doc_id").where(F.col("first_rank") <= RERANKED)
+    asked = items.select("item_id", F.array_distinct(ranking.terms("question")).alias("asked"))
+    texts = table(spark, d, "documents").select("doc_id", "text")
+    share = F.size(F.array_intersect("asked", ranking.terms("text"))) / F.greatest(F.size("asked"), F.lit(1))
+    scored = first.join(asked, "item_id").join(texts, "doc_id").select("item_id", "doc_id", "score", "first_rank", F.round(share, 6).alias("rerank_score"))
+    return ranking.rerank_fusion(scored, ["item_id"], "doc_id", "rerank_score", "first_rank")
 
 
-@query("hybrid_retrieval")
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    return reranked(spark, d).where("position <= 8").select("item_id", "doc_id", "score", "first_rank", "rerank_score", "final", "position")
+
+
+def _bm25_sql(name: str, rows: str, k: int) -> str:
+    """Common table expressions that end in ``name`` (item_id, id, score, rank)."""
+    return rf"""{name}_t AS (SELECT id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS t FROM ({rows})), {name}_s AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM {name}_t),
+{name}_x AS (SELECT id, len(t) AS l, unnest(t) AS term FROM {name}_t), {name}_p AS (SELECT id, l, term, count(*) AS tf FROM {name}_x WHERE term IN (SELECT term FROM q) GROUP BY ALL), {name}_f AS (SELECT term, count(*) AS df FROM {name}_p GROUP BY 1),
+{name}_w AS (SELECT id, term, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / mean)) AS w FROM {name}_p JOIN {name}_f USING (term), {name}_s),
+{name}_g AS (SELECT item_id, id, round(sum(w), 6) AS score FROM q JOIN {name}_w USING (term) GROUP BY 1, 2),
+{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, id) AS rank FROM {name}_g) WHERE rank <= {k})"""
+
+
+_NORMAL = r"' ' || trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')) || ' '"
+_KNN = "SELECT item_id, e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) AS score FROM embeddings e, (SELECT item_id, embedding FROM benchmark JOIN embeddings ON vec_id = item_id) q WHERE e.vec_id % 2 = "
+_COLLAPSE = "SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY max(score) DESC, min(position)) AS rank FROM ({}) GROUP BY 1, 2"
+_FIRST = rf"""WITH q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) AS term FROM benchmark),
+{_bm25_sql("c", "SELECT doc_id AS id, text FROM documents", 16)},
+{_bm25_sql("u", f"SELECT doc_id * {1 << LINES} + generate_subscripts(string_split(text, chr(10)), 1) - 1 AS id, unnest(string_split(text, chr(10))) AS text FROM documents", 256)},
+dc AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, vec_id) AS rank FROM ({_KNN} 0)), du AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, vec_id) AS rank FROM ({_KNN} 1)),
+dense AS ({_COLLAPSE.format("SELECT item_id, vec_id AS doc_id, score, rank AS position FROM dc WHERE rank <= 16 UNION ALL SELECT item_id, vec_id - 1, score, rank + 1048576 FROM du WHERE rank <= 256")}),
+lexical AS ({_COLLAPSE.format(f"SELECT item_id, id AS doc_id, score, rank AS position FROM c UNION ALL SELECT item_id, id // {1 << LINES}, score, rank + 1048576 FROM u")}),
+fact AS (SELECT item_id, trim(split_part(t, ' ', 3) || ' ' || split_part(t, ' ', 4)) AS fact FROM (SELECT item_id, {_NORMAL} AS t FROM benchmark)),
+held AS (SELECT DISTINCT doc_id, source, fact FROM (SELECT doc_id, source, {_NORMAL} AS t FROM documents), (SELECT DISTINCT fact FROM fact WHERE fact <> '') WHERE contains(t, ' ' || fact || ' ')),
+exact AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY round(ln((n + 1) / (df + 1)) + 1 + 0.35 + CASE WHEN source = 'src0' THEN 0.45 ELSE 0 END, 6) DESC, doc_id) AS rank
+FROM held JOIN (SELECT fact, count(DISTINCT doc_id) AS df FROM held GROUP BY 1) USING (fact) JOIN fact USING (fact), (SELECT count(*) AS n FROM documents)),
+parts AS (SELECT item_id, doc_id, 1.0::DOUBLE / (60 + rank) AS part FROM dense WHERE rank <= 16 UNION ALL SELECT item_id, doc_id, 1.0::DOUBLE / (60 + rank) FROM lexical WHERE rank <= 16 UNION ALL SELECT item_id, doc_id, 1.25::DOUBLE / (60 + rank) FROM exact WHERE rank <= 16),
+fused AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS first_rank FROM (SELECT item_id, doc_id, round(sum(part), 9) AS score FROM parts GROUP BY 1, 2)),
+shared AS (SELECT f.*, round(len(list_intersect(list_distinct(regexp_extract_all(lower(b.text), '[\p{{L}}\p{{N}}]+')), regexp_extract_all(lower(d.text), '[\p{{L}}\p{{N}}]+'))) / greatest(1, len(list_distinct(regexp_extract_all(lower(b.text), '[\p{{L}}\p{{N}}]+')))), 6) AS rerank_score
+FROM fused f JOIN benchmark b USING (item_id) JOIN documents d USING (doc_id) WHERE first_rank <= 21),
+again AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY rerank_score DESC, first_rank, doc_id) AS rerank_rank FROM shared),
+final AS (SELECT *, round((4.0::DOUBLE / 3) / (60 + rerank_rank) + (2.0::DOUBLE / 3) / (60 + first_rank), 9) AS final FROM again)
+SELECT * FROM (SELECT item_id, doc_id, score, first_rank, rerank_score, final, row_number() OVER (PARTITION BY item_id ORDER BY final DESC, rerank_rank, first_rank, doc_id) AS position FROM final) WHERE position <= 8"""
+
+
+@query("hybrid_retrieval", _FIRST)
 def _(spark: SparkSession, d: str) -> DataFrame:
     return flagship(spark, d)
+
+
+@query("hybrid_selection")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """What the flagship ranks, with at least one French, one German and two English documents where there are any, the first eight."""
+    docs = table(spark, d, "documents").select("doc_id", "lang", "source", F.array_distinct(ranking.terms("text")).alias("terms"))
+    ranked = reranked(spark, d).select("item_id", "doc_id", "position").join(docs, "doc_id").select(
+        F.col("item_id").alias("query_id"), F.col("doc_id").cast("string").alias("id"), F.col("position").alias("rank"), F.col("lang").alias("scope"), "source", F.lit("").alias("family"), F.lit("").alias("evidence"), "terms"
+    )
+    return selection.select_with_quotas(ranked, {"fr": 1, "de": 1, "en": 2}, 8, ["the", "of", "la"])
