@@ -225,5 +225,4 @@ def test_spans_and_overlaps():
     assert spans.table_blocks("| a | b |\n|---|---|\n| 1 | 2 |\n| 3 |  |\nend") == ["a: 1; b: 2\na: 3"]
     assert spans.collect_ids('{"x": {"id": [1, [2]]}, "id": 1}', ("id",)) == ["1", "2"]
     assert spans.remove_boilerplate("x\nx\n---\nPhone:\n123\n\n\ny", [])["text"] == "x\n\ny"
-    assert spans.centered_window("alpha beta gamma delta", 6, 10, 12) == "alpha beta gamma"
     assert spans.sentence_chunks("A b. C d. E f.", 9, 4) == ["A b. C d.", "C d. E f."]

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+import math
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def bigram_counts(text: Column) -> Column:
@@ -82,3 +88,32 @@ def iou(a: list[Column], b: list[Column]) -> Column:
     area = lambda r: (r[2] - r[0]) * (r[3] - r[1])
     union = area(a) + area(b) - inter
     return F.when(union > 0, inter / union).otherwise(0.0)
+
+
+@functools.lru_cache(maxsize=4096)
+def _bigrams(text: str) -> tuple[Counter, float]:
+    plain = "".join(c for c in text.lower() if c.isalnum())
+    counts = Counter(map("".join, zip(plain, plain[1:]))) if len(plain) > 1 else Counter([plain] if plain else [])
+    return counts, math.sqrt(sum(n * n for n in counts.values()))
+
+
+def bigram_cosine(a: str | None, b: str | None) -> float:
+    """Cosine of two texts' bigram counts; both empty: 1, one empty: 0."""
+    (x, m), (y, n) = _bigrams(a or ""), _bigrams(b or "")
+    if not x or not y:
+        return float(not x and not y)
+    if len(y) < len(x):
+        x, y = y, x
+    return sum(c * y[g] for g, c in x.items() if g in y) / (m * n)
+
+
+@F.pandas_udf(T.DoubleType())
+def text_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Like ``map_cosine`` of ``bigram_counts``, in time that grows with the texts, not with their square."""
+    return pd.Series([bigram_cosine(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
+@F.pandas_udf(T.DoubleType())
+def most_alike(texts: pd.Series, b: pd.Series) -> pd.Series:
+    """The largest similarity of any of a list of texts; 0 for none."""
+    return pd.Series([max((bigram_cosine(x, y) for x in (xs if xs is not None else [])), default=0.0) for xs, y in zip(texts, b, strict=True)], dtype="float64")

@@ -53,18 +53,6 @@ def table_blocks(markdown: str | None, rows_per_block: int = 8) -> list[str]:
     return blocks
 
 
-def centered_window(text: str | None, start: int, end: int, size: int) -> str:
-    """About ``size`` characters around [start, end), moved out to the nearest white space."""
-    text = text or ""
-    room = max(0, size - (end - start))
-    a, b = max(0, start - room // 2), min(len(text), end + room - room // 2)
-    while 0 < a and not text[a - 1].isspace():
-        a -= 1
-    while b < len(text) and not text[b].isspace():
-        b += 1
-    return text[a:b].strip()
-
-
 def fuzzy_span(text: str | None, quote: str | None, least: float = 0.85) -> tuple[int, int] | None:
     """Where a quote stands in a text: exactly, or without case and white space, or by its best aligned block."""
     if not text or not quote or not quote.strip():
@@ -158,6 +146,17 @@ def parse_events(chunks: list[str]) -> list[tuple[str, str]]:
     return events
 
 
+def event_milestones(chunks: list[tuple[float, str]]) -> list[tuple[str, str, float]]:
+    """(event, data, time) of server-sent events cut anywhere into timed chunks; an event's time is that of the chunk that completes it."""
+    out, held = [], ""
+    for at, chunk in chunks:
+        held = (held + chunk).replace("\r\n", "\n")
+        while "\n\n" in held:
+            block, held = held.split("\n\n", 1)
+            out += [(*e, at) for e in parse_events([block + "\n\n"])]
+    return out
+
+
 _STRINGS = T.ArrayType(T.StringType())
 _CLEANED = T.StructType([T.StructField("text", T.StringType()), *(T.StructField(n, T.LongType()) for n in ("noise", "contact", "punctuation", "repeat"))])
 _SPAN = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
@@ -234,3 +233,28 @@ def trigger_matches(text: Column, triggers: list[str]) -> Column:
 def canonical_json(document: Column) -> Column:
     """A JSON text with its keys sorted at every level."""
     return F.to_json(F.try_parse_json(document))
+
+
+def without_repeated_prefix(previous: Column, text: Column) -> Column:
+    @F.pandas_udf(T.StringType())
+    def run(before: pd.Series, texts: pd.Series) -> pd.Series:
+        return pd.Series([strip_repeated_prefix(p, t) for p, t in zip(before, texts, strict=True)])
+
+    return run(previous, text)
+
+
+def joined_paths(old: Column, new: Column) -> Column:
+    @F.pandas_udf(_STRINGS)
+    def run(olds: pd.Series, news: pd.Series) -> pd.Series:
+        return pd.Series([merge_paths(list(a), list(b)) for a, b in zip(olds, news, strict=True)])
+
+    return run(old, new)
+
+
+_EVENTS = T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("data", T.StringType()), T.StructField("at", T.DoubleType())]))
+
+
+@F.pandas_udf(_EVENTS)
+def milestones(streams: pd.Series) -> pd.Series:
+    """Events of streams of (at, chunk) structs."""
+    return streams.map(lambda s: [dict(zip(("name", "data", "at"), e, strict=True)) for e in event_milestones([(c["at"], c["chunk"]) for c in s])])

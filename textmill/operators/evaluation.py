@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,3 +49,59 @@ def longest_run(df: DataFrame, keys: list[str], order: list[str], value: str, th
     runs = marked.withColumn("_island", island).where("_up").groupBy(*keys, "_island").agg(F.count("*").alias("n"), (F.max(value) - F.min(value)).alias("r"))
     best = runs.groupBy(*keys).agg(F.max(F.struct("n", "r")).alias("b"), F.sum("n").alias("active")).select(*keys, F.col("b.n").alias("longest"), "active", F.round("b.r", 6).alias("range"))
     return df.select(*keys).distinct().join(best, keys, "left").na.fill(0, ["longest", "active"]).na.fill(0.0, ["range"])
+
+
+def scorecards(ranked: DataFrame, groups: DataFrame, keys: list[str], text_col: str, scope_valid: Column, most: int = 8) -> DataFrame:
+    """Per case: the first rank at which one text holds all term groups, recall at 1, 3 and ``most``, the share of groups found in the
+    first ``most``, and whether all scopes are valid.
+
+    ``groups`` has one row a case with ``groups``: lists of alternative terms. Ranked rows have ``rank`` and the text. Cases without results
+    have no rank and no coverage.
+    """
+    hits = F.transform("groups", lambda g: F.exists(g, lambda t: F.contains(F.lower(text_col), t)))
+    rows = ranked.join(groups, keys).select(*keys, "rank", hits.alias("hits"), scope_valid.alias("valid"))
+    seen = rows.select(*keys, "rank", "valid", F.forall("hits", lambda h: h).alias("complete"), F.posexplode("hits").alias("g", "hit"))
+    per_group = seen.groupBy(*keys, "g").agg(
+        F.max(F.when(F.col("rank") <= most, F.col("hit")).otherwise(False)).alias("hit"), F.min(F.when(F.col("complete"), F.col("rank"))).alias("first"), F.bool_and("valid").alias("valid"), F.count_distinct("rank").alias("n")
+    )
+    one = per_group.groupBy(*keys).agg(F.max("n").alias("returned"), F.min("first").alias("complete_rank"), F.round(F.avg(F.col("hit").cast("int")), 4).alias("coverage"), F.bool_and("valid").alias("scope_valid"))
+    recalls = [F.coalesce(F.col("complete_rank") <= k, F.lit(False)).alias(f"recall_{k}") for k in (1, 3, most)]
+    found = groups.select(*keys).join(one, keys, "left")
+    return found.select(*keys, F.coalesce("returned", F.lit(0)).alias("returned"), "complete_rank", *recalls, F.coalesce("coverage", F.lit(0.0)).alias("coverage"), F.coalesce("scope_valid", F.lit(True)).alias("scope_valid"))
+
+
+def profile_failures(documents: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Documents (case_id, scope, text) against profiles (case_id, profile_id, term_groups, scope_groups), lists of alternatives each
+    -> (case_id, profile_id, missing_terms, missing_scope, unbundled).
+
+    Terms count in documents of a scope that the profile names, in all where it names none. ``missing_terms``: a term group is
+    found in none of them; ``missing_scope``: a scope group has no document; ``unbundled``: no single document holds all term groups.
+    """
+    allowed = F.flatten("scope_groups")
+    rows = profiles.join(documents, "case_id", "left").withColumn("counts", (F.size(allowed) == 0) | F.coalesce(F.array_contains(allowed, F.col("scope")), F.lit(False)))
+    term_hits = F.transform("term_groups", lambda g: F.col("counts") & F.exists(g, lambda t: F.coalesce(F.contains(F.lower("text"), t), F.lit(False))))
+    scope_hits = F.transform("scope_groups", lambda g: F.coalesce(F.array_contains(g, F.col("scope")), F.lit(False)))
+    found = rows.select("case_id", "profile_id", F.size("term_groups").alias("t"), F.size("scope_groups").alias("s"), term_hits.alias("terms"), scope_hits.alias("scopes"))
+    places = lambda c: F.filter(F.transform(c, lambda h, i: F.when(h, i)), lambda i: i.isNotNull())
+    bundled = F.bool_or(F.forall("terms", lambda h: h))
+    one = found.groupBy("case_id", "profile_id", "t", "s").agg(
+        F.size(F.array_distinct(F.flatten(F.collect_set(places("terms"))))).alias("t_hit"), F.size(F.array_distinct(F.flatten(F.collect_set(places("scopes"))))).alias("s_hit"), bundled.alias("bundled")
+    )
+    return one.select("case_id", "profile_id", (F.col("t_hit") < F.col("t")).alias("missing_terms"), (F.col("s_hit") < F.col("s")).alias("missing_scope"), (~F.col("bundled")).alias("unbundled"))
+
+
+def validate_citations(references: DataFrame, sources: DataFrame, located: Callable[[Column, Column], Column], least_highlight: int = 8) -> DataFrame:
+    """References (ref_id, target_text, source_ref, highlight, quote, required_scope) against sources (source_ref, scope, text)
+    -> (ref_id, outcome, quote_start, quote_end).
+
+    Rejected: ``unknown_source``, ``quote_not_in_source`` (exactly, without case and white space, or nearly), ``authority_scope_conflict``.
+    Others are ``anchor``, or only ``related`` where the highlight is not in the output or too short.
+    """
+    joined = references.join(sources.select("source_ref", F.col("text").alias("source_text"), "scope"), "source_ref", "left")
+    rows = joined.withColumn("q", located(F.col("source_text"), F.col("quote"))).withColumn("h", located(F.col("target_text"), F.col("highlight")))
+    outcome = (
+        F.when(F.col("source_text").isNull(), "unknown_source").when(F.col("q.start").isNull(), "quote_not_in_source")
+        .when(F.col("required_scope").isNotNull() & (F.col("required_scope") != F.col("scope")), "authority_scope_conflict")
+        .when(F.col("h.start").isNull() | (F.char_length("highlight") < least_highlight), "related").otherwise("anchor")
+    )
+    return rows.select("ref_id", outcome.alias("outcome"), F.col("q.start").alias("quote_start"), F.col("q.end").alias("quote_end"))

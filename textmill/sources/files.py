@@ -10,10 +10,11 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textmill.functions import structure
 from textmill.functions.text import escape_cell
 
 
@@ -112,6 +113,29 @@ def sections(texts: pd.Series) -> pd.Series:
     return texts.map(markdown_sections)
 
 
+def heading_tree(heads: DataFrame, key: str, order: str, level: str) -> DataFrame:
+    """Each heading's parent (the nearest before it of a lower level), chapter (level 1) and the last section of its subtree."""
+    levels = range(1, 7)
+    before = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy(key).orderBy(order).rowsBetween(1, Window.unboundedFollowing)
+    at = lambda n: F.when(F.col(level) == n, F.col(order))
+    parent = F.greatest(*(F.when(F.col(level) > n, F.last(at(n), True).over(before)) for n in levels))
+    follower = F.least(*(F.when(F.col(level) >= n, F.first(at(n), True).over(after)) for n in levels))
+    chapter = F.when(F.col(level) == 1, F.col(order)).otherwise(F.last(at(1), True).over(before))
+    last = F.max(order).over(Window.partitionBy(key))
+    return heads.select(key, order, level, parent.alias("parent"), chapter.alias("chapter"), F.coalesce(follower - 1, last).alias("subtree_end"))
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def rows_of_page(pages: pd.Series) -> pd.Series:
+    return pages.map(lambda boxes: structure.spatial_rows([tuple(b.values()) for b in boxes]))
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def lost_rows(rows: pd.Series, parsed: pd.Series) -> pd.Series:
+    return pd.Series([structure.missing_rows(list(r), p) for r, p in zip(rows, parsed, strict=True)])
+
+
 def write_export(df: DataFrame, path: str, kind: str) -> dict:
     """CSV with formula-safe cells, or JSON lines; returns rows written and their order-free digest."""
     safe = df.select(*(escape_cell(F.col(c)).alias(c) if t == "string" and kind == "csv" else F.col(c) for c, t in df.dtypes))
