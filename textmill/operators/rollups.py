@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textmill.operators import sequences
+
 
 def nearest_rank(column: str, fraction: float) -> Column:
     return F.expr(f"percentile_disc({fraction}) WITHIN GROUP (ORDER BY {column})")
 
 
 def rounded_index_percentile(df: DataFrame, keys: list[str], column: str, fraction: float, name: str) -> DataFrame:
-    """The value at index round((n - 1) * fraction), half to even, of the sorted values."""
-    at = F.bround((F.col("_n") - 1) * F.lit(fraction), 0).cast("int") + 1
-    return df.groupBy(*keys).agg(F.array_sort(F.collect_list(column)).alias("_all"), F.count(column).alias("_n")).select(*keys, F.element_at("_all", at).alias(name))
+    """The value at index round((n - 1) * fraction), half to even, of the sorted values; equal values are counted before they are ordered."""
+    counts = df.where(F.col(column).isNotNull()).groupBy(*keys, F.col(column).alias("_v")).agg(F.count("*").alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy(*keys).orderBy("_v"))
+    ranked = counts.withColumn("_upto", upto).withColumn("_n", F.sum("_c").over(Window.partitionBy(*keys)))
+    at = F.bround((F.col("_n") - 1) * F.lit(fraction), 0) + 1
+    return ranked.where(F.col("_upto") >= at).groupBy(*keys).agg(F.min("_v").alias(name))
 
 
 def latency_summary(df: DataFrame, keys: list[str], column: str) -> DataFrame:
@@ -44,10 +51,15 @@ def changed_rows(stored: DataFrame, fresh: DataFrame, keys: list[str], column: s
 
 
 def fingerprint(df: DataFrame, keys: list[str], id_col: str, text_col: str) -> DataFrame:
-    """SHA-256 over the ordered (id, content hash) rows of each key; only hashes are gathered, not texts."""
-    line = F.concat(F.col(id_col).cast("string"), F.lit(":"), F.sha2(text_col, 256))
-    rows = F.array_sort(F.collect_list(F.struct(F.col(id_col).alias("i"), line.alias("line"))))
-    return df.groupBy(*keys).agg(F.sha2(F.array_join(F.transform(rows, lambda x: x["line"]), "\n"), 256).alias("fingerprint"))
+    """SHA-256 over the ordered (id, content hash) rows of each key; only hashes are shuffled, not texts, and streamed."""
+    rows = df.withColumn("_line", F.concat(F.col(id_col).cast("string"), F.lit(":"), F.sha2(text_col, 256)))
+
+    def step(state: list, row: tuple) -> list:
+        state[0].update(("\n" * state[1] + row[0]).encode())
+        state[1] = 1
+        return state
+
+    return sequences.fold(rows, keys, [id_col, "_line"], ["_line"], lambda: [hashlib.sha256(), 0], step, lambda s: (s[0].hexdigest(),), f"{sequences.key_schema(df, keys)}, fingerprint string")
 
 
 def multiset_recall(df: DataFrame, keys: list[str], native: str, parsed: str) -> DataFrame:

@@ -2,30 +2,68 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from typing import Any
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+
+def fold(df: DataFrame, keys: list[str], order: list[str], values: list[str], start: Callable[[], Any], step: Callable[[Any, tuple], Any], finish: Callable[[Any], tuple], schema: str) -> DataFrame:
+    """``step`` over the rows of each key in order, from ``start()``: (keys, ``finish`` of the last state), as ``schema`` says.
+
+    Rows are sorted inside their key's partition (which spills) and streamed, so a key with any number of rows needs the memory of its state.
+    """
+    fields = [f.strip().split()[0] for f in schema.split(",")]
+    kinds = to_arrow_schema(T._parse_datatype_string(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state, done = None, None, []
+
+        def out() -> pa.RecordBatch:
+            columns = list(zip(*done, strict=True)) if done else [[] for _ in fields]
+            done.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds, strict=True)], fields)
+
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            for row in zip(*columns, strict=True):
+                here = row[: len(keys)]
+                if here != key:
+                    if key is not None:
+                        done.append((*key, *finish(state)))
+                    key, state = here, start()
+                state = step(state, row[len(keys) :])
+            yield out()
+        if key is not None:
+            done.append((*key, *finish(state)))
+            yield out()
+
+    rows = df.select(*dict.fromkeys([*keys, *order, *values])).repartition(*keys).sortWithinPartitions(*keys, *order)
+    return rows.select(*keys, *values).mapInArrow(run, schema)
+
+
+def key_schema(df: DataFrame, keys: list[str]) -> str:
+    return ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
 
 
 def clamped_sum(df: DataFrame, keys: list[str], order: list[str], delta: str, low: int, high: int, name: str) -> DataFrame:
     """A running sum that is clamped at every step, after the last one; not a clamped total."""
-    steps = F.array_sort(F.collect_list(F.struct(*order, F.col(delta).alias("_d"))))
-    fold = F.aggregate(steps, F.lit(0).cast("long"), lambda s, x: F.greatest(F.lit(low), F.least(F.lit(high), s + x["_d"])).cast("long"))
-    return df.groupBy(*keys).agg(fold.alias(name))
+    return fold(df, keys, order, [delta], lambda: 0, lambda s, row: max(low, min(high, s + row[0])), lambda s: (s,), f"{key_schema(df, keys)}, {name} long")
 
 
 def budget_reservations(df: DataFrame, keys: list[str], order: list[str], amount: str, cap: float) -> DataFrame:
     """Each request in order is granted if it still fits under the cap; a rejected one uses nothing."""
-    steps = F.array_sort(F.collect_list(F.struct(*order, F.col(amount).cast("double").alias("_a"))))
-    start = F.struct(F.lit(0.0).alias("used"), F.lit(0).cast("long").alias("granted"), F.lit(0).cast("long").alias("rejected"))
 
-    def step(s, x):  # noqa: ANN001, ANN202
-        fits = s["used"] + x["_a"] <= cap
-        return F.struct(
-            F.when(fits, s["used"] + x["_a"]).otherwise(s["used"]).alias("used"), (s["granted"] + F.when(fits, 1).otherwise(0)).cast("long").alias("granted"),
-            (s["rejected"] + F.when(fits, 0).otherwise(1)).cast("long").alias("rejected"),
-        )
+    def step(s: tuple[float, int, int], row: tuple) -> tuple[float, int, int]:
+        used, granted, rejected = s
+        return (used + row[0], granted + 1, rejected) if used + row[0] <= cap else (used, granted, rejected + 1)
 
-    return df.groupBy(*keys).agg(F.aggregate(steps, start, step).alias("s")).select(*keys, F.round("s.used", 4).alias("used"), "s.granted", "s.rejected")
+    found = fold(df.withColumn("_amount", F.col(amount).cast("double")), keys, order, ["_amount"], lambda: (0.0, 0, 0), step, lambda s: s, f"{key_schema(df, keys)}, used double, granted long, rejected long")
+    return found.withColumn("used", F.round("used", 4))
 
 
 def overflow(df: DataFrame, keys: list[str], order: list[str], raw_window: int, batch: int) -> DataFrame:

@@ -87,6 +87,11 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return ranking.knn(table(spark, d, "embeddings"), _queries(spark, d), "vec_id", "embedding", 10)
 
 
+@query("k02_approximate_knn")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return ranking.approximate_knn(table(spark, d, "embeddings"), _queries(spark, d), "vec_id", "embedding", 10)
+
+
 @query("k05_branch_top_k", "SELECT source, doc_id, rank FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM documents) WHERE rank <= 5")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return ranking.top_k(table(spark, d, "documents"), ["source"], [F.desc("n_chars"), F.col("doc_id")], 5).select("source", "doc_id", "rank")

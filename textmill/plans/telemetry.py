@@ -30,6 +30,11 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return windows.fixed_windows(table(spark, d, "events"), ["user_id"], "ts", ["event_id"], 2, 86400)
 
 
+@query("t13_cache_accounting", _FIRST_HIT.replace("86400000000", "3600000000").replace("count(*) FILTER (WHERE n <= 2) AS allowed, count(*) FILTER (WHERE n > 2) AS denied", "count(*) FILTER (WHERE n = 1) AS misses, count(*) FILTER (WHERE n > 1) AS hits"))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return windows.cache_accounting(table(spark, d, "events"), ["user_id"], "ts", ["event_id"], 3600)
+
+
 @query("t03_t04_demand", "SELECT count(DISTINCT coalesce(user_id, -1)) AS active, least(20, greatest(2, ceil(count(DISTINCT coalesce(user_id, -1)) / 8) + 1))::BIGINT AS desired FROM events WHERE ts >= TIMESTAMP '2024-01-25'")
 def _(spark: SparkSession, d: str) -> DataFrame:
     active = F.count_distinct(F.coalesce("user_id", F.lit(-1)))

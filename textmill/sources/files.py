@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textmill.functions import structure
-from textmill.functions.text import escape_cell
+from textmill.functions.text import escape_cell, parse_html
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = False) -> DataFrame:
@@ -48,45 +48,89 @@ def read_csv(spark: SparkSession, path: str, aliases: dict[str, str], required:
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
 
-def workbook_rows(content: bytes) -> list[list[str]]:
-    """The cells of a workbook's first sheet, from its own XML."""
+_BOOK_RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+
+
+def _sheet_files(book: zipfile.ZipFile) -> list[str]:
+    """The parts of a workbook's sheets in the order of its tabs."""
+    names = book.namelist()
+    if "xl/workbook.xml" in names and "xl/_rels/workbook.xml.rels" in names:
+        targets = {r.get("Id"): r.get("Target", "") for r in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
+        found = [targets.get(s.get(_BOOK_RELATION), "") for s in ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{_MAIN}sheet")]
+        found = [t.lstrip("/") if t.startswith("/") else f"xl/{t}" for t in found]
+        if found and all(f in names for f in found):
+            return found
+    numbered = [(int(m[1]), n) for n in names if (m := re.fullmatch(r"xl/worksheets/sheet(\d+)\.xml", n))]
+    return [n for _, n in sorted(numbered)]
+
+
+def workbook_rows(content: bytes, required: list[str] | None = None) -> list[list[str]]:
+    """The cells of a workbook's first sheet, or of the first one whose first row holds all ``required`` headers (none: no rows)."""
     with zipfile.ZipFile(io.BytesIO(content)) as book:
         shared = []
         if "xl/sharedStrings.xml" in book.namelist():
             shared = ["".join(t.text or "" for t in s.iter(f"{_MAIN}t")) for s in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).iter(f"{_MAIN}si")]
-        sheet = min(n for n in book.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n))
-        rows = []
-        for row in ElementTree.fromstring(book.read(sheet)).iter(f"{_MAIN}row"):
-            cells: list[str] = []
-            for cell in row.iter(f"{_MAIN}c"):
-                at = 0
-                for letter in re.match("[A-Z]+", cell.get("r", "A"))[0]:
-                    at = at * 26 + ord(letter) - 64
-                cells += [""] * (at - 1 - len(cells))
-                value, inline = cell.find(f"{_MAIN}v"), cell.find(f"{_MAIN}is")
-                text = "".join(t.text or "" for t in inline.iter(f"{_MAIN}t")) if inline is not None else (value.text or "" if value is not None else "")
-                cells.append(shared[int(text)] if cell.get("t") == "s" and text else text)
-            rows.append(cells)
-        return rows
-
-
-def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
-    """(path, row, cells) of every workbook under a path; files are parsed where they are read."""
+        for sheet in _sheet_files(book):
+            rows = []
+            for row in ElementTree.fromstring(book.read(sheet)).iter(f"{_MAIN}row"):
+                cells: list[str] = []
+                for cell in row.iter(f"{_MAIN}c"):
+                    at = 0
+                    for letter in re.match("[A-Z]+", cell.get("r", "A"))[0]:
+                        at = at * 26 + ord(letter) - 64
+                    cells += [""] * (at - 1 - len(cells))
+                    value, inline = cell.find(f"{_MAIN}v"), cell.find(f"{_MAIN}is")
+                    text = "".join(t.text or "" for t in inline.iter(f"{_MAIN}t")) if inline is not None else (value.text or "" if value is not None else "")
+                    cells.append(shared[int(text)] if cell.get("t") == "s" and text else text)
+                rows.append(cells)
+            headers = {c.strip().lower() for c in rows[0]} if rows else set()
+            if required is None or {r.lower() for r in required} <= headers:
+                return rows
+    return []
+
+
+def parse_workbooks(files: DataFrame, required: list[str] | None = None) -> DataFrame:
+    """(path, content) -> (path, row, cells); files are parsed where they lie."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, content in zip(batch["path"], batch["content"], strict=True):
-                rows = workbook_rows(content)
+                rows = workbook_rows(content, required)
                 yield pd.DataFrame({"path": name, "row": range(len(rows)), "cells": rows})
 
-    return discover(spark, path, ["xlsx"]).select("path", "content").mapInPandas(parse, "path string, row long, cells array<string>")
+    return files.select("path", "content").mapInPandas(parse, "path string, row long, cells array<string>")
+
+
+def read_workbooks(spark: SparkSession, path: str, required: list[str] | None = None) -> DataFrame:
+    return parse_workbooks(discover(spark, path, ["xlsx"]), required)
 
 
 def discover(spark: SparkSession, path: str, extensions: list[str]) -> DataFrame:
-    """Files under a path with their content and its SHA-1, sorted by path."""
+    """Files under a path with their content and its SHA-1; contents are read only where a query uses them."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     wanted = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin([e.lower() for e in extensions])
-    return files.where(wanted).select("path", "length", F.sha1("content").alias("content_hash"), "content").orderBy("path")
+    return files.where(wanted).select("path", "length", F.sha1("content").alias("content_hash"), "content")
+
+
+def in_batches(df: DataFrame, size: int) -> Iterator[list]:
+    """Rows in lists of ``size``, a partition at a time, as a server-side cursor gives them; the next partition is prepared meanwhile."""
+    held = []
+    for row in df.toLocalIterator(prefetchPartitions=True):
+        held.append(row)
+        if len(held) == size:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
+def parse_uploads(files: DataFrame) -> DataFrame:
+    """(path, content) of text, Markdown, CSV and HTML files -> (path, kind, text); other kinds have no text."""
+    kind = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
+    plain = F.regexp_replace(F.col("content").cast("string"), "^\ufeff", "")
+    rows = files.select("path", kind.alias("kind"), plain.alias("plain"))
+    text = F.when(F.col("kind").isin("htm", "html"), parse_html("plain")["content"]).when(F.col("kind") == "csv", F.replace("plain", F.lit(","), F.lit(" | "))).when(F.col("kind").isin("txt", "md"), F.col("plain"))
+    return rows.select("path", "kind", text.alias("text"))
 
 
 _SECTION = T.ArrayType(T.StructType([T.StructField("title", T.StringType()), T.StructField("level", T.IntegerType()), T.StructField("path", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("text", T.StringType())]))
@@ -136,13 +180,22 @@ def lost_rows(rows: pd.Series, parsed: pd.Series) -> pd.Series:
     return pd.Series([structure.missing_rows(list(r), p) for r, p in zip(rows, parsed, strict=True)])
 
 
-def write_export(df: DataFrame, path: str, kind: str) -> dict:
-    """CSV with formula-safe cells, or JSON lines; returns rows written and their order-free digest."""
+def write_export(df: DataFrame, path: str, kind: str) -> DataFrame:
+    """CSV with formula-safe cells, or JSON lines, in gzip parts -> the manifest (part, bytes, sha256, rows) that is written beside them.
+
+    One archive would pass through one task; each part is written and hashed where it lies.
+    """
     safe = df.select(*(escape_cell(F.col(c)).alias(c) if t == "string" and kind == "csv" else F.col(c) for c, t in df.dtypes))
-    writer = safe.write.mode("overwrite")
-    writer.option("header", True).option("escape", '"').csv(path) if kind == "csv" else writer.json(path)
-    one = safe.agg(F.count("*").alias("rows"), F.sum(F.xxhash64(*safe.columns).cast("decimal(38,0)")).alias("digest")).first()
-    return {"rows": one["rows"], "digest": str(one["digest"])}
+    writer = safe.write.mode("overwrite").option("compression", "gzip")
+    writer.option("header", True).option("escape", '"').csv(f"{path}/parts") if kind == "csv" else writer.json(f"{path}/parts")
+    spark = df.sparkSession
+    parts = spark.read.format("binaryFile").load(f"{path}/parts/*.gz").select(F.col("path").alias("part"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    back = (spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(f"{path}/parts") if kind == "csv" else spark.read.schema(safe.schema).json(f"{path}/parts"))
+    rows = back.groupBy(F.input_file_name().alias("part")).agg(F.count("*").alias("rows"))
+    name = lambda c: F.element_at(F.split(c, "/"), -1).alias("part")
+    manifest = parts.select(name("part"), "bytes", "sha256").join(rows.select(name("part"), "rows"), "part", "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
+    manifest.write.mode("overwrite").parquet(f"{path}/manifest")
+    return spark.read.parquet(f"{path}/manifest")
 
 
 def _filesystem(spark: SparkSession, path: str):  # noqa: ANN202
@@ -151,15 +204,26 @@ def _filesystem(spark: SparkSession, path: str):  # noqa: ANN202
 
 
 def replace_table(df: DataFrame, path: str) -> None:
-    """Rewrite a Parquet folder through a staging one; an empty result deletes it. Readers see the old or the new rows."""
+    """Rewrite a Parquet folder: staged beside it, then the old one is renamed away and the new one in; an empty result leaves none.
+
+    The rows are whole before anything is renamed, and if the second rename fails the old folder comes back. Between the two
+    renames a reader can find no folder, as the file system has no exchange.
+    """
     spark = df.sparkSession
-    staged = f"{path}.{uuid.uuid4().hex}"
+    staged, away = (f"{path.rstrip('/')}.{kind}-{uuid.uuid4().hex}" for kind in ("new", "old"))
     df.write.parquet(staged)
     target, fs = _filesystem(spark, path)
+    source, old = _filesystem(spark, staged)[0], _filesystem(spark, away)[0]
     empty = spark.read.schema(df.schema).parquet(staged).isEmpty()
-    fs.delete(target, True)
-    source, _ = _filesystem(spark, staged)
-    fs.delete(source, True) if empty else fs.rename(source, target)
+    had = fs.exists(target)
+    if had and not fs.rename(target, old):
+        raise OSError(f"{path} cannot be replaced")
+    if not empty and not fs.rename(source, target):
+        if had:
+            fs.rename(old, target)
+        raise OSError(f"{staged} cannot be put in place")
+    for left in (old, source):
+        fs.delete(left, True)
 
 
 def upsert(stored: DataFrame, fresh: DataFrame, keys: list[str]) -> DataFrame:

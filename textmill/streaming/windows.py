@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textmill.operators import sequences
+
 
 def rolling_distinct(df: DataFrame, ts: str, user: str, width_minutes: int, slide_minutes: int) -> DataFrame:
     """Distinct users in each sliding window: one row a window and user first, so the count itself never sees duplicates."""
@@ -14,18 +16,19 @@ def rolling_distinct(df: DataFrame, ts: str, user: str, width_minutes: int, slid
 
 def fixed_windows(df: DataFrame, keys: list[str], ts: str, order: list[str], limit: int, seconds: int) -> DataFrame:
     """Allowed and denied hits a key; a window opens at the first hit after the last one closed, so ``window()`` does not fit."""
-    hits = F.array_sort(F.collect_list(F.struct(F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), *order)))
-    start = F.struct(F.lit(None).cast("long").alias("opened"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("allowed"), F.lit(0).cast("long").alias("denied"))
-
-    def step(s, x):  # noqa: ANN001, ANN202
-        fresh = s["opened"].isNull() | (x["t"] >= s["opened"] + seconds * 1_000_000)
-        n = F.when(fresh, F.lit(1)).otherwise(s["n"] + 1).cast("long")
-        return F.struct(
-            F.when(fresh, x["t"]).otherwise(s["opened"]).alias("opened"), n.alias("n"), (s["allowed"] + F.when(n <= limit, 1).otherwise(0)).cast("long").alias("allowed"),
-            (s["denied"] + F.when(n > limit, 1).otherwise(0)).cast("long").alias("denied"),
-        )
-
-    return df.groupBy(*keys).agg(F.aggregate(hits, start, step).alias("s")).select(*keys, "s.allowed", "s.denied")
+
+    def step(s: tuple[int | None, int, int, int], row: tuple) -> tuple[int | None, int, int, int]:
+        opened, n, allowed, denied = s
+        opened, n = (row[0], 1) if opened is None or row[0] >= opened + seconds * 1_000_000 else (opened, n + 1)
+        return opened, n, allowed + (n <= limit), denied + (n > limit)
+
+    hits = df.withColumn("_at", F.unix_micros(F.col(ts).cast("timestamp")))
+    return sequences.fold(hits, keys, ["_at", *order], ["_at"], lambda: (None, 0, 0, 0), step, lambda s: s[2:], f"{sequences.key_schema(df, keys)}, allowed long, denied long")
+
+
+def cache_accounting(requests: DataFrame, keys: list[str], ts: str, order: list[str], seconds: int) -> DataFrame:
+    """Misses and hits a key: a miss loads a value for ``seconds``; requests until then, also those that wait for the one load, are hits."""
+    return fixed_windows(requests, keys, ts, order, 1, seconds).withColumnsRenamed({"allowed": "misses", "denied": "hits"})
 
 
 def bucket(ts: str, seconds: int) -> Column:
