@@ -55,7 +55,7 @@ def all_templates() -> list[tuple[str, str]]:
 
 def template_terms(spark: SparkSession, templates: list[tuple[str, str]]) -> DataFrame:
     rows = spark.createDataFrame([(i, k, t) for i, (k, t) in enumerate(templates)], "template int, license string, text string")
-    return rows.select("template", "license", F.explode(F.array_distinct(words("text"))).alias("term"))
+    return rows.select("template", "license", F.explode(words("text")).alias("term")).groupBy("template", "license", "term").agg(F.count("*").alias("tf"))
 
 
 def pieces(text: str) -> Column:
@@ -88,14 +88,17 @@ def weight(n: Column, files: int) -> Column:
 
 
 def signal_terms(templates: dict[tuple[int, str], dict[str, float]], share: float) -> list[str]:
-    """Terms of which a text needs at least one: all others of any template together weigh less than ``share`` of its norm."""
+    """Terms of which a text needs at least one: all others of any template together weigh less than ``share`` of its squared norm."""
     left, signal = {k: share * sum(t.values()) for k, t in templates.items()}, []
-    weights = {term: w for t in templates.values() for term, w in t.items()}
-    for term in sorted(weights, key=lambda t: (weights[t], t)):
+    heaviest: dict[str, float] = {}
+    for t in templates.values():
+        for term, w in t.items():
+            heaviest[term] = max(w, heaviest.get(term, 0.0))
+    for term in sorted(heaviest, key=lambda t: (heaviest[t], t)):
         inside = [k for k, t in templates.items() if term in t]
-        if all(left[k] - weights[term] > 1e-9 for k in inside):
+        if all(left[k] - templates[k][term] > 1e-9 for k in inside):
             for k in inside:
-                left[k] -= weights[term]
+                left[k] -= templates[k][term]
         else:
             signal.append(term)
     return signal
@@ -108,10 +111,10 @@ def parent(path: Column) -> Column:
 def license_pieces(files: DataFrame, id_col: str, text_col: str, templates: list[tuple[str, str]], cosine: float) -> DataFrame:
     """(id, kind, license, cosine, words): the best license of each piece of a text that reaches ``cosine``.
 
-    Pieces and templates are sets of lower-case words weighed by idf, with each word's document frequency over all files. A
-    piece's squared weight is at least its product with a template, so a cosine of c needs a product of c**2 times the
-    template's squared weight. What is below that is left out before frequencies are counted for all words of the other
-    pieces; none that could reach the threshold is lost.
+    Pieces and templates are vectors of lower-case words, each how often it occurs there times its idf, with document
+    frequencies over all files. A piece is at least as long as its part on a template's words, so a cosine of c with the template needs
+    a cosine of c from that part alone, and words that carry c of the template's length. What is below that is left out before
+    frequencies are counted for all words of the other pieces; none that could reach the threshold is lost.
     """
     spark = files.sparkSession
     files = files.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -119,22 +122,23 @@ def license_pieces(files: DataFrame, id_col: str, text_col: str, templates: list
     terms = template_terms(spark, templates)
     counts = term_counts(files, terms.select("term").distinct(), "text").select("term", weight(F.col("n"), n_files).alias("w"))
     weighed: dict[tuple[int, str], dict[str, float]] = {}
-    for r in terms.join(counts, "term").collect():
-        weighed.setdefault((r.template, r.license), {})[r.term] = r.w
-    # one row for each term of each template: a fixed table
-    products = F.broadcast(spark.createDataFrame([(*k, sum(t.values()), term, w) for k, t in weighed.items() for term, w in t.items()], "template int, license string, norm double, term string, w double"))
+    rows = terms.join(counts, "term").collect()  # one row for each term of each template: a fixed table
+    for r in rows:
+        weighed.setdefault((r.template, r.license), {})[r.term] = r.tf**2 * r.w
+    products = F.broadcast(spark.createDataFrame([(r.template, r.license, sum(weighed[r.template, r.license].values()), r.term, float(r.tf), r.w) for r in rows], "template int, license string, norm double, term string, tf_there double, w double"))
     signal = F.lit(signal_terms(weighed, least))
     near = files.where(F.arrays_overlap(words("text"), signal)).select("id", F.explode(pieces("text")).alias("piece"))
     found = near.select("id", "piece.kind", words("piece.text").alias("all")).where(F.arrays_overlap("all", signal)).withColumn("terms", F.array_distinct("all"))
     # lines count by their different words, as they are added up
-    found = found.select("id", "kind", F.size(F.when(F.col("kind") == "line", F.col("terms")).otherwise(F.col("all"))).alias("words"), "terms", F.monotonically_increasing_id().alias("unit"))
+    found = found.select("id", "kind", F.size(F.when(F.col("kind") == "line", F.col("terms")).otherwise(F.col("all"))).alias("words"), "all", F.monotonically_increasing_id().alias("unit"))
     found = materialize(found, "license-candidates")
-    each = found.select("unit", "id", "kind", "words", F.explode("terms").alias("term"))
-    dots = each.join(products, "term").groupBy("unit", "template", "license", "norm").agg(F.sum("w").alias("dot"))
-    dots = materialize(dots.where(F.col("dot") >= least * F.col("norm") - 1e-9), "license-products")
+    each = found.select("unit", "id", "kind", "words", F.explode("all").alias("term")).groupBy("unit", "id", "kind", "words", "term").agg(F.count("*").alias("tf"))
+    each = materialize(each, "license-counts")
+    on_template = each.join(products, "term").groupBy("unit", "template", "license", "norm").agg(F.sum(F.col("tf") * F.col("tf_there") * F.col("w")).alias("dot"), F.sum(F.col("tf") ** 2 * F.col("w")).alias("part"))
+    dots = materialize(on_template.where(F.col("dot") ** 2 >= least * F.col("part") * F.col("norm") * (1 - 1e-9)).drop("part"), "license-products")
     live = materialize(each.join(dots.select("unit").distinct(), "unit", "left_semi"), "license-terms")
     held = term_counts(files, live.select("term").distinct(), "text")
-    totals = live.join(held, "term").groupBy("unit", "id", "kind", "words").agg(F.sum(weight(F.col("n"), n_files)).alias("total"))
+    totals = live.join(held, "term").groupBy("unit", "id", "kind", "words").agg(F.sum(F.col("tf") ** 2 * weight(F.col("n"), n_files)).alias("total"))
     scored = dots.join(totals, "unit").withColumn("cosine", F.round(F.col("dot") / F.sqrt(F.col("total") * F.col("norm")), 6)).where(F.col("cosine") >= cosine)
     best = scored.groupBy("unit", "id", "kind", "words").agg(F.min(F.struct((-F.col("cosine")).alias("less"), F.col("license"))).alias("best"))
     return best.select("id", "kind", "best.license", (-F.col("best.less")).alias("cosine"), "words")

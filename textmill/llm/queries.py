@@ -172,23 +172,28 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "license", "cosine", "found", "directory")
 
 
-_TEMPLATE_ROWS = ", ".join(f"('{k}', '{v}')" for k, v in license_scan.TEMPLATES.items())
+_TEMPLATE_ROWS = ", ".join("({}, '{}', '{}')".format(i, k, t.replace("'", "''")) for i, (k, t) in enumerate(license_scan.all_templates()))
+_MARKED = r'[ \t]*(?:#|//|/\*|\*|--|;|%|<!--|' + "''" + r'|""").*'
 ORACLE_SQL["op2_license_scan"] = rf"""
-WITH tpl(license, text) AS (VALUES {_TEMPLATE_ROWS}),
-tt AS (SELECT license, unnest(list_distinct({_WORDS})) AS term FROM tpl),
+WITH tpl(template, license, text) AS (VALUES {_TEMPLATE_ROWS}),
+tt AS (SELECT template, license, term, count(*) AS tf FROM (SELECT template, license, unnest({_WORDS}) AS term FROM tpl) GROUP BY ALL),
 d AS (SELECT doc_id, concat_ws('/', source, lang, doc_id) AS path, coalesce(text, '') AS text FROM documents WHERE doc_id IS NOT NULL),
-dw AS (SELECT doc_id, unnest(list_distinct({_WORDS})) AS term FROM d),
 n AS (SELECT count(*) AS n FROM d),
-idf AS (SELECT v.term, (ln((n + 1) / (count(doc_id) + 1)) + 1) ^ 2 AS w FROM (SELECT DISTINCT term FROM tt) v CROSS JOIN n LEFT JOIN dw USING (term) GROUP BY v.term, n),
-li AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM d),
-lw AS (SELECT doc_id, line, list_distinct({_WORDS}) AS terms FROM li),
-lt AS (SELECT doc_id, line, len(terms) AS words, unnest(terms) AS term FROM lw),
-tot AS (SELECT doc_id, line, words, sum(w) + (words - count(w)) * (SELECT (ln(n + 1) + 1) ^ 2 FROM n) AS total FROM lt LEFT JOIN idf USING (term) GROUP BY doc_id, line, words),
-nrm AS (SELECT license, sum(w) AS norm FROM tt JOIN idf USING (term) GROUP BY license),
-dot AS (SELECT doc_id, line, license, sum(w) AS dot FROM lt JOIN tt USING (term) JOIN idf USING (term) GROUP BY doc_id, line, license),
-sc AS (SELECT doc_id, line, words, license, round(dot / sqrt(total * norm), 6) AS cosine FROM dot JOIN tot USING (doc_id, line) JOIN nrm USING (license)),
-ln AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY cosine DESC, license) AS r FROM sc WHERE cosine >= 0.6),
-own AS (SELECT doc_id, min_by(license, struct_pack(a := -cosine, b := license)) AS license, max(cosine) AS cosine, sum(words) AS in_license FROM ln WHERE r = 1 GROUP BY doc_id),
+df AS (SELECT term, count(*) AS df FROM (SELECT doc_id, unnest(list_distinct({_WORDS})) AS term FROM d) GROUP BY 1),
+idf AS (SELECT term, (ln((n + 1) / (coalesce(df, 0) + 1)) + 1) ^ 2 AS w FROM (SELECT term FROM df UNION SELECT term FROM tt) LEFT JOIN df USING (term), n),
+li AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text FROM d),
+se AS (SELECT DISTINCT doc_id, unnest(string_split(regexp_replace(text, '([.!?;:])\s+', '\1' || chr(1), 'g'), chr(1))) AS text FROM li),
+bl AS (SELECT doc_id, unnest(string_split_regex(text, '\n(?:[^\p{{L}}\p{{N}}\n]*\n)+')) AS text FROM d UNION SELECT doc_id, regexp_extract(text, '^(?:(?:{_MARKED})?\n)*(?:{_MARKED})?') FROM d),
+pc AS (SELECT *, row_number() OVER () AS unit FROM (SELECT doc_id, 'line' AS kind, text FROM li UNION ALL SELECT doc_id, 'sentence', text FROM (SELECT doc_id, text FROM se EXCEPT SELECT doc_id, text FROM li)
+       UNION ALL SELECT doc_id, 'block', text FROM bl WHERE contains(text, chr(10)) UNION ALL SELECT doc_id, 'file', text FROM d WHERE contains(text, chr(10)))),
+pw AS (SELECT unit, doc_id, kind, {_WORDS} AS w FROM pc),
+pt AS (SELECT unit, doc_id, kind, words, term, count(*) AS tf FROM (SELECT unit, doc_id, kind, CASE kind WHEN 'line' THEN len(list_distinct(w)) ELSE len(w) END AS words, unnest(w) AS term FROM pw) GROUP BY ALL),
+tot AS (SELECT unit, doc_id, kind, words, sum(tf ^ 2 * w) AS total FROM pt JOIN idf USING (term) GROUP BY ALL),
+nrm AS (SELECT template, license, sum(tf ^ 2 * w) AS norm FROM tt JOIN idf USING (term) GROUP BY ALL),
+dot AS (SELECT unit, template, sum(pt.tf * tt.tf * w) AS dot FROM pt JOIN tt USING (term) JOIN idf USING (term) GROUP BY ALL),
+sc AS (SELECT unit, doc_id, kind, words, license, round(dot / sqrt(total * norm), 6) AS cosine FROM dot JOIN tot USING (unit) JOIN nrm USING (template)),
+bs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY cosine DESC, license) AS r FROM sc WHERE cosine >= 0.6) WHERE r = 1),
+own AS (SELECT doc_id, min_by(license, struct_pack(a := -cosine, b := license)) AS license, max(cosine) AS cosine, greatest(coalesce(sum(words) FILTER (WHERE kind = 'line'), 0), coalesce(max(words) FILTER (WHERE kind <> 'line'), 0)) AS in_license FROM bs GROUP BY doc_id),
 dirs AS (SELECT regexp_replace(path, '(^|/)[^/]*$', '') AS directory, min_by(license, struct_pack(a := -cosine, b := license, c := path)) AS license, max(cosine) AS cosine
          FROM d JOIN own USING (doc_id) WHERE in_license >= 0.5 * greatest(len({_WORDS}), 1) GROUP BY 1),
 up AS (SELECT doc_id, directory, dirs.license, dirs.cosine, row_number() OVER (PARTITION BY doc_id ORDER BY length(directory) DESC) AS r
