@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+import json
 import io
 import zipfile
 
@@ -161,8 +164,11 @@ def test_markdown_sections_know_their_path():
 
 def test_exports_and_replacement(spark, tmp_path):
     df = spark.createDataFrame([(1, "=x"), (2, "y")], "id int, name string")
-    assert files.write_export(df, str(tmp_path / "csv"), "csv")["rows"] == 2
-    assert spark.read.option("header", True).csv(str(tmp_path / "csv")).where("id = 1").first()["name"] == "'=x"
+    manifest = files.write_export(df, str(tmp_path / "csv"), "csv").collect()
+    assert sum(r.rows for r in manifest) == 2
+    for r in manifest:
+        assert hashlib.sha256((tmp_path / "csv" / "parts" / r.part).read_bytes()).hexdigest() == r.sha256
+    assert spark.read.option("header", True).csv(str(tmp_path / "csv" / "parts")).where("id = 1").first()["name"] == "'=x"
     path = f"file://{tmp_path}/table"
     files.replace_table(df, path)
     files.replace_table(df.where("id = 2"), path)
@@ -191,9 +197,9 @@ def test_duplicates_in_a_stream_pass_once(spark, sf_dir, tmp_path):
     assert spark.table("once").count() == events.count()
 
 
-def test_flagship_gives_ten_a_query(spark, sf_dir):
+def test_flagship_gives_eight_a_query(spark, sf_dir):
     found = flagship(spark, sf_dir)
-    assert found.groupBy("item_id").count().where("count <> 10").isEmpty() and not found.isEmpty()
+    assert found.groupBy("item_id").count().where("count <> 8").isEmpty() and not found.isEmpty()
 
 
 def test_scans_are_pruned_and_filters_pushed(spark, sf_dir):
@@ -205,14 +211,21 @@ def test_scans_are_pruned_and_filters_pushed(spark, sf_dir):
 
 
 def test_quota_selection_meets_minimums_and_keeps_rank_order():
-    from textmill.operators.selection import Candidate, covering_units, prefix_reorder, quota_selection
+    from textmill.operators.selection import Candidate, prefix_reorder, quota_selection
 
     rows = [Candidate(str(i), i, scope) for i, scope in enumerate("aaabbc", 1)]
     assert [c.id for c in quota_selection(rows, {"c": 1, "b": 1}, 4)] == ["1", "2", "4", "6"]
     assert [c.id for c in prefix_reorder(rows, 2, {"c": 1})] == ["6", "1", "2", "3", "4", "5"]
     assert prefix_reorder(rows, 0, {"c": 1}) == rows
-    units = [("u1", frozenset("x"), 5), ("u2", frozenset("y"), 5), ("u3", frozenset("xy"), 50)]
-    assert covering_units(units, "xy", 20) == ["u1", "u2"] and covering_units(units, "xy", 60) == ["u3"] and covering_units(units, "xyz", 99) == []
+
+
+def test_covering_units_after_near_duplicates_go(spark):
+    from textmill.operators.selection import covering_units
+
+    texts = [(1, i, "x alone") for i in range(30)] + [(1, 30, "y too"), (1, 31, "x and y and much more of it all")] + [(2, 0, "x"), (2, 1, "z")] + [(3, 0, "y"), (3, 1, "x y")]
+    df = spark.createDataFrame(texts, "k long, n long, text string")
+    found = lambda needed, most: {r.k: r.units for r in covering_units(df, ["k"], "n", "n", "text", needed, most).collect()}
+    assert found(["x", "y"], 20) == {1: [0, 30], 3: [1]} and found(["x", "y"], 60) == {1: [31], 3: [1]} and found(["x", "y", "z"], 99) == {}
 
 
 def test_spans_and_overlaps():
@@ -226,3 +239,100 @@ def test_spans_and_overlaps():
     assert spans.collect_ids('{"x": {"id": [1, [2]]}, "id": 1}', ("id",)) == ["1", "2"]
     assert spans.remove_boilerplate("x\nx\n---\nPhone:\n123\n\n\ny", [])["text"] == "x\n\ny"
     assert spans.sentence_chunks("A b. C d. E f.", 9, 4) == ["A b. C d.", "C d. E f."]
+
+
+def test_json_filters_and_edits_keep_types(spark):
+    from textmill.operators import predicates
+
+    docs = ['{"a": true, "n": 1, "s": "1", "l": [1, [2], {"k": null}], "o": {"x": 1.50, "y": [true]}}', '{"a": "true", "n": "1"}', '{"a": 1, "n": 1.0, "z": null}', "[1]", "bad", None]
+    df = spark.createDataFrame(list(enumerate(docs)), "i int, d string")
+    ids = lambda f: [r.i for r in df.where(predicates.compile_filter(f, [], "d")).orderBy("i").collect()]
+    assert ids({"a": True}) == [0] and ids({"a": "true"}) == [1] and ids({"n": 1}) == [0, 2] and ids({"n": ["1"]}) == [1] and ids({"z": None}) == [2] and ids({"z": [None, 5]}) == [2]
+    assert ids({"l": [[1]]}) == [0] and ids({"l": [[{"k": None}, [2]]]}) == [0] and ids({"l": [[3]]}) == [] and ids({"o": {"y": [True]}}) == [0] and ids({"o": {"x": 1.5}}) == [0] and ids({"a": []}) == []
+    out = df.select("i", predicates.drop_json_keys("d", ["n", "l"]).alias("less"), predicates.merge_json("d", {"n": F.lit(None).cast("int"), "new": F.array(F.lit(1), F.lit(2))}).alias("more")).orderBy("i").collect()
+    assert json.loads(out[0].less) == {"a": True, "s": "1", "o": {"x": 1.5, "y": [True]}} and out[4].less is None
+    assert json.loads(out[1].more) == {"a": "true", "n": None, "new": [1, 2]} and json.loads(out[5].more) == {"n": None, "new": [1, 2]}
+
+
+def test_urls_against_the_standard_library(spark):
+    from urllib.parse import parse_qsl, urlencode, urljoin, urlsplit
+
+    from textmill.functions import text
+
+    base = "https://Ex.org/a/b/c?x=1#f"
+    hrefs = ["../d", "./e/../f/", "//Other.org:443/x", "?q=1", "/p//q/?b=2&a=%C3%A9+x&utm_source=z", "g?sso=1&B=~*", "http://u@h.org:8080/", "ftp://x/", "#top", "mailto:x", "..", "h%20i", "https://ex.org", "?a&b=&=c", "a\u200bb"]
+    df = spark.createDataFrame([(h,) for h in hrefs], "h string")
+
+    def plain(h: str) -> str | None:
+        h = h.replace("\u200b", "").strip()
+        if not h or h.startswith(("#", "mailto:")):
+            return None
+        u = urlsplit(urljoin(base, h))
+        if u.scheme not in ("http", "https") or u.port not in (None, 443):
+            return None
+        path = re.sub("/{2,}", "/", u.path).rstrip("/") or "/"
+        q = urlencode(sorted(p for p in parse_qsl(u.query, keep_blank_values=True) if p[0].lower() not in text.TRACKING_KEYS))
+        return f"https://{u.hostname}{path}{'?' + q if q else ''}"
+
+    assert {r.h: r.c for r in df.select("h", text.canonical_url(F.col("h"), F.lit(base)).alias("c")).collect()} == {h: plain(h) for h in hrefs}
+
+
+def test_windows_rows_and_contexts(spark):
+    from textmill.functions import structure
+
+    row = spark.range(1).select(structure.centered(F.lit("alpha beta gamma delta"), F.lit(6), F.lit(10), 12).alias("w")).first()
+    assert row.w == "alpha beta gamma"
+    assert structure.spatial_rows([("b", 50, 0, 60, 10), ("a", 0, 1, 10, 11), ("c", 12, 2, 20, 12), ("v", 90, 0, 92, 40), ("d", 0, 30, 10, 40)]) == ["a c | b", "v", "d"]
+    assert structure.missing_rows(["one two", "One  two!", "three four five", "six"], "one two six") == ["three four five"]
+    assert structure.missing_rows(["red red"], "red blue") == ["red red"]
+    text = "# A\nfirst line\n\nthe quote here\nnext one\n# B\nother"
+    assert structure.source_context(text, "the  quote") == "# A\nthe quote here\nnext one" and structure.source_context(text, "other") == "# B\nother" and structure.source_context("x", "absent words") == "absent words"
+    assert structure.rows_of_level("t\n| Level | W |\n|---|---|\n| G9, G8 | SL1 |\n| SL1 | x |\nend", "level", frozenset(["SL1"])) == "| Level | W |\n|---|---|\n| SL1 | x |"
+
+
+def test_chunks_keep_rows_items_and_sections_whole():
+    from textmill.functions.structure import structured_chunks
+
+    rows = [f"| {i} | {'r' * 20} |" for i in range(12)]
+    items = [f"- item {i} {'i' * 20}\n  more {i}" for i in range(9)]
+    text = "# S\n\n" + "\n\n".join(f"paragraph {i} " + "p" * 60 for i in range(6)) + "\n\n| a | b |\n|---|---|\n" + "\n".join(rows) + "\n\n# T\n" + "\n".join(items) + "\n\n" + "x" * 400
+    chunks = structured_chunks(text, 160, 20)
+    assert all(len(c[2]) <= 160 for c in chunks) and [c[0] for c in chunks] == sorted((c[0] for c in chunks[:-3]), key=["paragraph", "table", "list"].index) + ["paragraph"] * 3
+    tables, lists = [c[2] for c in chunks if c[0] == "table"], [c[2] for c in chunks if c[0] == "list"]
+    assert all(t.startswith("## S\n| a | b |\n|---|---|\n") for t in tables) and [r for t in tables for r in t.split("\n")[3:]] == rows
+    assert all(x.startswith("## T\n") for x in lists) and "\n".join(x.removeprefix("## T\n") for x in lists) == "\n".join(items)
+    assert structured_chunks(None, 10, 2) == [] and structured_chunks("| a |\n|---|", 99, 0) == [("table", "", "| a |\n|---|")]
+
+
+def test_approximate_search_finds_nine_in_ten(spark, sf_dir):
+    from textmill.operators import evaluation, ranking
+
+    vectors = spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/embeddings.parquet")
+    queries = vectors.where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    exact, found = ranking.knn(vectors, queries, "vec_id", "embedding", 10), ranking.approximate_knn(vectors, queries, "vec_id", "embedding", 10)
+    assert evaluation.recall_at_k(found, exact, ["query_id"], "vec_id", 10).agg(F.avg("recall")).first()[0] >= 0.9
+    whole = ranking.approximate_knn(vectors, queries, "vec_id", "embedding", 10, lists=5, probes=5)
+    assert sorted(whole.select("query_id", "vec_id", "rank").collect()) == sorted(exact.select("query_id", "vec_id", "rank").collect())
+
+
+def test_folds_and_batches_of_a_long_key(spark):
+    from textmill.operators import sequences
+    from textmill.sources import files
+
+    df = spark.range(5000).select((F.col("id") % 2).alias("k"), "id", F.when(F.col("id") % 3 == 0, -35).otherwise(15).alias("d"))
+    want = {}
+    for i in range(5000):
+        want[i % 2] = max(-100, min(100, want.get(i % 2, 0) + (-35 if i % 3 == 0 else 15)))
+    assert dict(sequences.clamped_sum(df, ["k"], ["id"], "d", -100, 100, "score").collect()) == want
+    assert sequences.clamped_sum(df.limit(0), ["k"], ["id"], "d", -100, 100, "score").count() == 0
+    assert [len(b) for b in files.in_batches(spark.range(0, 25, 1, 3), 10)] == [10, 10, 5]
+
+
+def test_bm25_by_joins_gives_the_same(spark, sf_dir, monkeypatch):
+    from textmill.operators import ranking
+
+    docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    run = lambda: sorted(map(tuple, ranking.bm25(docs, items.withColumnRenamed("text", "q"), "doc_id", "text", "item_id", "q", 5).select("item_id", "doc_id", "score", "rank").collect()))
+    first = run()
+    monkeypatch.setattr(ranking, "MOST_TERMS", 3)
+    assert run() == first and len(first) > 20

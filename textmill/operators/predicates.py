@@ -52,7 +52,11 @@ def json_contains(document: Column, wanted: Any) -> Column:
         found = kind.startswith("OBJECT") & all_of(json_contains(F.try_variant_get(document, _json_path(k), "variant"), v) for k, v in wanted.items())
     elif isinstance(wanted, (list, tuple)):
         elements = F.try_variant_get(document, "$", "array<variant>")
-        found = kind.startswith("ARRAY") & all_of(F.exists(elements, lambda x, w=w: json_contains(x, w)) for w in wanted)
+
+        def held(part: Any) -> Column:
+            return F.exists(elements, lambda x: json_contains(x, part))
+
+        found = kind.startswith("ARRAY") & all_of(map(held, wanted))
     else:
         found = (kind == "STRING") & (F.try_variant_get(document, "$", "string") == str(wanted))
     return F.coalesce(found, F.lit(False))
