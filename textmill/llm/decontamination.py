@@ -12,7 +12,8 @@ from textmill.llm.common import materialize
 
 SHINGLE = 5
 CONTAINMENT = 0.8
-BROADCAST_ROWS = 200_000  # sketch values (16 bytes each) that may be broadcast; beyond it the join shuffles
+BROADCAST_ROWS = 200_000  # rows of sketches or item shingles (some 50 bytes each) that may be broadcast; beyond it the join shuffles
+BROADCAST_IDS = 1_000_000  # ids (8 bytes each) of candidates that may be broadcast; beyond it the join shuffles
 
 
 def words(text: str | Column) -> Column:
@@ -77,8 +78,8 @@ def contaminated(
     """(doc_id, item_id, n_item, n_shared, containment) for each document with at least ``containment`` of an item's shingles.
 
     Words are lower-case runs of letters and digits, shingles five of them, each counted once. Every shingle of every
-    whole text is probed against the items' sketches; no pair is formed without a shared sketch value, and each candidate
-    is then verified on shingle texts. The sketches are broadcast only after their rows were counted.
+    whole text is probed against the items' sketches; the shingles of documents that share a sketch value, and of no others, are joined to
+    the items' on their texts and counted. Sketches, shingles and ids are broadcast only after their rows were counted.
 
     Texts or items of fewer than five words, null texts, and rows with null ids match nothing. Repeated rows give one row
     a pair, with the largest containment. Empty tables give an empty result. Column names may clash between the tables.
@@ -89,17 +90,17 @@ def contaminated(
     top = bounds["top"] if bounds["rows"] else -(1 << 63)
     known = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     hashed = known.select("doc_id", F.filter(shingle_hashes(words("text")), lambda h: h <= F.lit(top)).alias("hashes"))
-    candidates = materialize(
-        hashed.select("doc_id", F.explode("hashes").alias("h")).join(wanted, "h").groupBy("doc_id").agg(F.collect_set("item_id").alias("items")), "leak-candidates"
-    )
-    held = known.join(candidates, "doc_id").select("doc_id", "items", shingle_texts(words("text")).alias("held"))
+    candidates = materialize(hashed.select("doc_id", F.explode("hashes").alias("h")).join(wanted, "h", "left_semi").select("doc_id").distinct(), "leak-candidates")
+    few = candidates.count() <= BROADCAST_IDS
+    held = known.join(F.broadcast(candidates) if few else candidates, "doc_id", "left_semi").select("doc_id", F.xxhash64("text").alias("tag"), F.explode(shingle_texts(words("text"))).alias("s"))
+    parts = shingles.select("item_id", F.explode("shingles").alias("s"))
+    shared = held.join(F.broadcast(parts) if bounds["rows"] and parts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else parts, "s")
+    # rows that share id and text are counted once
+    counts = shared.groupBy("doc_id", "tag", "item_id").agg(F.count_distinct("s").alias("n_shared")).groupBy("doc_id", "item_id").agg(F.max("n_shared").alias("n_shared"))
+    sizes = shingles.select("item_id", F.size("shingles").cast("long").alias("n_item"))
     return (
-        held.select("doc_id", "held", F.explode("items").alias("item_id"))
-        .join(shingles, "item_id")
-        .select("doc_id", "item_id", F.size("shingles").cast("long").alias("n_item"), F.size(F.array_intersect("shingles", "held")).cast("long").alias("n_shared"))
+        counts.join(sizes, "item_id").select("doc_id", "item_id", "n_item", "n_shared")
         .where(F.col("n_shared") >= F.ceil(F.col("n_item") * F.lit(containment) - 1e-9))
-        .groupBy("doc_id", "item_id", "n_item")
-        .agg(F.max("n_shared").alias("n_shared"))
         .withColumn("containment", F.col("n_shared") / F.col("n_item"))
     )
 
