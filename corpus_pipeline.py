@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textmill.llm import decontamination, language_id, line_dedup, packing, simhash
-from textmill.llm.common import scratch_path
+from textmill.llm.common import discard, scratch_path
 from textmill.llm.queries import PACK_END, pack_tokenizer
 from textmill.session import table
 
@@ -23,7 +23,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays."""
+    """One document of each SimHash group stays; of rows that share an id, one. Rows without an id stay."""
     return simhash.keep_one(docs).select(docs.columns)
 
 
@@ -53,9 +53,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         path = scratch_path(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if last is not None:  # nothing reads the stage before any more
+            discard(last)
+        docs = last = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
