@@ -19,8 +19,8 @@ def best(line: str, texts: list[str]) -> tuple[float, str]:
     """The (cosine, license) of a line by how often each word occurs there and in how many documents."""
     docs = [bag(t) for t in texts]
     w = lambda t: (math.log((len(docs) + 1) / (sum(t in d for d in docs) + 1)) + 1) ** 2
-    size = lambda x: sum(n * n * w(t) for t, n in x.items())
-    dot = lambda x, y: sum(n * y[t] * w(t) for t, n in x.items() if t in y)
+    size = lambda x: sum((1 + math.log(n)) ** 2 * w(t) for t, n in x.items())
+    dot = lambda x, y: sum((1 + math.log(n)) * (1 + math.log(y[t])) * w(t) for t, n in x.items() if t in y)
     found = [(dot(bag(line), bag(t)) / math.sqrt(size(bag(line)) * size(bag(t))), k) for k, t in license_scan.all_templates()]
     return max(found, key=lambda x: (round(x[0], 6), x[1]))
 

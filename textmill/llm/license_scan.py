@@ -55,7 +55,7 @@ def all_templates() -> list[tuple[str, str]]:
 
 def template_terms(spark: SparkSession, templates: list[tuple[str, str]]) -> DataFrame:
     rows = spark.createDataFrame([(i, k, t) for i, (k, t) in enumerate(templates)], "template int, license string, text string")
-    return rows.select("template", "license", F.explode(words("text")).alias("term")).groupBy("template", "license", "term").agg(F.count("*").alias("tf"))
+    return rows.select("template", "license", F.explode(words("text")).alias("term")).groupBy("template", "license", "term").agg(term_weight(F.count("*")).alias("tf"))
 
 
 def pieces(text: str) -> Column:
@@ -82,6 +82,11 @@ def term_counts(files: DataFrame, terms: DataFrame, text_col: str) -> DataFrame:
     return wanted.join(held.groupBy("term").agg(F.count("*").alias("n")), "term", "left").select("term", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def term_weight(n: Column) -> Column:
+    """What a term that occurs n times counts for: 1 + ln n, so that common words do not fill the vectors of long texts."""
+    return F.log(n) + 1
+
+
 def weight(n: Column, files: int) -> Column:
     """The squared idf of a term that n of the files hold."""
     return F.pow(F.log(F.lit(files + 1) / (n + 1)) + 1, 2)
@@ -111,7 +116,7 @@ def parent(path: Column) -> Column:
 def license_pieces(files: DataFrame, id_col: str, text_col: str, templates: list[tuple[str, str]], cosine: float) -> DataFrame:
     """(id, kind, license, cosine, words): the best license of each piece of a text that reaches ``cosine``.
 
-    Pieces and templates are vectors of lower-case words, each how often it occurs there times its idf, with document
+    Pieces and templates are vectors of lower-case words, each with 1 + ln of how often it occurs there times its idf, with document
     frequencies over all files. A piece is at least as long as its part on a template's words, so a cosine of c with the template needs
     a cosine of c from that part alone, and words that carry c of the template's length. What is below that is left out before
     frequencies are counted for all words of the other pieces; none that could reach the threshold is lost.
@@ -132,7 +137,7 @@ def license_pieces(files: DataFrame, id_col: str, text_col: str, templates: list
     # lines count by their different words, as they are added up
     found = found.select("id", "kind", F.size(F.when(F.col("kind") == "line", F.col("terms")).otherwise(F.col("all"))).alias("words"), "all", F.monotonically_increasing_id().alias("unit"))
     found = materialize(found, "license-candidates")
-    each = found.select("unit", "id", "kind", "words", F.explode("all").alias("term")).groupBy("unit", "id", "kind", "words", "term").agg(F.count("*").alias("tf"))
+    each = found.select("unit", "id", "kind", "words", F.explode("all").alias("term")).groupBy("unit", "id", "kind", "words", "term").agg(term_weight(F.count("*")).alias("tf"))
     each = materialize(each, "license-counts")
     on_template = each.join(products, "term").groupBy("unit", "template", "license", "norm").agg(F.sum(F.col("tf") * F.col("tf_there") * F.col("w")).alias("dot"), F.sum(F.col("tf") ** 2 * F.col("w")).alias("part"))
     dots = materialize(on_template.where(F.col("dot") ** 2 >= least * F.col("part") * F.col("norm") * (1 - 1e-9)).drop("part"), "license-products")

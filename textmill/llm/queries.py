@@ -188,9 +188,9 @@ pc AS (SELECT *, row_number() OVER () AS unit FROM (SELECT doc_id, 'line' AS kin
        UNION ALL SELECT doc_id, 'block', text FROM bl WHERE contains(text, chr(10)) UNION ALL SELECT doc_id, 'file', text FROM d WHERE contains(text, chr(10)))),
 pw AS (SELECT unit, doc_id, kind, {_WORDS} AS w FROM pc),
 pt AS (SELECT unit, doc_id, kind, words, term, count(*) AS tf FROM (SELECT unit, doc_id, kind, CASE kind WHEN 'line' THEN len(list_distinct(w)) ELSE len(w) END AS words, unnest(w) AS term FROM pw) GROUP BY ALL),
-tot AS (SELECT unit, doc_id, kind, words, sum(tf ^ 2 * w) AS total FROM pt JOIN idf USING (term) GROUP BY ALL),
-nrm AS (SELECT template, license, sum(tf ^ 2 * w) AS norm FROM tt JOIN idf USING (term) GROUP BY ALL),
-dot AS (SELECT unit, template, sum(pt.tf * tt.tf * w) AS dot FROM pt JOIN tt USING (term) JOIN idf USING (term) GROUP BY ALL),
+tot AS (SELECT unit, doc_id, kind, words, sum((1 + ln(tf)) ^ 2 * w) AS total FROM pt JOIN idf USING (term) GROUP BY ALL),
+nrm AS (SELECT template, license, sum((1 + ln(tf)) ^ 2 * w) AS norm FROM tt JOIN idf USING (term) GROUP BY ALL),
+dot AS (SELECT unit, template, sum((1 + ln(pt.tf)) * (1 + ln(tt.tf)) * w) AS dot FROM pt JOIN tt USING (term) JOIN idf USING (term) GROUP BY ALL),
 sc AS (SELECT unit, doc_id, kind, words, license, round(dot / sqrt(total * norm), 6) AS cosine FROM dot JOIN tot USING (unit) JOIN nrm USING (template)),
 bs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY cosine DESC, license) AS r FROM sc WHERE cosine >= 0.6) WHERE r = 1),
 own AS (SELECT doc_id, min_by(license, struct_pack(a := -cosine, b := license)) AS license, max(cosine) AS cosine, greatest(coalesce(sum(words) FILTER (WHERE kind = 'line'), 0), coalesce(max(words) FILTER (WHERE kind <> 'line'), 0)) AS in_license FROM bs GROUP BY doc_id),
