@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmill.llm import chat, decontamination, embedding_dedup, language_id, license_scan, line_dedup, packing, simhash, substring_dedup, token_store
+from textmill.llm import chat, code_compression, decontamination, embedding_dedup, language_id, license_scan, line_dedup, packing, simhash, substring_dedup, token_store, warc, whitening
 from textmill.llm.common import scratch_path
 from textmill.session import table
 
@@ -202,3 +202,63 @@ SELECT d.doc_id, coalesce(own.license, up.license) AS license, coalesce(own.cosi
        CASE WHEN own.license IS NOT NULL THEN 'own' WHEN up.license IS NOT NULL THEN 'inherited' END AS found, up.directory AS directory
 FROM d LEFT JOIN own USING (doc_id) LEFT JOIN up ON d.doc_id = up.doc_id AND up.r = 1
 """
+
+
+@query
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = whitening.fit_whitening(vectors)
+    error = whitening.identity_error(vectors, model)
+    shares = F.array(*(F.lit(float(x)) for x in model.explained))  # at most 32
+    rows = whitening.whiten(vectors, model).select("row.vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    return rows.select(
+        "vec_id", (F.col("at") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), F.col("deviation").try_cast("long").alias("deviation"), "whitened",
+        F.get(shares, F.col("at")).cast("double").alias("explained"), F.lit(error).alias("identity_error"),
+    )
+
+
+@query
+def op12_code_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    books = code_compression.fit_codebooks(vectors)
+    coded = code_compression.label_errors(code_compression.encode(vectors, books))
+    return coded.select("row.vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(books.sha256).alias("codebooks_sha256"))
+
+
+def _assigned(books: str) -> str:
+    """SQL: the nearest entry of each part of ``x`` in the table ``books``."""
+    return f"""SELECT vec_id, part, x.v AS v, min_by(entry, struct_pack(d := d, e := entry)) AS entry, min(d) AS d
+        FROM (SELECT x.*, entry, list_sum(list_transform(list_zip(x.v, {books}.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM x JOIN {books} USING (part)) x GROUP BY vec_id, part, x.v"""
+
+
+def _moved(books: str, chosen: str) -> str:
+    return f"""SELECT part, entry, coalesce(m.v, {books}.v) AS v FROM {books} LEFT JOIN (
+        SELECT part, entry, list(CAST(floor(s::DOUBLE / n) AS BIGINT) ORDER BY i) AS v FROM (
+            SELECT part, entry, i, sum(c) AS s, count(*) AS n FROM (SELECT part, entry, unnest(v) AS c, generate_subscripts(v, 1) AS i FROM {chosen}) GROUP BY ALL) GROUP BY part, entry) m USING (part, entry)"""
+
+
+ORACLE_SQL["op12_code_compression"] = """
+WITH kept AS (SELECT vec_id, label, [CAST(floor(256 * c::DOUBLE) AS BIGINT) FOR c IN embedding] AS e FROM embeddings
+              WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+x AS (SELECT vec_id, part, e[part * len(e) // 16 + 1 : (part + 1) * len(e) // 16] AS v FROM kept, range(16) r(part)),
+b0 AS (SELECT part, (row_number() OVER (PARTITION BY part ORDER BY vec_id)) - 1 AS entry, v FROM x QUALIFY entry < 64),
+""" + "".join(f"a{i} AS MATERIALIZED ({_assigned(f'b{i}')}),\n" + (f"b{i + 1} AS MATERIALIZED ({_moved(f'b{i}', f'a{i}')}),\n" if i < 2 else "") for i in range(3)) + """
+done AS (SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a2 GROUP BY vec_id),
+books AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b2)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM done JOIN kept USING (vec_id), books
+"""
+
+
+@query
+def op13_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = warc.write_archives(table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
+    found = warc.records(warc.read_archives(made, payloads=False)).where("record_type in ('response', 'revisit')")
+    return found.select(F.col("key").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
+ORACLE_SQL["op13_warc_salvage"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n FROM pages),
+q AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY html) END AS first FROM p)
+SELECT page_id, n AS payload_bytes, sha256(html) AS payload_digest, CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to FROM q
+"""
