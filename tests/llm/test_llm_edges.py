@@ -247,8 +247,9 @@ def test_an_index_is_extended_by_later_batches(spark):
     assert found == {d: full[d] for d in found} and len(found) > 10
     index = substring_dedup.FingerprintIndex(spark, path)
     assert sorted(level for _, level in index.runs) == [0, 0, 1]
-    probe = index.probe(index.runs[-1][0], index.runs[0][0])
-    plan = probe._jdf.queryExecution().executedPlan().toString()
+    with substring_dedup.settings(spark):
+        probe = index.probe(index.runs[-1][0], index.runs[0][0])
+        plan = probe._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
     index.close()
 

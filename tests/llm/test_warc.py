@@ -51,7 +51,7 @@ def plain(key: str, text: str) -> bytes:
 
 
 def read(data: bytes) -> tuple[list[str], list[tuple[int, int]]]:
-    found = list(warc.salvaged(warc._File(pa.PythonFile(pa.BufferReader(data), "r") if False else pa.BufferReader(data))))
+    found = list(warc.salvaged(warc._File(pa.BufferReader(data))))
     gaps = [(r["at"], r["bytes"]) for r in found if "reason" in r]
     assert all(r["reason"] for r in found if "reason" in r)
     return [warc.key_of(r["record_id"]) for r in found if "reason" not in r], gaps
@@ -72,8 +72,8 @@ def test_every_kind_of_damage_costs_only_what_it_touches(packed):
             assert gaps == [(starts[hit], len(parts[hit]))]
     cut = whole[: starts[2] + 20] + whole[starts[3] :]  # bytes are missing
     assert read(cut) == (list("01345"), [(starts[2], 20)])
-    junk = whole[: starts[2]] + b"\x1f\x8b\x08junk WARC/1.1\r\nno record" * 3 + whole[starts[2] :]
-    assert read(junk) == (list("012345"), [(starts[2], 3 * 26 + 3)]) or read(junk)[0] == list("012345")
+    junk = b"\x1f\x8b\x08junk WARC/1.1\r\nno record" * 3
+    assert read(whole[: starts[2]] + junk + whole[starts[2] :]) == (list("012345"), [(starts[2], len(junk))])
     assert read(whole[:-10]) == (list("01234"), [(starts[5], len(parts[5]) - 10)])
     assert read(b"") == ([], []) and read(b"no archive at all")[1] == [(0, 17)]
 

@@ -6,6 +6,7 @@ tasks gave, belong to the result. Lost executors and repeated tasks thus leave a
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import uuid
@@ -66,7 +67,7 @@ def record(kind: str, key: str | None, uri: str | None, date: str, payload: byte
     if kind == "revisit":
         head += _field("WARC-Profile", PROFILE) + _field("WARC-Refers-To", record_id(refers_to))
     head += _field("WARC-Payload-Digest", f"sha256:{digest}") + _field("WARC-Block-Digest", f"sha256:{hashlib.sha256(block).hexdigest()}")
-    head += _field("Content-Type", f"application/http; msgtype={'response' if kind == 'response' else 'request' if kind == 'request' else 'response'}") + _field("Content-Length", str(len(block)))
+    head += _field("Content-Type", "application/http; msgtype=response") + _field("Content-Length", str(len(block)))
     return head + b"\r\n" + block + BLANK
 
 
@@ -210,6 +211,8 @@ def _header(read: Callable[[int, int], bytes], at: int) -> tuple[dict[str, str],
         raise Damage("no version line")
     if end < 0:
         raise Damage("truncated header")
+    if re.search(rb"WARC/1\.[01]\r\n", head[10 : end + 2]):
+        raise Damage("another record's version line inside the header")
     fields: dict[str, str] = {}
     last = None
     for line in head[:end].split(b"\r\n")[1:]:
@@ -224,6 +227,8 @@ def _header(read: Callable[[int, int], bytes], at: int) -> tuple[dict[str, str],
         fields.setdefault(last, value.strip())
     if not re.fullmatch(r"\d{1,18}", fields.get("content-length", "")):
         raise Damage("no content length")
+    if not fields.get("warc-type") or not fields.get("warc-record-id"):
+        raise Damage("no type or no record id")
     return fields, at + end + len(BLANK)
 
 
@@ -236,8 +241,6 @@ def _digest_matches(field: str, data: bytes) -> bool:
     made = hashlib.new(kind, data)
     if len(value) == 2 * made.digest_size:
         return value.lower() == made.hexdigest()
-    import base64
-
     return value.upper().rstrip("=") == base64.b32encode(made.digest()).decode().rstrip("=")
 
 
