@@ -231,9 +231,10 @@ def test_covering_units_after_near_duplicates_go(spark):
 def test_spans_and_overlaps():
     from textmill.functions import spans
 
-    assert spans.strip_repeated_prefix("hello world", "world again") == " again"
-    assert spans.merge_paths(["Home", "A", "B"], ["b", "C"]) == ["A", "B", "C"]
-    assert spans.fuzzy_span("one  Two three", "one two") == (0, 8) and spans.fuzzy_span("abc", "zzz") is None
+    strip = spans.strip_repeated_prefix
+    assert strip("hello world", "world again") == " again" and strip("the cat", "tomorrow") == "tomorrow"
+    assert strip("... ABC DEF", "abc def and more") == " and more" and strip("x repeated", "Repeated, repeated! then") == "! then"
+    assert strip("one two three four five", "two thrxe four five six") == " six" and strip(None, " a ") == "a" and strip("a", None) == ""
     assert spans.parse_events(["event: a\nda", "ta: 1\ndata: 2\n\nda", "ta: x\n\n"]) == [("a", "1\n2"), ("message", "x")]
     assert spans.table_blocks("| a | b |\n|---|---|\n| 1 | 2 |\n| 3 |  |\nend") == ["a: 1; b: 2\na: 3"]
     assert spans.collect_ids('{"x": {"id": [1, [2]]}, "id": 1}', ("id",)) == ["1", "2"]
@@ -282,11 +283,15 @@ def test_windows_rows_and_contexts(spark):
 
     row = spark.range(1).select(structure.centered(F.lit("alpha beta gamma delta"), F.lit(6), F.lit(10), 12).alias("w")).first()
     assert row.w == "alpha beta gamma"
-    assert structure.spatial_rows([("b", 50, 0, 60, 10), ("a", 0, 1, 10, 11), ("c", 12, 2, 20, 12), ("v", 90, 0, 92, 40), ("d", 0, 30, 10, 40)]) == ["a c | b", "v", "d"]
-    assert structure.missing_rows(["one two", "One  two!", "three four five", "six"], "one two six") == ["three four five"]
-    assert structure.missing_rows(["red red"], "red blue") == ["red red"]
-    text = "# A\nfirst line\n\nthe quote here\nnext one\n# B\nother"
-    assert structure.source_context(text, "the  quote") == "# A\nthe quote here\nnext one" and structure.source_context(text, "other") == "# B\nother" and structure.source_context("x", "absent words") == "absent words"
+    boxes = [("b", 50, 0, 60, 10), ("a", 0, 1, 10, 11), ("c", 12, 2, 20, 12), ("v", 90, 0, 92, 40), ("d", 0, 30, 10, 40)]
+    pages = spark.createDataFrame([(1, [tuple(map(float, b[1:])) for b in boxes], [b[0] for b in boxes]), (2, [], [])], "k int, p array<struct<x0:double,y0:double,x1:double,y1:double>>, t array<string>")
+    pages = pages.select("k", F.transform(F.arrays_zip("t", "p"), lambda z: F.struct(z["t"].alias("t"), *(z["p"][n].alias(n) for n in ("x0", "y0", "x1", "y1")))).alias("boxes"))
+    assert {r.k: [x.t for x in r.rows] for r in pages.select("k", structure.page_rows(F.col("boxes")).alias("rows")).collect()} == {1: ["a c | b", "v", "d"], 2: []}
+    box = lambda t, y: {"t": t, "x0": 0.0, "y0": y, "x1": 10.0, "y1": y + 8}
+    lost = lambda texts, parsed: structure.missing_rows([box(t, 10.0 * i) for i, t in enumerate(texts)], parsed)
+    assert lost(["one two", "One  two!", "three four five", "six"], "one two six") == ["three four five"]
+    assert lost(["red red"], "red blue") == ["red red"] and lost(["total 5", "other row", "total 5"], "") == ["total 5", "other row", "total 5"]
+    assert structure.missing_rows([box("total 5", 0.0), box("Total 5", 0.4)], "") == ["total 5"] and structure.missing_rows([], None) == []
     assert structure.rows_of_level("t\n| Level | W |\n|---|---|\n| G9, G8 | SL1 |\n| SL1 | x |\nend", "level", frozenset(["SL1"])) == "| Level | W |\n|---|---|\n| SL1 | x |"
 
 

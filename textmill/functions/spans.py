@@ -5,6 +5,8 @@ from __future__ import annotations
 import difflib
 import json
 import re
+import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -53,27 +55,34 @@ def table_blocks(markdown: str | None, rows_per_block: int = 8) -> list[str]:
     return blocks
 
 
-def fuzzy_span(text: str | None, quote: str | None, least: float = 0.85) -> tuple[int, int] | None:
-    """Where a quote stands in a text: exactly, or without case and white space, or by its best aligned block."""
-    if not text or not quote or not quote.strip():
-        return None
-    at = text.find(quote)
-    if at >= 0:
-        return at, at + len(quote)
-    pattern = r"\s+".join(map(re.escape, quote.split()))
-    if found := re.search(pattern, text, re.IGNORECASE):
-        return found.span()
-    block = difflib.SequenceMatcher(None, text.lower(), quote.lower(), autojunk=False).find_longest_match()
-    return (block.a, block.a + block.size) if block.size >= least * len(quote) else None
+def _spoken(text: str | None) -> tuple[str, str, list[int]]:
+    """A transcript in one form, its letters and digits folded, and where in that form each of those ends."""
+    plain = unicodedata.normalize("NFKC", text or "").strip()
+    each = [(c, i) for i, char in enumerate(plain, 1) for c in char.casefold() if c.isalnum()]
+    return plain, "".join(c for c, _ in each), [i for _, i in each]
 
 
-def strip_repeated_prefix(previous: str | None, text: str | None, least: int = 6, ratio: float = 0.92) -> str:
-    """A text without the start that repeats the end of the one before: exactly, or nearly for ``least`` characters or more."""
-    previous, text = previous or "", text or ""
-    for n in range(min(len(previous), len(text)), 0, -1):
-        if previous.endswith(text[:n]) or (n >= least and difflib.SequenceMatcher(None, previous[-n:], text[:n]).ratio() >= ratio):
-            return text[n:]
-    return text
+def _nearly(a: str, b: str, ratio: float) -> bool:
+    alike = difflib.SequenceMatcher(None, a, b, autojunk=False)
+    return alike.quick_ratio() >= ratio and alike.ratio() >= ratio
+
+
+def strip_repeated_prefix(previous: str | None, text: str | None, least: int = 4, most: int = 120, near: int = 6, ratio: float = 0.92) -> str:
+    """A transcript without the starts that repeat the end of the one before, one after another.
+
+    Letters and digits alone are compared, without case: the longest of ``least`` to ``most`` that are equal, or alike by ``ratio`` if there
+    are ``near`` or more. The text is in NFKC without blanks at its ends; what separates the repeat from the rest stays with the rest. Nulls count as empty.
+    """
+    _, ending, _ = _spoken(previous)
+    plain, saying, ends = _spoken(text)
+    done = 0
+    while True:
+        rest = saying[done:]
+        sizes = range(min(most, len(ending), len(rest)), least - 1, -1)
+        size = next((n for n in sizes if ending.endswith(rest[:n]) or (n >= near and _nearly(ending[-n:], rest[:n], ratio))), 0)
+        if not size:
+            return plain[ends[done - 1] :] if done else plain
+        done += size
 
 
 def remove_boilerplate(text: str | None, noise: list[str], label: str = r"(?i)^(contact|phone|e-?mail|fax)\b") -> dict:
@@ -101,15 +110,6 @@ def remove_boilerplate(text: str | None, noise: list[str], label: str = r"(?i)^(
     return {"text": "\n".join(kept).strip("\n"), **counts}
 
 
-def merge_paths(old: list[str], new: list[str], generic: tuple[str, ...] = ("home", "start")) -> list[str]:
-    """Two navigation paths joined at the longest end of one that starts the other, without case; generic heads go."""
-    old, new = ([x for i, x in enumerate(p) if i or x.casefold() not in generic] for p in (list(old), list(new)))
-    for n in range(min(len(old), len(new)), -1, -1):
-        if [x.casefold() for x in old[len(old) - n :]] == [x.casefold() for x in new[:n]]:
-            return old + new[n:]
-    return old + new
-
-
 def collect_ids(document: str | None, keys: tuple[str, ...]) -> list[str]:
     """Values of the keys at any depth of a JSON document, in order, each once; lists may nest."""
     found: dict[str, None] = {}
@@ -186,15 +186,6 @@ def cleaned(text: Column, noise: list[str]) -> Column:
     return run(text)
 
 
-def located(text: Column, quote: Column) -> Column:
-    @F.pandas_udf(_SPAN)
-    def run(texts: pd.Series, quotes: pd.Series) -> pd.DataFrame:
-        spans = [fuzzy_span(t, q) or (None, None) for t, q in zip(texts, quotes, strict=True)]
-        return pd.DataFrame(spans, columns=_SPAN.names).astype("Int64")
-
-    return run(text, quote)
-
-
 def located_in_order(text: Column, parts: Column) -> Column:
     """(start, stop) of each part in the text, each looked for from the end of the last one that was found; null where it is not there."""
     span = "struct<start:int,stop:int>"
@@ -243,12 +234,41 @@ def without_repeated_prefix(previous: Column, text: Column) -> Column:
     return run(previous, text)
 
 
-def joined_paths(old: Column, new: Column) -> Column:
-    @F.pandas_udf(_STRINGS)
-    def run(olds: pd.Series, news: pd.Series) -> pd.Series:
-        return pd.Series([merge_paths(list(a), list(b)) for a, b in zip(olds, news, strict=True)])
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it stands there."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def labels(path: Column) -> Column:
+    """A path's labels in single blanks, without empty ones and without those that repeat the one before."""
+    plain = F.filter(F.transform(F.coalesce(path, F.array().cast("array<string>")), lambda x: F.trim(F.regexp_replace(x, r"(?U)\s+", " "))), lambda x: x != "")
+    return let(plain, lambda p: F.filter(p, lambda x, i: (i == 0) | (F.lower(x) != F.lower(F.get(p, i - 1)))))
+
+
+def navigation_path(parent: Column, local: Column, leaf: Column, generic: tuple[str, ...] = ("home", "start")) -> Column:
+    """A page's own path, ended by its leaf, joined to the one it was reached by, at the longest end of that which starts it, without case.
+
+    Generic labels at the head go as long as another is left. Nulls count as empty.
+    """
+    plain_leaf = F.trim(F.regexp_replace(F.coalesce(leaf, F.lit("")), r"(?U)\s+", " "))
+    low = lambda x: F.transform(x, F.lower)
+
+    def ended(own: Column, end: Column) -> Column:
+        there = (end == "") | F.coalesce(F.lower(F.get(own, F.size(own) - 1)) == F.lower(end), F.lit(False))
+        return F.when(there, own).otherwise(F.concat(own, F.array(end)))
+
+    def joined(before: Column, own: Column) -> Column:
+        sizes = F.sequence(F.lit(0), F.least(F.size(before), F.size(own)))
+        meets = lambda n: F.when(n == 0, True).otherwise(low(F.slice(before, F.size(before) - n + 1, n)) == low(F.slice(own, F.lit(1), n)))
+        return labels(F.concat(before, F.slice(own, F.array_max(F.filter(sizes, meets)) + 1, F.size(own))))
+
+    def headed(path: Column) -> Column:
+        telling = F.array_position(F.transform(path, lambda x: F.lower(x).isin(*generic)), False)
+        first = F.greatest(F.lit(1), F.when(telling == 0, F.size(path)).otherwise(telling)).cast("int")
+        return F.slice(path, first, F.size(path))
 
-    return run(old, new)
+    own = let(labels(local), lambda x: let(plain_leaf, lambda end: ended(x, end)))
+    return let(labels(parent), lambda before: let(own, lambda x: let(joined(before, x), headed)))
 
 
 _EVENTS = T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("data", T.StringType()), T.StructField("at", T.DoubleType())]))

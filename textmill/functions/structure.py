@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textmill.functions.spans import let
 from textmill.functions.text import canonical_url, clean_inline, merge_chunks
 
 _EDGES = r"^\s+|\s+$"
@@ -227,83 +229,80 @@ def render(template: Column, fields: dict[str, Column]) -> Column:
     return strip(F.regexp_replace(out, r"\{\{[^}]*\}\}", ""))
 
 
-def source_context(source: str | None, quote: str | None, most: int = 600) -> str:
-    """The line of a quote with its heading and the next line of its section, or the one before it, cut to ``most`` characters around the quote."""
-    plain = lambda x: " ".join(x.split())
-    lines, wanted = (source or "").splitlines(), plain(quote or "")
-    title = lambda x: bool(re.match(r"#{1,6}\s|\*\*.+\*\*$", x.strip()))
-    at = next((i for i, x in enumerate(lines) if wanted and wanted in plain(x)), None)
-    if at is None:
-        parts = [plain(x) for x in (quote or "").splitlines() if len(plain(x)) >= 4]
-        at = next((i for i, x in enumerate(lines) if plain(x) and any(p in plain(x) or plain(x) in p for p in parts)), None)
-    if at is None:
-        return wanted[:most]
-    head = next((i for i in range(at, -1, -1) if title(lines[i])), None)
-    stop = next((i for i in range(at + 1, len(lines)) if title(lines[i])), len(lines))
-    near = next((i for i in range(at + 1, stop) if lines[i].strip()), None)
-    if near is None:
-        near = next((i for i in range(at - 1, -1 if head is None else head, -1) if lines[i].strip()), None)
-    chosen = sorted({i for i in (head, at, near) if i is not None})
-    text = "\n".join(lines[i].strip() for i in chosen)
-    if len(text) <= most:
-        return text
-    start = max(0, text.find(wanted) - (most - len(wanted)) // 2)
-    return text[start : start + most].strip()
-
-
-def context_of(source: Column, quote: Column, most: int = 600) -> Column:
-    @F.pandas_udf(T.StringType())
-    def run(sources: pd.Series, quotes: pd.Series) -> pd.Series:
-        return pd.Series([source_context(s, q, most) for s, q in zip(sources, quotes, strict=True)])
-
-    return run(source, quote)
-
-
-def spatial_rows(lines: list[tuple[str, float, float, float, float]]) -> list[str]:
-    """Texts of the rows that lines (text, x0, y0, x1, y1) of a page form: by vertical centers against a row's running mean; a wide gap is a cell border."""
-    size = lambda x: (max(1.0, x[3] - x[1]), max(1.0, x[4] - x[2]))
-    middle = lambda x: (x[2] + x[4]) / 2
-    flat = sorted((x for x in lines if size(x)[1] <= 2.5 * size(x)[0]), key=lambda x: (middle(x), x[1]))
-    groups: list[list] = []
-    for x in flat:
-        if groups:
-            g = groups[-1]
-            height = max(1.0, sum(y[4] - y[2] for y in g) / len(g))
-            if abs(middle(x) - sum(map(middle, g)) / len(g)) <= max(2.0, 0.55 * min(size(x)[1], height)):
-                g.append(x)
-                continue
-        groups.append([x])
-    rows = []
-    for g in groups:
-        ordered, text = sorted(g, key=lambda x: x[1]), ""
-        for i, x in enumerate(ordered):
-            gap = i and x[1] - ordered[i - 1][3] > 1.5 * size(ordered[i - 1])[1]
-            text += (" | " if gap else " " if i else "") + x[0]
-        rows.append((min(x[2] for x in g), min(x[1] for x in g), text.strip()))
-    rows += [(x[2], x[1], x[0]) for x in lines if size(x)[1] > 2.5 * size(x)[0]]
-    return [t for _, _, t in sorted(rows)]
-
-
-def missing_rows(rows: list[str], parsed: str | None, least: float = 0.15) -> list[str]:
-    """Rows of a page that its parse lost: not inside it, and ``least`` or more of their words are not left among the parse's words,
-    which earlier rows use up."""
-    words = lambda t: re.findall(r"\w+", t.casefold())
-    flat = lambda t: " ".join(words(t))
-    left: dict[str, int] = {}
-    for w in words(parsed or ""):
-        left[w] = left.get(w, 0) + 1
-    whole, seen, out = flat(parsed or ""), set(), []
+BOX = "struct<t:string,x0:double,y0:double,x1:double,y1:double>"
+ROW = "struct<y0:double,x0:double,x1:double,y1:double,t:string>"
+
+
+def page_rows(boxes: Column) -> Column:
+    """The rows that a page's boxes (t, x0, y0, x1, y1) form, as (y0, x0, x1, y1, t) from top to bottom.
+
+    Boxes 2.5 times as high as wide are rows of their own. The others come by vertical center; one belongs to the row before
+    it where its center is off that row's mean center by at most 0.55 of the lower height of both, or 2. Inside a row boxes
+    go by their left edge, apart by `` | `` where the gap is over 1.5 heights of the box before. Null lists give none.
+    """
+    height, width = (lambda b: F.greatest(F.lit(1.0), b["y1"] - b["y0"])), (lambda b: F.greatest(F.lit(1.0), b["x1"] - b["x0"]))
+    upright = lambda b: height(b) > 2.5 * width(b)
+    center = lambda b: (b["y0"] + b["y1"]) / 2
+    boxes = boxes.cast(f"array<{BOX}>")
+    lying = F.array_sort(F.transform(F.filter(boxes, lambda b: ~upright(b)), lambda b: F.struct(center(b).alias("c"), b["x0"].alias("x0"), b.alias("b"))))
+    state = f"struct<row:int,n:int,c:double,h:double,out:array<struct<row:int,x0:double,b:{BOX}>>>"
+    start = F.from_json(F.lit('{"row":0,"n":0,"c":0,"h":0,"out":[]}'), state)
+
+    def place(s: Column, x: Column) -> Column:
+        tall = x["b"]["y1"] - x["b"]["y0"]
+        reach = F.greatest(F.lit(2.0), 0.55 * F.least(F.greatest(F.lit(1.0), tall), F.greatest(F.lit(1.0), s["h"] / s["n"])))
+        same = (s["n"] > 0) & (F.abs(x["c"] - s["c"] / s["n"]) <= reach)
+        row = s["row"] + F.when(same, 0).otherwise(1)
+        sums = [(F.when(same, s[k]).otherwise(0) + v).alias(k) for k, v in (("n", F.lit(1)), ("c", x["c"]), ("h", tall))]
+        return F.struct(row.alias("row"), *sums, F.concat(s["out"], F.array(F.struct(row.alias("row"), x["x0"].alias("x0"), x["b"].alias("b")))).alias("out"))
+
+    def joined(placed: Column, row: Column) -> Column:
+        mine = F.transform(F.array_sort(F.filter(placed, lambda p: p["row"] == row)), lambda p: p["b"])
+        return let(mine, cells)
+
+    def cells(mine: Column) -> Column:
+        texts = F.transform(mine, lambda b, i: F.concat(F.when(i == 0, "").when(b["x0"] - F.get(mine, i - 1)["x1"] > 1.5 * height(F.get(mine, i - 1)), " | ").otherwise(" "), F.coalesce(b["t"], F.lit(""))))
+        edge = lambda f, k: f(F.transform(mine, lambda b: b[k])).alias(k)
+        return F.struct(edge(F.array_min, "y0"), edge(F.array_min, "x0"), edge(F.array_max, "x1"), edge(F.array_max, "y1"), F.trim(F.array_join(texts, "")).alias("t"))
+
+    placed = F.aggregate(lying, start, place, lambda s: s["out"])
+    rows = let(placed, lambda p: F.transform(F.array_distinct(F.transform(p, lambda x: x["row"])), lambda row: joined(p, row)).cast(f"array<{ROW}>"))
+    alone = F.transform(F.filter(boxes, upright), lambda b: F.struct(b["y0"].alias("y0"), b["x0"].alias("x0"), b["x1"].alias("x1"), b["y1"].alias("y1"), F.coalesce(b["t"], F.lit("")).alias("t")))
+    return F.array_sort(F.concat(rows, alone.cast(f"array<{ROW}>")))
+
+
+def _overlap(a: dict, b: dict) -> float:
+    """The share of both boxes' area that they have in common."""
+    area = lambda x: max(0.0, x["x1"] - x["x0"]) * max(0.0, x["y1"] - x["y0"])
+    common = max(0.0, min(a["x1"], b["x1"]) - max(a["x0"], b["x0"])) * max(0.0, min(a["y1"], b["y1"]) - max(a["y0"], b["y0"]))
+    both = area(a) + area(b) - common
+    return common / both if both > 0 else 0.0
+
+
+def missing_rows(rows: list[dict], parsed: str | None, least: float = 0.15, same: float = 0.8) -> list[str]:
+    """Rows (t, x0, y0, x1, y1) of a page that its parse lost, in order: neither contained in it nor, but for less than ``least`` of their words, among its words.
+
+    A row uses up the parse's words that it has, whether lost or not. A row whose words and place (``same`` of the area in common) repeat an
+    earlier one is that one; equal words elsewhere on the page are a row of their own. Rows without words are nothing.
+    """
+    words = lambda t: re.findall(r"\w+", (t or "").casefold())
+    left, whole = Counter(words(parsed)), "".join(words(parsed))
+    seen: dict[str, list[dict]] = {}
+    lost = []
     for row in rows:
-        mine = words(row)
-        if not mine or flat(row) in seen:
+        mine = Counter(words(row["t"]))
+        key = "".join(words(row["t"]))
+        if not mine or any(_overlap(row, other) >= same for other in seen.get(key, [])):
             continue
-        seen.add(flat(row))
-        free, found = dict(left), 0
-        for w in mine:
-            if free.get(w, 0) > 0:
-                free[w] -= 1
-                found += 1
-        left = free
-        if flat(row) not in whole and 1 - found / len(mine) >= least:
-            out.append(row)
-    return out
+        seen.setdefault(key, []).append(row)
+        found = (mine & left).total()
+        left -= mine
+        if key not in whole and 1 - found / mine.total() >= least:
+            lost.append(row["t"].strip())
+    return lost
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def lost_rows(rows: pd.Series, parsed: pd.Series) -> pd.Series:
+    """``missing_rows`` of lists of (t, x0, y0, x1, y1)."""
+    return pd.Series([missing_rows([] if r is None else list(r), p) for r, p in zip(rows, parsed, strict=True)])

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,20 +86,3 @@ def profile_failures(documents: DataFrame, profiles: DataFrame) -> DataFrame:
         F.size(F.array_distinct(F.flatten(F.collect_set(places("terms"))))).alias("t_hit"), F.size(F.array_distinct(F.flatten(F.collect_set(places("scopes"))))).alias("s_hit"), bundled.alias("bundled")
     )
     return one.select("case_id", "profile_id", (F.col("t_hit") < F.col("t")).alias("missing_terms"), (F.col("s_hit") < F.col("s")).alias("missing_scope"), (~F.col("bundled")).alias("unbundled"))
-
-
-def validate_citations(references: DataFrame, sources: DataFrame, located: Callable[[Column, Column], Column], least_highlight: int = 8) -> DataFrame:
-    """References (ref_id, target_text, source_ref, highlight, quote, required_scope) against sources (source_ref, scope, text)
-    -> (ref_id, outcome, quote_start, quote_end).
-
-    Rejected: ``unknown_source``, ``quote_not_in_source`` (exactly, without case and white space, or nearly), ``authority_scope_conflict``.
-    Others are ``anchor``, or only ``related`` where the highlight is not in the output or too short.
-    """
-    joined = references.join(sources.select("source_ref", F.col("text").alias("source_text"), "scope"), "source_ref", "left")
-    rows = joined.withColumn("q", located(F.col("source_text"), F.col("quote"))).withColumn("h", located(F.col("target_text"), F.col("highlight")))
-    outcome = (
-        F.when(F.col("source_text").isNull(), "unknown_source").when(F.col("q.start").isNull(), "quote_not_in_source")
-        .when(F.col("required_scope").isNotNull() & (F.col("required_scope") != F.col("scope")), "authority_scope_conflict")
-        .when(F.col("h.start").isNull() | (F.char_length("highlight") < least_highlight), "related").otherwise("anchor")
-    )
-    return rows.select("ref_id", outcome.alias("outcome"), F.col("q.start").alias("quote_start"), F.col("q.end").alias("quote_end"))

@@ -6,39 +6,54 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textmill.functions import similarity, spans
-from textmill.operators import evaluation, history, ranking
+from textmill.operators import citations, evaluation, history, ranking
 from textmill.plans.hybrid import _bm25_sql
 from textmill.plans.registry import query
 from textmill.session import table
 
 LEVELS = ["low", "medium", "high"]
 
-_CITED = """WITH r AS (SELECT doc_id, text, CASE WHEN length(text) < 40 OR trim(left(text, 40)) = '' THEN 0 ELSE doc_id % 7 END AS kind, trim(left(text, 40)) = '' AS blank FROM documents WHERE doc_id % 50 <> 0),
-o AS (SELECT doc_id, CASE WHEN kind = 3 THEN 'unknown_source' WHEN blank THEN 'quote_not_in_source' WHEN kind = 4 THEN 'authority_scope_conflict' WHEN kind = 5 OR length(left(text, 40)) < 8 THEN 'related' ELSE 'anchor' END AS outcome FROM r
-UNION ALL SELECT doc_id, 'quote_not_in_source' FROM documents WHERE doc_id % 50 = 0)"""
+def cited(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """References, sources and targets from all documents: literal, re-cased, spaced and repunctuated quotes, quotes with one altered
+    letter, unknown sources, nulls, authority terms of the right and of another scope, conflicting codes, generic highlights, highlights that are not in the output, and whole texts as quotes.
+
+    Each source has a reference of its own, and those of kind 9 all cite one source.
+    """
+    docs = table(spark, d, "documents").select("doc_id", "text", F.element_at(F.array(*map(F.lit, ("performance", "career", "job_level", "culture"))), (F.col("doc_id") % 4 + 1).cast("int")).alias("scope"))
+    kind, part = F.col("doc_id") % 14, F.trim(F.substring("text", 30, 60))
+    letter = F.regexp_replace(part, r"[a-z](?=[^a-z]*$)", "0")
+    spaced = F.regexp_replace(F.upper(part), r"\s+", " -\n ")
+    quote = (
+        F.when(kind == 1, spaced).when(kind == 2, letter).when(kind == 4, F.lit(None)).when(kind == 5, "Career element, G4").when(kind == 6, "Grade g5 and SL2").when(kind == 10, F.col("text"))
+        .when(kind == 9, "the Popular passage").otherwise(part)
+    )
+    shown = F.when(kind == 5, "career-ELEMENT").when(kind == 6, "grade G5").when(kind == 7, "目标").when(kind == 8, "not in the output").when(kind == 11, F.lower(part)).when(kind == 9, F.concat(F.lit("popular passage no "), "doc_id")).otherwise(part)
+    said = F.concat(F.lit("Summary: "), F.when(kind == 8, "nothing").otherwise(F.coalesce(shown, F.lit(""))), F.lit(" end."))
+    source = F.when(kind == 3, -1).when(kind == 9, 0).otherwise(F.col("doc_id"))
+    references = docs.select(F.col("doc_id").alias("ref_id"), F.concat(F.lit("a"), F.col("doc_id").cast("string")).alias("target"), source.alias("source_ref"), shown.alias("highlight"), quote.alias("quote"))
+    targets = docs.select(F.concat(F.lit("a"), F.col("doc_id").cast("string")).alias("target"), said.alias("text"))
+    extra = F.when(kind == 5, " Career   Element (g4).").when(kind == 6, " grade G5, and sl2").otherwise("")
+    sources = docs.select(F.col("doc_id").alias("source_ref"), "scope", F.concat(F.coalesce("text", F.lit("")), F.when(F.col("doc_id") == 0, " The POPULAR\tpassage").otherwise(extra)).alias("text"))
+    return references, sources, targets
 
 
-def _citations(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    head = F.substring("text", 1, 40)
-    kind = F.when(F.col("doc_id") % 50 == 0, 9).when((F.char_length("text") < 40) | (F.trim(head) == ""), 0).otherwise(F.col("doc_id") % 7)
-    quote = F.when(kind == 9, "qqqq wwww xxxx jjjj zzzz kkkk vvvv pppp").when(kind == 1, F.replace(F.lower(head), F.lit(" "), F.lit("  "))).when(kind == 2, F.concat(F.substring("text", 1, 37), F.lit("zzz"))).otherwise(head)
-    said = F.when(kind == 5, "nothing of it").otherwise(head)
-    references = docs.select(
-        F.col("doc_id").alias("ref_id"), F.concat(F.lit("Summary: "), said).alias("target_text"), F.when(kind == 3, -1).otherwise(F.col("doc_id")).alias("source_ref"), head.alias("highlight"), quote.alias("quote"), F.when(kind == 4, "xx").alias("required_scope")
-    )
-    return evaluation.validate_citations(references, docs.select(F.col("doc_id").alias("source_ref"), F.col("lang").alias("scope"), "text"), spans.located)
+@query("x27_citation_outcomes")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Every reference with its outcome, its reason, and the span of its quote in the text of its source."""
+    found = citations.validate(*cited(spark, d))
+    return found.select("ref_id", "outcome", "reason", F.col("quote_span.start").alias("quote_start"), F.col("quote_span.end").alias("quote_end"), F.md5("quote_span.text").alias("quote_hash"))
 
 
-@query("x27_citation_outcomes", f"{_CITED} SELECT doc_id AS ref_id, outcome FROM o")
+@query("x27_rejection_counters")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    """Exact, re-cased, altered and absent quotes, unknown sources, conflicting scopes and highlights that are not in the output."""
-    return _citations(spark, d).select("ref_id", "outcome")
+    return citations.validate(*cited(spark, d)).groupBy("outcome", "reason").agg(F.count("*").alias("n"))
 
 
-@query("x27_rejection_counters", f"{_CITED} SELECT outcome, count(*) AS n FROM o GROUP BY 1")
+@query("x27_merged_sources")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return _citations(spark, d).groupBy("outcome").agg(F.count("*").alias("n"))
+    """All references as one answer: each source with its targets and anchors."""
+    found = citations.validate(*cited(spark, d)).withColumn("answer", F.lit(1))
+    return citations.merged(found, "answer", "ref_id", F.lit(0))[1]
 
 
 _TOP = rf"""WITH q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) AS term FROM benchmark), {_bm25_sql("c", "SELECT doc_id AS id, text FROM documents", 8)},
@@ -146,12 +161,15 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("x36_source_sync", """SELECT o_orderpriority AS source, o_orderkey, CASE WHEN o_orderpriority LIKE '1%' OR o_orderpriority LIKE '5%' THEN 'old' ELSE 'new' END AS origin FROM orders WHERE CASE WHEN o_orderpriority LIKE '1%' OR o_orderpriority LIKE '5%' THEN o_orderkey % 2 = 0 ELSE o_orderkey % 3 = 0 END""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    """Source 1 comes again unchanged by its stamp, 5 does not come, the others are replaced."""
+    """Source 1 comes again unchanged by its stamp, 5 does not come, the others are replaced; 2 has the rows of its stamp with a value moved beside a null."""
     rows = table(spark, d, "orders").select(F.col("o_orderpriority").alias("source"), "o_orderkey")
     stored = rows.where("o_orderkey % 2 = 0").withColumn("origin", F.lit("old"))
+    left, right = F.when(F.col("source").like("2%"), F.col("o_orderkey")), F.when(~F.col("source").like("2%"), F.col("o_orderkey"))
     incoming = rows.where("o_orderkey % 3 = 0 AND source NOT LIKE '5%'").withColumn("origin", F.lit("new"))
-    _, stamped = history.sync_sources(stored, incoming.where("source LIKE '1%'"), spark.createDataFrame([], "source string, digest string, rows long"), "source", ["o_orderkey"])
-    return history.sync_sources(stored, incoming, stamped, "source", ["o_orderkey"])[0]
+    stored, before, now = (x.select("*", a.alias("a"), b.alias("b")) for x, a, b in ((stored, left, right), (incoming, right, left), (incoming, left, right)))
+    _, stamped = history.sync_sources(stored, before.where("source LIKE '1%' OR source LIKE '2%'"), spark.createDataFrame([], "source string, digest string, rows long"), "source", ["o_orderkey"])
+    stamped = stamped.unionByName(history.sync_sources(stored, now.where("source LIKE '1%'"), stamped.limit(0), "source", ["o_orderkey"])[1]).where("source LIKE '2%' OR source LIKE '1%'").dropDuplicates(["source", "digest"])
+    return history.sync_sources(stored, now, stamped, "source", ["o_orderkey"])[0].select("source", "o_orderkey", "origin")
 
 
 @query("x36_sync_manifest", "SELECT o_orderpriority AS source, count(*) AS rows FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1")

@@ -90,11 +90,14 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy(F.regexp_extract("path", "lang=([^/]+)/", 1).alias("folder")).agg(F.sum(lines).cast("long").alias("rows"))
 
 
-@query("s08_uploads", r"SELECT doc_id || '.' || CASE doc_id % 4 WHEN 0 THEN 'txt' WHEN 1 THEN 'HTML' WHEN 2 THEN 'csv' ELSE 'pdf' END AS path, CASE doc_id % 4 WHEN 0 THEN 'a,b ' || source WHEN 1 THEN 'a,b ' || source WHEN 2 THEN 'a | b ' || source END AS text FROM documents")
+@query("s08_uploads", r"""SELECT doc_id || '.' || CASE doc_id % 4 WHEN 0 THEN 'txt' WHEN 1 THEN 'HTML' WHEN 2 THEN 'csv' ELSE 'pdf' END AS path,
+CASE doc_id % 4 WHEN 0 THEN 'a,b ' || source WHEN 1 THEN 'a,b ' || source WHEN 2 THEN 'x, y | "' || source || '" | ' || chr(10) || 'one two | ' || lang END AS text FROM documents""")
 def _(spark: SparkSession, d: str) -> DataFrame:
+    """Uploads of four kinds; the CSV files have commas, quotes and line feeds inside quoted cells, an empty cell and a blank line."""
     kinds = F.array(*map(F.lit, ("txt", "HTML", "csv", "pdf")))
     body = F.concat(F.lit("a,b "), "source")
-    content = F.when(F.col("doc_id") % 4 == 1, F.concat(F.lit("<p>a,b</p><script>x</script> <b>"), "source", F.lit("</b>"))).otherwise(body).cast("binary")
+    cells = F.concat(F.lit('"x, y","""'), "source", F.lit('""",\r\n,\r\n"one\ntwo",'), "lang", F.lit("\r\n"))
+    content = F.when(F.col("doc_id") % 4 == 1, F.concat(F.lit("<p>a,b</p><script>x</script> <b>"), "source", F.lit("</b>"))).when(F.col("doc_id") % 4 == 2, cells).otherwise(body).cast("binary")
     made = table(spark, d, "documents").select(F.concat_ws(".", "doc_id", F.get(kinds, (F.col("doc_id") % 4).cast("int"))).alias("path"), content.alias("content"))
     return files.parse_uploads(made).select("path", "text")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textmill.functions import spans, structure, text
+from textmill.functions import quotes, spans, structure, text
 from textmill.operators import history
 from textmill.plans.registry import query
 from textmill.session import table
@@ -144,35 +144,45 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 @query("x23_spatial_rows")
 def _(spark: SparkSession, d: str) -> DataFrame:
     """Each order is a page and each of its lines a box; a page is one group, as its lines are few."""
-    boxes = table(spark, d, "lineitem").select("l_orderkey", F.struct(F.col("l_partkey").cast("string").alias("t"), (F.col("l_discount") * 3000).alias("x0"), (F.col("l_linenumber") * 4 + F.col("l_quantity") % 7).alias("y0"), (F.col("l_discount") * 3000 + 20 + F.col("l_tax") * 100).alias("x1"), (F.col("l_linenumber") * 4 + F.col("l_quantity") % 7 + 8).alias("y1")).alias("box"))
+    left, top, wide = F.col("l_discount") * 3000, F.col("l_linenumber") * 4 + F.col("l_quantity") % 7, F.when(F.col("l_partkey") % 9 == 0, 2).otherwise(20 + F.col("l_tax") * 100)
+    boxes = table(spark, d, "lineitem").select("l_orderkey", F.struct(F.col("l_partkey").cast("string").alias("t"), *(x.cast("double").alias(n) for x, n in ((left, "x0"), (top, "y0"), (left + wide, "x1"), (top + 8, "y1")))).alias("box"))
     pages = boxes.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("box")).alias("boxes"))
-    return pages.select("l_orderkey", F.explode(files.rows_of_page(F.col("boxes"))).alias("row"))
+    return pages.select("l_orderkey", F.posexplode(structure.page_rows(F.col("boxes"))).alias("at", "row")).select("l_orderkey", "at", "row.t")
 
 
 @query("x24_page_fallback")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    """The lines of a text that a parse without every third line has lost."""
-    lines = F.split("text", "\n", -1)
+    """The lines of a text, as boxes one below the other, that a parse without every third line has lost; every fifth line is there twice, almost in the same place."""
+    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
+    box = lambda x, i, shift: F.struct(x.alias("t"), F.lit(0.0).alias("x0"), (i * 10.0 + shift).alias("y0"), F.lit(100.0).alias("x1"), (i * 10.0 + 8 + shift).alias("y1"))
+    boxes = F.flatten(F.transform(lines, lambda x, i: F.when(i % 5 == 0, F.array(box(x, i, F.lit(0.0)), box(x, i, F.lit(0.5)))).otherwise(F.array(box(x, i, F.lit(0.0))))))
     parsed = F.array_join(F.filter(lines, lambda x, i: i % 3 != 1), "\n")
-    return table(spark, d, DOCS).select("doc_id", F.explode(files.lost_rows(lines, parsed)).alias("row"))
+    return table(spark, d, DOCS).select("doc_id", F.explode(structure.lost_rows(boxes, parsed)).alias("row"))
 
 
-@query("x25_navigation_paths", "SELECT doc_id, lang || '>' || source || '>p' || doc_id || '>q' AS path FROM documents")
+@query("x25_navigation_paths", """SELECT doc_id, lang || '>' || source || '>p' || doc_id || '>' || CASE doc_id % 3 WHEN 0 THEN 'Q' WHEN 1 THEN 'Q>Leaf ' || doc_id ELSE 'Q' END AS path FROM documents""")
 def _(spark: SparkSession, d: str) -> DataFrame:
+    """Generic heads, repeated and blank labels, a side path that starts with the end of the inherited one in capitals, and leaves that end it or not."""
     page = F.concat(F.lit("p"), F.col("doc_id").cast("string"))
-    return table(spark, d, DOCS).select("doc_id", F.array_join(spans.joined_paths(F.array(F.lit("Home"), "lang", "source"), F.array(F.upper("source"), page, F.lit("q"))), ">").alias("path"))
+    parent, local = F.array(F.lit("Home"), F.lit("START"), F.lit("home"), "lang", F.lit(" "), "source", F.upper("source")), F.array(F.upper("source"), page, page, F.lit(" Q "))
+    leaf = F.when(F.col("doc_id") % 3 == 0, "q").when(F.col("doc_id") % 3 == 1, F.concat(F.lit("Leaf  "), F.col("doc_id").cast("string")))
+    return table(spark, d, DOCS).select("doc_id", F.array_join(spans.navigation_path(parent, local, leaf), ">").alias("path"))
 
 
-@query("x14_repeated_prefixes", "SELECT conv_id, turn, coalesce(' ' || text, '') AS rest FROM conversations")
+@query("x14_repeated_prefixes")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    """Transcripts that begin with the last words of the one before: here eleven characters that end it."""
+    """Transcripts that begin with the end of the one before: its last 2 to 40 characters, in capitals, with a letter changed, twice, or not at all."""
     w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    end = F.lit("=the tail=!")
-    rows = table(spark, d, "conversations").withColumn("previous", F.concat(F.coalesce(F.substring(F.lag("text").over(w), -30, 30), F.lit("")), end))
-    return rows.select("conv_id", "turn", spans.without_repeated_prefix(F.col("previous"), F.concat(end, F.lit(" "), "text")).alias("rest"))
+    rows = table(spark, d, "conversations").withColumn("previous", F.lag("text").over(w)).withColumn("i", F.row_number().over(w))
+    tail = F.coalesce(F.expr("right(previous, 2 + int(pmod(xxhash64(conv_id, turn), 39)))"), F.lit(""))
+    kind = (F.col("i") + F.col("conv_id")) % 5
+    head = F.when(kind == 0, tail).when(kind == 1, F.upper(tail)).when(kind == 2, F.regexp_replace(tail, "^(.{3}).", "$1x")).when(kind == 3, F.concat(tail, F.lit("... "), tail)).otherwise("")
+    said = F.concat(head, F.lit(", "), F.coalesce("text", F.lit("")))
+    return rows.select("conv_id", "turn", "role", F.md5(F.concat_ws("|", "previous", said)).alias("asked"), spans.without_repeated_prefix(F.col("previous"), said).alias("rest"))
 
 
 @query("x28_source_context")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    quote = F.trim(F.get(F.split("text", "\n", -1), F.lit(1)))
-    return table(spark, d, DOCS).select("doc_id", structure.context_of(_markdown(), F.coalesce(quote, F.lit(""))).alias("context"))
+    """The context of every text's second line, in capitals, in the text laid out as Markdown."""
+    quote = F.upper(F.trim(F.get(F.split("text", "\n", -1), F.lit(1))))
+    return table(spark, d, DOCS).select("doc_id", quotes.context_of(_markdown(), F.coalesce(quote, F.lit(""))).alias("context"))

@@ -176,9 +176,9 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, DOCS).select("doc_id", text.estimate_tokens(F.col("text")).alias("tokens"))
 
 
-@query("s16_excel_cells", "SELECT doc_id, CASE WHEN length(t) > 500 THEN left(t, 488) || ' [truncated]' ELSE t END AS cell FROM (SELECT doc_id, '''=' || text AS t FROM documents)")
+@query("s16_excel_cells", "SELECT doc_id, CASE WHEN length(t) > 32767 THEN left(t, 32755) || ' [truncated]' ELSE t END AS cell FROM (SELECT doc_id, '''=' || text AS t FROM documents)")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, DOCS).select("doc_id", text.excel_cell(F.concat(F.lit("="), "text"), 500).alias("cell"))
+    return table(spark, d, DOCS).select("doc_id", text.excel_cell(F.concat(F.lit("="), "text")).alias("cell"))
 
 
 @query("x10_image_references")

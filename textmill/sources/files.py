@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import re
 import uuid
@@ -14,7 +15,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textmill.functions import structure
 from textmill.functions.text import escape_cell, parse_html
 
 
@@ -124,12 +124,26 @@ def in_batches(df: DataFrame, size: int) -> Iterator[list]:
         yield held
 
 
+@F.pandas_udf(T.StringType())
+def csv_lines(texts: pd.Series) -> pd.Series:
+    def lines(text: str | None) -> str | None:
+        if text is None:
+            return None
+        rows = csv.reader(io.StringIO(text, newline=""))
+        return "\n".join(" | ".join(" ".join(cell.split()) for cell in row) for row in rows if any(cell.strip() for cell in row))
+
+    return texts.map(lines)
+
+
 def parse_uploads(files: DataFrame) -> DataFrame:
-    """(path, content) of text, Markdown, CSV and HTML files -> (path, kind, text); other kinds have no text."""
+    """(path, content) of text, Markdown, CSV and HTML files -> (path, kind, text); other kinds have no text.
+
+    A CSV file's rows are lines of cells apart by `` | ``, read with quotes, doubled quotes and line feeds inside cells; blank lines go.
+    """
     kind = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     plain = F.regexp_replace(F.col("content").cast("string"), "^\ufeff", "")
     rows = files.select("path", kind.alias("kind"), plain.alias("plain"))
-    text = F.when(F.col("kind").isin("htm", "html"), parse_html("plain")["content"]).when(F.col("kind") == "csv", F.replace("plain", F.lit(","), F.lit(" | "))).when(F.col("kind").isin("txt", "md"), F.col("plain"))
+    text = F.when(F.col("kind").isin("htm", "html"), parse_html("plain")["content"]).when(F.col("kind") == "csv", csv_lines("plain")).when(F.col("kind").isin("txt", "md"), F.col("plain"))
     return rows.select("path", "kind", text.alias("text"))
 
 
@@ -170,16 +184,6 @@ def heading_tree(heads: DataFrame, key: str, order: str, level: str) -> DataFram
     return heads.select(key, order, level, parent.alias("parent"), chapter.alias("chapter"), F.coalesce(follower - 1, last).alias("subtree_end"))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def rows_of_page(pages: pd.Series) -> pd.Series:
-    return pages.map(lambda boxes: structure.spatial_rows([tuple(b.values()) for b in boxes]))
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def lost_rows(rows: pd.Series, parsed: pd.Series) -> pd.Series:
-    return pd.Series([structure.missing_rows(list(r), p) for r, p in zip(rows, parsed, strict=True)])
-
-
 def write_export(df: DataFrame, path: str, kind: str) -> DataFrame:
     """CSV with formula-safe cells, or JSON lines, in gzip parts -> the manifest (part, bytes, sha256, rows) that is written beside them.
 
