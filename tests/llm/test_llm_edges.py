@@ -220,7 +220,7 @@ def test_file_offsets_over_many_blocks(spark):
     assert found == dict(zip([p for p, _ in parts], np.concatenate([[0], np.cumsum([n for _, n in parts])[:-1]]).tolist(), strict=True))
 
 
-ODD = ["my col", "a:b", "a-b", "x,y", "text.", "row", "id", "tag"]
+ODD = ["a.b", "my col", "a:b", "a-b", "x,y", "text.", "row", "id", "tag"]
 
 
 def test_columns_of_any_name(spark):
@@ -228,6 +228,17 @@ def test_columns_of_any_name(spark):
     df = spark.createDataFrame(rows, T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), *(T.StructField(c, T.LongType()) for c in ODD)]))
     for found in (substring_dedup.dedup_substrings(df), line_dedup.dedup_lines(df), language_id.identify(df, language_id.fit(df))):
         assert [[r.row[c] for c in ODD] for r in found.collect()] == [list(range(len(ODD)))] * 4
+    import corpus_pipeline
+
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        sf = scratch_path(spark, "stage-tables")
+        spark.createDataFrame([(1, f"{PASSAGE} zz")], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+        kept = stage(spark, df, sf)
+        assert kept.columns == df.columns and kept.count() == kept.select("`a.b`").count()
+    dotted = df.withColumnRenamed("doc_id", "d.id").withColumnRenamed("text", "t.x")
+    items = spark.createDataFrame([(1, PASSAGE)], "item_id long, text string")
+    assert decontamination.decontaminate(dotted, items, "d.id", "t.x").count() == 0 and simhash.keep_one(dotted, "d.id", "t.x").count() > 0
+    assert license_scan.scan(dotted, F.lit("p"), "d.id", "t.x").count() == 4 and packing.pack(dotted, public_tokenizers.path("word_bpe_49k.json"), 2, id_col="d.id", text_col="t.x").count() == 4
     assert line_dedup.clean_lines(df).columns == df.columns == language_id.known_language(df).columns == simhash.keep_one(df).columns
 
 

@@ -46,11 +46,11 @@ def format_examples(turns: DataFrame, conv_col: str = "conv_id", turn_col: str =
     Empty input gives an empty result. Work and size grow with the square of a conversation's turns, as the method asks.
     """
     rows = turns.select(
-        F.col(conv_col).cast("long").alias("conv_id"),
+        F.col(f"`{conv_col}`").cast("long").alias("conv_id"),
         F.struct(
-            F.col(turn_col).cast("long").alias("turn"),
-            F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"),
-            F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
+            F.col(f"`{turn_col}`").cast("long").alias("turn"),
+            F.coalesce(F.col(f"`{role_col}`").cast("string"), F.lit("")).alias("role"),
+            F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"),
         ).alias("t"),
     )
     ordered = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))

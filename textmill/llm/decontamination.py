@@ -53,7 +53,7 @@ def item_sketches(items: DataFrame, id_col: str, text_col: str, containment: flo
     n - ceil(containment * n) of them, so it holds one of any k = that + 1. The k smallest hashes are such a set, and
     items are partitioned by size, k being one number for each size: no document is ever missed, however long it is.
     """
-    texts = items.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("item_id"), words(text_col).alias("words"))
+    texts = items.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("item_id"), words(F.col(f"`{text_col}`")).alias("words"))
     # rows that share an item id are one item
     shingles = materialize(
         texts.select("item_id", F.explode(shingle_texts(F.col("words"))).alias("s")).groupBy("item_id").agg(F.array_sort(F.collect_set("s")).alias("shingles")),
@@ -88,7 +88,7 @@ def contaminated(
     bounds = sketch.agg(F.count("*").alias("rows"), F.max("h").alias("top")).first()
     wanted = sketch if bounds["rows"] > BROADCAST_ROWS else F.broadcast(sketch)
     top = bounds["top"] if bounds["rows"] else -(1 << 63)
-    known = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    known = docs.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     hashed = known.select("doc_id", F.filter(shingle_hashes(words("text")), lambda h: h <= F.lit(top)).alias("hashes"))
     candidates = materialize(hashed.select("doc_id", F.explode("hashes").alias("h")).join(wanted, "h", "left_semi").select("doc_id").distinct(), "leak-candidates")
     few = candidates.count() <= BROADCAST_IDS
@@ -107,5 +107,5 @@ def contaminated(
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that hold no benchmark item."""
-    leaks = materialize(contaminated(docs, items, id_col, text_col).select(F.col("doc_id").alias(id_col)).distinct(), "leaks")
-    return docs.join(leaks, id_col, "left_anti")
+    leaks = materialize(contaminated(docs, items, id_col, text_col).select(F.col("doc_id").alias("_leaks")).distinct(), "leaks")
+    return docs.join(leaks, F.col(f"`{id_col}`") == F.col("_leaks"), "left_anti")

@@ -245,7 +245,7 @@ def near_duplicates(
     prepare(spark)
     single = vectors.schema[vector_col].dataType == T.ArrayType(T.FloatType(), vectors.schema[vector_col].dataType.containsNull)
     kind, arrays = ("<f4", "array<float>") if single else ("<f8", "array<double>")
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast(arrays).alias("embedding"))
+    rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{label_col}`").cast("string").alias("label"), F.col(f"`{vector_col}`").cast(arrays).alias("embedding"))
     units = materialize(rows.mapInArrow(_unit(kind), "id long, label string, dims int, raw binary"), "vectors")
     usable = units.where("id is not null and raw is not null")
     classes = materialize(usable.groupBy("label", "raw").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("dims").alias("dims")), "vector-classes")

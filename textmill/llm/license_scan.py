@@ -122,7 +122,7 @@ def license_pieces(files: DataFrame, id_col: str, text_col: str, templates: list
     frequencies are counted for all words of the other pieces; none that could reach the threshold is lost.
     """
     spark = files.sparkSession
-    files = files.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    files = files.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     n_files, least = files.count(), (cosine - 1e-6) ** 2  # cosines are rounded to six digits
     terms = template_terms(spark, templates)
     counts = term_counts(files, terms.select("term").distinct(), "text").select("term", weight(F.col("n"), n_files).alias("w"))
@@ -164,7 +164,7 @@ def scan(
     license; rows that share an id are one file. Directories' licenses are broadcast only after they were counted.
     Columns may have any names. An empty table gives an empty result.
     """
-    known = files.select(F.col(id_col).cast("long").alias("id"), path.alias("path"), F.col(text_col).cast("string").alias("text"))
+    known = files.select(F.col(f"`{id_col}`").cast("long").alias("id"), path.alias("path"), F.col(f"`{text_col}`").cast("string").alias("text"))
     real = known.where(F.col("id").isNotNull())
     found = materialize(license_pieces(real.select("id", "text"), "id", "text", list(templates.items()) if templates else all_templates(), cosine), "license-pieces")
     lines, longer = (F.coalesce(f(F.when((F.col("kind") == "line") == is_line, F.col("words"))), F.lit(0)) for f, is_line in ((F.sum, True), (F.max, False)))

@@ -138,5 +138,5 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", t
     run again. Null and empty texts are their end id alone; null and repeated ids are carried as they are.
     """
     prepare(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_bytes(F.col(f"`{text_col}`")).alias("text"))
     return rows.mapInArrow(_pack(tokenizer, end_id, capacity, piece), "doc_id long, start long, ids binary, doc_tokens long, sequence_id long, offset long")

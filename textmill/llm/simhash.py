@@ -51,7 +51,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp) for every row; null and wordless texts have fingerprint 0."""
     prepare(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_bytes(F.col(f"`{text_col}`")).alias("text"))
     return rows.mapInArrow(_fingerprints, "id long, fp long")
 
 
@@ -204,8 +204,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """The documents less those near an earlier one: of each group the smallest id stays, once."""
     found = materialize(near_duplicates(docs, id_col, text_col), "simhash-found")
     repeats = not found.groupBy("id").count().where("count > 1").isEmpty()
-    gone = found.where("id <> component").select(F.col("id").alias(id_col)).distinct()
-    kept = docs.join(gone, id_col, "left_anti")
+    gone = found.where("id <> component").select(F.col("id").alias("_gone")).distinct()
+    kept = docs.join(gone, F.col(f"`{id_col}`") == F.col("_gone"), "left_anti")
     if repeats:  # rows that share an id are copies of one document
-        kept = kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.where(F.col(id_col).isNull()))
+        kept = kept.where(F.col(f"`{id_col}`").isNotNull()).dropDuplicates([id_col]).unionByName(kept.where(F.col(f"`{id_col}`").isNull()))
     return kept

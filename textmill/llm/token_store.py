@@ -53,7 +53,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col
     """
     spark = docs.sparkSession
     prepare(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_bytes(F.col(f"`{text_col}`")).alias("text"))
     size = rows.agg(F.sum(F.length("text") + 16)).first()[0] or 0
     files = max(1, -(-size // TEXT_PER_FILE), min(spark.sparkContext.defaultParallelism, size >> 20))
     ordered = rows.repartitionByRange(int(files), "doc_id").sortWithinPartitions("doc_id", "text")
