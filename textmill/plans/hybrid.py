@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmill.operators import joins, ranking, selection
+from textmill.operators import inverted, joins, ranking, selection
 from textmill.plans.registry import query
 from textmill.session import table, written
 
@@ -34,11 +34,12 @@ def _dense(spark: SparkSession, d: str, items: DataFrame) -> DataFrame:
 
 
 def _lexical(spark: SparkSession, d: str, items: DataFrame) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    source = table(spark, d, "documents")
+    docs = source.select("doc_id", "text")
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "text")).select((F.shiftleft("doc_id", LINES) + F.col("line")).alias("unit_id"), "text")
     _, more = ranking.overfetch(BRANCH)
-    chunks = ranking.bm25(docs, items, "doc_id", "text", "item_id", "question", BRANCH).withColumn("child", F.col("doc_id"))
-    units = ranking.bm25(lines, items, "unit_id", "text", "item_id", "question", more).withColumn("doc_id", F.shiftright("unit_id", LINES)).withColumnRenamed("unit_id", "child")
+    chunks = inverted.kept_index(spark, "documents", source, docs, "doc_id", "text").search(items, "item_id", "question", BRANCH, "doc_id").withColumn("child", F.col("doc_id"))
+    units = inverted.kept_index(spark, "lines", source, lines, "unit_id", "text").search(items, "item_id", "question", more, "unit_id").withColumn("doc_id", F.shiftright("unit_id", LINES)).withColumnRenamed("unit_id", "child")
     return _collapsed(*(b.select("item_id", "doc_id", "child", "score", "rank") for b in (chunks, units)))
 
 
