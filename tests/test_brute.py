@@ -173,7 +173,7 @@ def test_selected_candidates_meet_quotas_and_keep_order(spark, sf_dir):
 
 
 def test_parts_of_other_queries(spark, sf_dir):
-    for name in ("k11_quota_selection", "k12_prefix_reorder", "f19_structured_chunks", "k02_approximate_knn"):
+    for name in ("k11_quota_selection", "k12_prefix_reorder", "f19_structured_chunks"):
         assert QUERIES[name](spark, sf_dir).count() > 0
     assert spans.event_milestones([(0.5, "event: a\nda"), (1.0, "ta: x\n\n"), (2.0, "data: y\n\n")]) == [("a", "x", 1.0), ("message", "y", 2.0)]
     assert text.merge_chunks("a\n\nb", 10, 2) == ["a\nb"]

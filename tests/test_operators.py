@@ -309,17 +309,6 @@ def test_chunks_keep_rows_items_and_sections_whole():
     assert structured_chunks(None, 10, 2) == [] and structured_chunks("| a |\n|---|", 99, 0) == [("table", "", "| a |\n|---|")]
 
 
-def test_approximate_search_finds_nine_in_ten(spark, sf_dir):
-    from textmill.operators import evaluation, ranking
-
-    vectors = spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/embeddings.parquet")
-    queries = vectors.where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
-    exact, found = ranking.knn(vectors, queries, "vec_id", "embedding", 10), ranking.approximate_knn(vectors, queries, "vec_id", "embedding", 10)
-    assert evaluation.recall_at_k(found, exact, ["query_id"], "vec_id", 10).agg(F.avg("recall")).first()[0] >= 0.9
-    whole = ranking.approximate_knn(vectors, queries, "vec_id", "embedding", 10, lists=5, probes=5)
-    assert sorted(whole.select("query_id", "vec_id", "rank").collect()) == sorted(exact.select("query_id", "vec_id", "rank").collect())
-
-
 def test_folds_and_batches_of_a_long_key(spark):
     from textmill.operators import sequences
     from textmill.sources import files

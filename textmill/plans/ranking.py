@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textmill.operators import dedup, inverted, ranking, sequences
+from textmill.operators import dedup, graph_index, inverted, ranking, sequences
 from textmill.plans.registry import query
 from textmill.session import table
 
@@ -89,7 +89,8 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("k02_approximate_knn")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return ranking.approximate_knn(table(spark, d, "embeddings"), _queries(spark, d), "vec_id", "embedding", 10)
+    """By the kept graph of all vectors."""
+    return graph_index.kept_graph(spark, "embeddings", table(spark, d, "embeddings"), "vec_id", "embedding").search(_queries(spark, d), 10, "vec_id")
 
 
 @query("k05_branch_top_k", "SELECT source, doc_id, rank FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM documents) WHERE rank <= 5")
