@@ -71,3 +71,18 @@ def test_full_texts_headers_and_sentences(spark):
     df = spark.createDataFrame(rows, "doc_id long, path string, text string")
     found = {r.id: (r.license, r.found) for r in license_scan.scan(df, F.col("path")).where("license is not null").collect()}
     assert found == {1: ("MIT", "own"), 2: ("MIT", "inherited"), 3: ("GPL-3.0", "own"), 4: ("GPL-3.0", "inherited"), 5: ("MIT", "own")}
+
+
+def test_near_licences_and_tags_are_told_apart(spark):
+    text = {p.stem: p.read_text(encoding="utf-8") for p in license_scan.TEXTS.glob("*.txt")}
+    header = license_scan._GNU.format(";", "{}", "{}").replace("This program", "This library")
+    rows = [(k, v) for k, v in text.items()]
+    rows += [("AGPL-3.0", "# Copyright 2020 A. Person\n# " + license_scan._GNU.format(":", "Affero ", "3").replace("\n", "\n# ") + "\n\nx = 1\n"), ("LGPL-2.1", "/* " + header.format("Lesser ", "2.1") + " */\nint x;\n")]
+    rows += [("GPL-2.0", license_scan._GNU.format(";", "", "2") + "\n" + "code " * 20), ("GPL-3.0", license_scan._GNU.format(":", "", "3") + license_scan._WARRANTY.format("") + "\ncode = 1")]
+    rows += [("BSD-2-Clause", text["BSD-2-Clause"].replace("<", "Jane ").replace(">", " Doe")), ("MIT", "// SPDX-License-Identifier: MIT\nint main() {}\n"), ("GPL-2.0", "/* SPDX-License-Identifier: GPL-2.0-or-later */\ncode"), ("Zlib", "# SPDX-License-Identifier: Zlib\ncode")]
+    rows += [("MIT OR Apache-2.0", "# SPDX-License-Identifier: MIT OR Apache-2.0\n" + "code " * 30), ("EPL-2.0", "// This program and the accompanying materials are made available under the\n// terms of the Eclipse Public License 2.0 which is available at\n// https://www.eclipse.org/legal/epl-2.0/\nx")]
+    rows += [("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."), ("Unlicense", text["Unlicense"] + "\n\n(and more words)")]
+    rows += [(None, " ".join(f"filler{i} of the and to {i}" for i in range(j, j + 20))) for j in range(200)]
+    df = spark.createDataFrame([(i, f"{i}/file", t) for i, (_, t) in enumerate(rows)], "doc_id long, path string, text string")
+    found = {r.id: r.license for r in license_scan.scan(df, F.col("path")).collect()}
+    assert {i: found[i] for i in range(len(rows))} == {i: k for i, (k, _) in enumerate(rows)}

@@ -14,6 +14,9 @@ from textmill.llm.common import materialize
 from textmill.llm.decontamination import words
 
 COSINE = 0.6
+NEAR = 0.02  # among templates within so much of the best cosine the least distance decides, so that words which one of them lacks count
+TAG = r"SPDX-License-Identifier:[ \t]*(\(?[A-Za-z0-9.+-]+(?:\)?[ \t]+(?:OR|AND|WITH)[ \t]+\(?[A-Za-z0-9.+-]+)*\)?)"
+TAG_SUFFIX = r"^([A-Za-z0-9.-]+?)(-only|-or-later|\+)$"
 FILE_SHARE = 0.5  # a file is a licence file if so many of its words stand in license lines, or by its name
 FILE_NAME = r"(?i)(^|/)(licen[cs]e|copying|notice)(\.[a-z]+)?$"
 BROADCAST_DIRECTORIES = 100_000
@@ -39,11 +42,17 @@ TEMPLATES = {
 # The headers that licences ask for, and the first lines of their texts, by SPDX id.
 _GNU = "This program is free software{0} you can redistribute it and/or modify it under the terms of the GNU {1}General Public License as published by the Free Software Foundation, either version {2} of the License, or (at your option) any later version."
 _WARRANTY = " This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {0}General Public License for more details. You should have received a copy of the GNU {0}General Public License along with this program. If not, see https://www.gnu.org/licenses/."
+_CREATIVE = [("by", "Attribution"), ("by-sa", "Attribution-ShareAlike"), ("by-nc", "Attribution-NonCommercial"), ("by-nd", "Attribution-NoDerivatives"), ("by-nc-sa", "Attribution-NonCommercial-ShareAlike")]
 HEADERS = [
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 '
      'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
-    *((f"{short}-{n}.0", text) for short, name, versions in (("GPL", "", "23"), ("LGPL", "Lesser ", "3")) for n in versions for text in (_GNU.format(":", name, n), _GNU.format(":", name, n) + _WARRANTY.format(name))),
+    *((f"{short}-{n if '.' in n else n + '.0'}", text) for short, name, versions in (("GPL", "", "23"), ("LGPL", "Lesser ", ("2.1", "3")), ("AGPL", "Affero ", "3")) for n in versions for text in (_GNU.format(":", name, n), _GNU.format(":", name, n) + _WARRANTY.format(name))),
+    ("EPL-1.0", "All rights reserved. This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    *((f"CC-{k.upper()}-4.0", f"This work is licensed under the Creative Commons {name} 4.0 International License. To view a copy of this license, visit http://creativecommons.org/licenses/{k}/4.0/ or send a letter to Creative Commons, PO Box 1866, Mountain View, CA 94042, USA.")
+      for k, name in _CREATIVE),
+    *((f"CC-{k.upper()}-4.0", f"This work is licensed under a Creative Commons {name} 4.0 International License.") for k, name in _CREATIVE[1:]),
 ]
 TEXTS = Path(__file__).parent / "licenses"  # full texts, by SPDX id
 
@@ -145,8 +154,17 @@ def license_pieces(files: DataFrame, id_col: str, text_col: str, templates: list
     held = term_counts(files, live.select("term").distinct(), "text")
     totals = live.join(held, "term").groupBy("unit", "id", "kind", "words").agg(F.sum(F.col("tf") ** 2 * weight(F.col("n"), n_files)).alias("total"))
     scored = dots.join(totals, "unit").withColumn("cosine", F.round(F.col("dot") / F.sqrt(F.col("total") * F.col("norm")), 6)).where(F.col("cosine") >= cosine)
-    best = scored.groupBy("unit", "id", "kind", "words").agg(F.min(F.struct((-F.col("cosine")).alias("less"), F.col("license"))).alias("best"))
-    return best.select("id", "kind", "best.license", (-F.col("best.less")).alias("cosine"), "words")
+    rivals = F.collect_list(F.struct(F.round(F.col("norm") - 2 * F.col("dot"), 6).alias("distance"), "license", "cosine"))  # a template each at most
+    best = scored.groupBy("unit", "id", "kind", "words").agg(F.max("cosine").alias("top"), rivals.alias("rivals"))
+    best = best.select("id", "kind", "words", F.array_min(F.filter("rivals", lambda r: r["cosine"] >= F.round(F.col("top") - NEAR, 6))).alias("best"))
+    return best.select("id", "kind", "best.license", "best.cosine", "words").unionByName(tagged(files))
+
+
+def tagged(files: DataFrame) -> DataFrame:
+    """The same columns for every SPDX tag of a text: exact, whatever else stands there. An identifier alone is given without
+    ``-only``, ``-or-later`` or ``+``, an expression as it is."""
+    held = files.where(F.contains("text", F.lit("SPDX-License-Identifier:"))).select("id", F.explode(F.regexp_extract_all("text", F.lit(TAG), F.lit(1))).alias("said"))
+    return held.select("id", F.lit("tag").alias("kind"), F.regexp_replace("said", TAG_SUFFIX, "$1").alias("license"), F.lit(1.0).alias("cosine"), (F.size(F.array_distinct(words("said"))) + 3).alias("words"))
 
 
 def scan(
@@ -155,7 +173,8 @@ def scan(
     """(id, path, license, cosine, found, directory) for each row: its own license, or that of the nearest ancestor directory.
 
     Every line, sentence and block of every whole text, its leading comment and the text itself are compared with notices,
-    headers and full texts. A file's own license is that of its best piece (then the smaller SPDX id). A licence
+    headers and full texts. A file's own license is that of its best piece (then an SPDX tag, which is exact, then the smaller SPDX id); where templates
+    are within NEAR of a piece's best cosine, that at the least distance is the piece's, which tells licences apart that differ in a few words. A licence
     file, by its name or because FILE_SHARE of its words stand in license lines or in one longer piece, sets the license of its directory (the best
     cosine, then license, then path); files without one inherit it from the nearest directory above them. ``found`` is
     ``own``, ``inherited`` or null.
@@ -168,7 +187,8 @@ def scan(
     real = known.where(F.col("id").isNotNull())
     found = materialize(license_pieces(real.select("id", "text"), "id", "text", list(templates.items()) if templates else all_templates(), cosine), "license-pieces")
     lines, longer = (F.coalesce(f(F.when((F.col("kind") == "line") == is_line, F.col("words"))), F.lit(0)) for f, is_line in ((F.sum, True), (F.max, False)))
-    own = found.groupBy("id").agg(F.min(F.struct((-F.col("cosine")).alias("less"), "license")).alias("best"), F.greatest(lines, longer).alias("in_license"))
+    first = F.min(F.struct((-F.col("cosine")).alias("less"), (F.col("kind") != "tag").alias("guess"), "license"))
+    own = found.groupBy("id").agg(first.alias("best"), F.greatest(lines, longer).alias("in_license"))
     own = materialize(own.select("id", "best.license", (-F.col("best.less")).alias("cosine"), "in_license"), "own-licenses")
     holders = real.join(own, "id").withColumn("share", F.col("in_license") / F.greatest(F.size(words("text")), F.lit(1)))
     directories = materialize(

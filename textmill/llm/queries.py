@@ -191,9 +191,11 @@ pt AS (SELECT unit, doc_id, kind, words, term, count(*) AS tf FROM (SELECT unit,
 tot AS (SELECT unit, doc_id, kind, words, sum((1 + ln(tf)) ^ 2 * w) AS total FROM pt JOIN idf USING (term) GROUP BY ALL),
 nrm AS (SELECT template, license, sum((1 + ln(tf)) ^ 2 * w) AS norm FROM tt JOIN idf USING (term) GROUP BY ALL),
 dot AS (SELECT unit, template, sum((1 + ln(pt.tf)) * (1 + ln(tt.tf)) * w) AS dot FROM pt JOIN tt USING (term) JOIN idf USING (term) GROUP BY ALL),
-sc AS (SELECT unit, doc_id, kind, words, license, round(dot / sqrt(total * norm), 6) AS cosine FROM dot JOIN tot USING (unit) JOIN nrm USING (template)),
-bs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY cosine DESC, license) AS r FROM sc WHERE cosine >= 0.6) WHERE r = 1),
-own AS (SELECT doc_id, min_by(license, struct_pack(a := -cosine, b := license)) AS license, max(cosine) AS cosine, greatest(coalesce(sum(words) FILTER (WHERE kind = 'line'), 0), coalesce(max(words) FILTER (WHERE kind <> 'line'), 0)) AS in_license FROM bs GROUP BY doc_id),
+sc AS (SELECT unit, doc_id, kind, words, license, round(dot / sqrt(total * norm), 6) AS cosine, round(norm - 2 * dot, 6) AS distance FROM dot JOIN tot USING (unit) JOIN nrm USING (template)),
+nr AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY distance, license, cosine) AS r FROM (SELECT *, max(cosine) OVER (PARTITION BY unit) AS top FROM sc WHERE cosine >= 0.6) WHERE cosine >= round(top - 0.02, 6)),
+bs AS (SELECT doc_id, kind, words, license, cosine FROM nr WHERE r = 1 UNION ALL
+       SELECT doc_id, 'tag', len(list_distinct({_WORDS.replace('text', 'said')})) + 3, regexp_replace(said, '{license_scan.TAG_SUFFIX}', '\1'), 1.0 FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{license_scan.TAG}', 1)) AS said FROM d)),
+own AS (SELECT doc_id, min_by(license, struct_pack(a := -cosine, t := kind <> 'tag', b := license)) AS license, max(cosine) AS cosine, greatest(coalesce(sum(words) FILTER (WHERE kind = 'line'), 0), coalesce(max(words) FILTER (WHERE kind <> 'line'), 0)) AS in_license FROM bs GROUP BY doc_id),
 dirs AS (SELECT regexp_replace(path, '(^|/)[^/]*$', '') AS directory, min_by(license, struct_pack(a := -cosine, b := license, c := path)) AS license, max(cosine) AS cosine
          FROM d JOIN own USING (doc_id) WHERE in_license >= 0.5 * greatest(len({_WORDS}), 1) GROUP BY 1),
 up AS (SELECT doc_id, directory, dirs.license, dirs.cosine, row_number() OVER (PARTITION BY doc_id ORDER BY length(directory) DESC) AS r
