@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,8 @@ from textmill.functions import similarity, spans
 from textmill.operators import citations, evaluation, history, ranking
 from textmill.plans.hybrid import _bm25_sql
 from textmill.plans.registry import query
-from textmill.session import table
+from textmill.session import scratch, table
+from textmill.sources import versioned
 
 LEVELS = ["low", "medium", "high"]
 
@@ -179,11 +182,22 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return history.sync_sources(rows.limit(0), rows.where("o_orderkey % 3 = 0"), nothing, "source", ["o_orderkey"])[1].select("source", "rows")
 
 
-@query("x31_rebuild", "SELECT doc_id, 'build-7:' || doc_id || ':' || (i - 1) AS chunk_id, md5(line) AS content_hash FROM (SELECT doc_id, unnest(a) AS line, generate_subscripts(a, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents)) WHERE trim(line) <> ''")
+@query("x31_rebuild", """WITH c AS (SELECT doc_id, i - 1 AS i, line FROM (SELECT doc_id, unnest(a) AS line, generate_subscripts(a, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents)) WHERE trim(line) <> ''),
+p AS (SELECT doc_id, i, md5(upper(line)) AS h, 3 AS version FROM c WHERE doc_id % 10 = 0), b AS (SELECT doc_id, i, md5(line) AS h, 2 AS version FROM c)
+SELECT doc_id || ':' || i AS chunk_id, doc_id, coalesce(p.h, b.h) AS content_hash, coalesce(p.version, b.version) AS version FROM b LEFT JOIN p USING (doc_id, i)""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    """All chunks of a new build, stamped with it; ``files.replace_table`` puts them in the place of the old ones."""
+    """All chunks: an old build of every second document is replaced by a build of all that passes its checks, one with repeated
+    chunks is refused, then some documents change in place and late rows of the first build lose."""
     lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "line")).where("trim(line) <> ''")
-    return lines.select("doc_id", F.concat_ws(":", F.lit("build-7"), "doc_id", "i").alias("chunk_id"), F.md5("line").alias("content_hash"))
+    build = lambda version, line: lines.select(F.concat_ws(":", "doc_id", "i").alias("chunk_id"), "doc_id", F.md5(line).alias("content_hash"), F.lit(version).alias("version"))
+    chunks = versioned.VersionedTable(spark, scratch(spark, "rebuilt"), build(1, F.col("line")).schema, ["chunk_id"], ["version"], 8)
+    chunks.rebuild(build(1, F.reverse("line")).where("doc_id % 2 = 0"))
+    chunks.rebuild(build(2, F.col("line")), {"a chunk for every line": lambda made: made.count() == lines.count()})
+    with contextlib.suppress(versioned.Refused):
+        chunks.rebuild(build(9, F.col("line")).unionAll(build(9, F.col("line"))))
+    chunks.merge(build(3, F.upper("line")).where("doc_id % 10 = 0"))
+    chunks.merge(build(1, F.reverse("line")).where("doc_id % 4 = 0"))
+    return chunks.read()
 
 
 @query("x16_load_report", """SELECT strftime(ts, '%Y-%m-%d') AS phase, event_type, count(value) AS n, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99, max(value) AS top,

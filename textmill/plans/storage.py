@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from textmill.operators import predicates
 from textmill.plans.registry import query
 from textmill.session import scratch, table
-from textmill.sources import files
+from textmill.sources import files, versioned
 from textmill.streaming import live
 
 _LINES = "SELECT event_id, CASE event_id % 5 WHEN 1 THEN 'blank' WHEN 2 THEN 'invalid' WHEN 3 THEN 'not_object' ELSE 'ok' END AS status FROM events"
@@ -128,15 +128,16 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return made[0].unionByName(made[1]).groupBy("kind").agg(F.sum("rows").alias("rows"), (F.min(F.length("sha256")) == 64).alias("hashed"))
 
 
-@query("t19_synced_corpus", "SELECT user_id, arg_max(event_id, event_id) AS event_id FROM events GROUP BY 1")
+@query("t19_synced_corpus", "SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    """Each user's newest event, kept by micro-batches that arrive in order."""
+    """Each user's newest event, kept by four micro-batches: the newest events come in the first, and some of each come again in later ones."""
     source, path, checkpoint = (scratch(spark, x) for x in ("sync-in", "synced", "sync-state"))
-    events = table(spark, d, "events").select("user_id", "event_id")
-    for part in range(3):
-        events.where(F.col("event_id") * 3 >= part * events.count()).where(F.col("event_id") * 3 < (part + 1) * events.count() if part < 2 else F.lit(True)).coalesce(1).write.mode("append").parquet(source)
-    live.sync_corpus(live.event_stream(spark, source, events), path, ["user_id"], "event_id", checkpoint).awaitTermination()
-    return spark.read.parquet(path)
+    events = table(spark, d, "events").select("user_id", "event_id", "ts")
+    for part in range(4):
+        events.where((F.pmod(F.xxhash64("event_id"), F.lit(4)) == 3 - part) | (F.col("event_id") % 7 == part)).coalesce(1).write.mode("append").parquet(source)
+    kept = versioned.VersionedTable(spark, path, events.schema, ["user_id"], ["ts", "event_id"], 8)
+    live.sync_corpus(live.event_stream(spark, source, events), kept, checkpoint).awaitTermination()
+    return kept.read().select("user_id", "event_id")
 
 
 @query("p04_field_contract", "SELECT * FROM (VALUES ('lang', ''), ('owner', 'filters need missing columns: owner')) t(field, problem)")

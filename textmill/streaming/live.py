@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from textmill.sources import files
+from textmill.sources.versioned import VersionedTable
 
 
 def event_stream(spark: SparkSession, path: str, like: DataFrame, files_per_trigger: int = 1) -> DataFrame:
@@ -54,17 +54,14 @@ def sync_batches(stream: DataFrame, apply: Callable[[DataFrame, int], None], che
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def sync_corpus(stream: DataFrame, table_path: str, keys: list[str], order: str, checkpoint: str):  # noqa: ANN201
-    """Keep a Parquet table at the newest row of each key: every micro-batch replaces the rows of its keys.
+def sync_corpus(stream: DataFrame, table: VersionedTable, checkpoint: str):  # noqa: ANN201
+    """Keep a versioned table at the newest row of each key: every micro-batch is merged into the buckets of its keys.
 
-    A batch that is fed again after a failure writes the same rows, so the table is right after any restart.
+    A late row loses against what is stored. A batch that is fed again after a failure is known by its number, so the table is right after any restart.
     """
 
-    def apply(batch: DataFrame, _: int) -> None:
-        fresh = batch.groupBy(*keys).agg(F.max_by(F.struct(*batch.columns), order).alias("r")).select("r.*")
-        target, fs = files._filesystem(batch.sparkSession, table_path)
-        stored = batch.sparkSession.read.schema(batch.schema).parquet(table_path) if fs.exists(target) else fresh.limit(0)
-        files.replace_table(files.upsert(stored, fresh, keys), table_path)
+    def apply(batch: DataFrame, number: int) -> None:
+        table.merge(batch, number, checkpoint)
 
     return sync_batches(stream, apply, checkpoint)
 
