@@ -183,7 +183,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("x31_rebuild", """WITH c AS (SELECT doc_id, i - 1 AS i, line FROM (SELECT doc_id, unnest(a) AS line, generate_subscripts(a, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents)) WHERE trim(line) <> ''),
-p AS (SELECT doc_id, i, md5(upper(line)) AS h, 3 AS version FROM c WHERE doc_id % 10 = 0), b AS (SELECT doc_id, i, md5(line) AS h, 2 AS version FROM c)
+p AS (SELECT doc_id, i, md5(line || '!') AS h, 3 AS version FROM c WHERE doc_id % 10 = 0), b AS (SELECT doc_id, i, md5(line) AS h, 2 AS version FROM c)
 SELECT doc_id || ':' || i AS chunk_id, doc_id, coalesce(p.h, b.h) AS content_hash, coalesce(p.version, b.version) AS version FROM b LEFT JOIN p USING (doc_id, i)""")
 def _(spark: SparkSession, d: str) -> DataFrame:
     """All chunks: an old build of every second document is replaced by a build of all that passes its checks, one with repeated
@@ -195,7 +195,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     chunks.rebuild(build(2, F.col("line")), {"a chunk for every line": lambda made: made.count() == lines.count()})
     with contextlib.suppress(versioned.Refused):
         chunks.rebuild(build(9, F.col("line")).unionAll(build(9, F.col("line"))))
-    chunks.merge(build(3, F.upper("line")).where("doc_id % 10 = 0"))
+    chunks.merge(build(3, F.concat("line", F.lit("!"))).where("doc_id % 10 = 0"))
     chunks.merge(build(1, F.reverse("line")).where("doc_id % 4 = 0"))
     return chunks.read()
 
