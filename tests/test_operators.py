@@ -25,8 +25,47 @@ def one(spark, column):
 
 
 def test_nearest_rank_percentiles(spark):
+    import math
+    import random
+
     df = spark.createDataFrame([(float(i),) for i in (1, 2, 3, 4)], "v double")
-    assert df.agg(rollups.nearest_rank("v", 0.5), rollups.nearest_rank("v", 0.95)).first()[:] == (2.0, 4.0)
+    assert rollups.percentiles(df.withColumn("k", F.lit(None).cast("int")), ["k"], "v", {"a": 0.5, "b": 0.95}).first()[:] == (None, 2.0, 4.0)
+    rng = random.Random(1)
+    values = {1: [rng.gauss(0, 5) for _ in range(3000)], 2: [float(rng.choice([0, 0, 0, 0, 7, 8])) for _ in range(2500)], 3: [1.5], 4: [None, None], 5: [rng.random() ** 9 * 1e9 for _ in range(1000)] + [None] * 50}
+    rows = spark.createDataFrame([(k, v) for k, vs in values.items() for v in vs], "k int, v double")
+    fractions = {"p1": 0.01, "p50": 0.5, "p95": 0.95, "p100": 1.0}
+    found = {r.k: r for r in rollups.percentiles(rows, ["k"], "v", fractions, settled=20).collect()}  # several passes
+    for k, vs in values.items():
+        kept = sorted(v for v in vs if v is not None)
+        assert [found[k][n] for n in fractions] == [kept[max(1, math.ceil(round(len(kept) * f, 9))) - 1] if kept else None for f in fractions.values()], k
+    assert rollups.percentiles(rows.limit(0), ["k"], "v", fractions).count() == 0
+
+
+def test_facts_that_begin_alike_are_joined_on_other_words(spark):
+    from textmill.operators import joins
+
+    facts = spark.range(100_000).select(F.concat(F.lit("The name of "), F.col("id"), F.lit(" is x"), F.col("id")).alias("fact")).unionByName(spark.createDataFrame([("the",), ("!",), (None,)], "fact string"))
+    queries = spark.createDataFrame([(1, "so the name of 77 is x77, they said"), (2, "the name of 5"), (3, None), (4, "name of 12 is x12")], "q int, text string")
+    keys = joins.rarest_words(facts, "fact")
+    assert keys.groupBy("_first").count().agg(F.max("count")).first()[0] <= 1
+    assert sorted((r.q, r.fact) for r in joins.contained_facts(queries, facts, "text", "fact").collect()) == [(1, "The name of 77 is x77"), (1, "the"), (2, "the")]
+
+
+def test_updates_by_revision_and_owner(spark):
+    from textmill.operators import sequences
+
+    rows = [(1, 0, 0, "a", False), (1, 1, 0, "a", False), (1, 2, 1, "b", False), (1, 3, 1, "a", True), (1, 4, 2, "b", False), (1, 5, None, "b", False), (2, 0, 1, "a", False)]
+    df = spark.createDataFrame(rows, "k int, at int, want int, who string, free boolean")
+    assert {r.k: r[1:] for r in sequences.compare_and_set(df, ["k"], ["at"], "want", "who", "free").collect()} == {1: (3, "b", 2, 1), 2: (0, None, 1, 0)}
+
+
+def test_resizing_sorts_no_table(spark):
+    from textmill.operators import selection
+
+    df = spark.createDataFrame([(i // 2 * 3, f"t{i}") for i in range(40)], "id long, t string")
+    out = selection.cycle(df, "id", 1.4)
+    assert out.count() == 56 and out.where("copy = 1").agg(F.max("id")).first()[0] == 21
+    assert "TakeOrdered" not in out._jdf.queryExecution().executedPlan().toString()
 
 
 def test_spearman_of_equal_and_reversed_ranks(spark):

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textmill.session import written
+
 SMALL_FACTS = 5_000
 
 
@@ -34,12 +36,21 @@ def normalized(text: str) -> Column:
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
 
 
+def rarest_words(facts: DataFrame, fact_col: str) -> DataFrame:
+    """Facts with ``_fact``, their normalised form, and ``_first``, the word of theirs that fewest facts have, then the longest, then the first by alphabet."""
+    plain = facts.select(fact_col, normalized(fact_col).alias("_fact")).distinct().where(F.trim("_fact") != "")
+    each = plain.select(fact_col, "_fact", F.explode(F.array_distinct(F.split(F.trim("_fact"), " "))).alias("_first"))
+    common = each.groupBy("_first").agg(F.count("*").alias("_n"))
+    return each.join(common, "_first").groupBy(fact_col, "_fact").agg(F.min_by("_first", F.struct("_n", (-F.char_length("_first")).alias("_l"), "_first")).alias("_first"))
+
+
 def contained_facts(queries: DataFrame, facts: DataFrame, query_col: str, fact_col: str) -> DataFrame:
-    """Facts whose normalised words stand in a query as whole words: an equi-join on the fact's first word, then containment.
+    """Facts whose normalised words stand in a query as whole words: an equi-join on the word of the fact that fewest facts have, then containment.
 
-    Where the facts are few, a query's other words are left out before it is multiplied by its words.
+    Of equally rare words the longest is taken, then the first by alphabet: facts that all begin alike still spread over their other words.
+    Where the facts are few, a query's other words are left out before it is multiplied by its words. A fact without words is in no query.
     """
-    keyed = facts.select(fact_col, normalized(fact_col).alias("_fact")).distinct().withColumn("_first", F.element_at(F.split(F.trim("_fact"), " "), 1))
+    keyed = written(rarest_words(facts, fact_col), "keyed-facts")
     words = F.array_distinct(F.split(F.trim("_query"), " "))
     firsts = [r[0] for r in keyed.select("_first").distinct().limit(SMALL_FACTS + 1).collect()]
     if len(firsts) <= SMALL_FACTS:

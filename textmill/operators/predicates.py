@@ -79,6 +79,13 @@ def require_fields(df: DataFrame, active: dict[str, Any], needs: dict[str, str])
     return df
 
 
+def missing_fields(document: Column, active: dict[str, Any], needs: dict[str, str]) -> Column:
+    """The fields, in order, that active filters need and a JSON object lacks; null values and what is no object lack them."""
+    wanted = sorted({needs[k] for k, v in active.items() if v not in (None, "", [], ()) and k in needs})
+    parsed = F.try_parse_json(document)
+    return F.array_compact(F.array(*(F.when(F.try_variant_get(parsed, f"$['{f}']", "string").isNull(), f) for f in wanted)))
+
+
 def drop_json_keys(json_col: str, keys: Iterable[str]) -> Column:
     """The JSON object without top-level keys, others in order; values keep their types at any depth. Null where it is no object."""
     return F.to_json(F.map_filter(_entries(F.col(json_col)), lambda k, _: ~k.isin(list(keys))))

@@ -3,15 +3,57 @@
 from __future__ import annotations
 
 import hashlib
+from decimal import Decimal
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textmill.operators import sequences
-
-
-def nearest_rank(column: str, fraction: float) -> Column:
-    return F.expr(f"percentile_disc({fraction}) WITHIN GROUP (ORDER BY {column})")
+from textmill.session import written
+
+
+SETTLED = 10_000  # values of a key that are put in order at the end
+RANGES = 128  # that each pass cuts what is left of a key into
+BROADCAST_KEYS = 100_000
+
+
+def percentiles(df: DataFrame, keys: list[str], column: str, fractions: dict[str, float], settled: int = SETTLED) -> DataFrame:
+    """Each key's nearest-rank percentiles, by name, of the values that are not null: the least value with ``fraction`` of them at or below it.
+
+    Exact for any number of values a key: a pass cuts each key's values into RANGES at approximate quantiles, counts the ranges and keeps the one
+    that holds the rank, until at most ``settled`` values are left to be put in order, or one value. Tasks hold RANGES counts
+    a key, never its values. Keys whose values are all null have a row of nulls. Numbers and times only.
+    """
+    rows = df.select(*keys, F.col(column).alias("_v"))
+    same = lambda a, b: reduce(Column.__and__, [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys], F.lit(True))
+    ranks = [F.struct(F.lit(name).alias("_f"), F.greatest(F.ceil(F.col("_n") * F.lit(Decimal(str(f)))), F.lit(1)).cast("long").alias("_r")) for name, f in fractions.items()]
+    state = rows.groupBy(*keys).agg(F.count("_v").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    state = state.select(*keys, F.explode(F.array(*ranks)).alias("_x"), F.col("_n").alias("_in"), "_lo", "_hi").select(*keys, "_x.*", "_in", "_lo", "_hi")
+    state = written(state, "percentile-state")
+
+    def inside(part: DataFrame) -> DataFrame:
+        part = F.broadcast(part) if part.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else part
+        met = rows.alias("v").join(part.alias("s"), same("v", "s") & (F.col("v._v") >= F.col("s._lo")) & (F.col("v._v") <= F.col("s._hi")))
+        return met.select("s.*", "v._v")
+
+    by = [*keys, "_f", "_r"]
+    wide = (F.col("_in") > settled) & (F.col("_lo") < F.col("_hi"))
+    while not (large := state.where(wide)).isEmpty():
+        held = inside(large)
+        cuts = held.groupBy(*by).agg(F.percentile_approx("_v", [i / RANGES for i in range(RANGES + 1)], 20 * RANGES).alias("_cuts"))
+        cuts = written(large.alias("s").join(cuts.alias("c"), same("s", "c") & (F.col("s._f") == F.col("c._f"))).select("s.*", "c._cuts"), "percentile-cuts")
+        place = F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
+        counts = inside(cuts).groupBy(*by, place.alias("_i")).agg(F.count("*").alias("_in"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        upto = F.sum("_in").over(Window.partitionBy(*by).orderBy("_i"))  # RANGES + 2 rows a key
+        ranked = counts.withColumn("_upto", upto).where((F.col("_upto") >= F.col("_r")) & (F.col("_upto") - F.col("_in") < F.col("_r")))
+        next_state = ranked.select(*keys, "_f", (F.col("_r") - F.col("_upto") + F.col("_in")).alias("_r"), "_in", "_lo", "_hi")
+        state = written(state.where(~F.coalesce(wide, F.lit(False))).unionByName(next_state), "percentile-state")
+    single = state.where("_lo is null or _lo >= _hi").select(*keys, "_f", F.col("_lo").alias("_v"))
+    left = inside(state.where("_lo < _hi")).groupBy(*by, "_v").agg(F.count("*").alias("_c"))
+    ordered = left.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*by).orderBy("_v"))).where(F.col("_upto") >= F.col("_r"))
+    found = single.unionByName(ordered.groupBy(*keys, "_f").agg(F.min("_v").alias("_v")))
+    return found.groupBy(*keys).agg(*(F.max(F.when(F.col("_f") == name, F.col("_v"))).alias(name) for name in fractions))
 
 
 def rounded_index_percentile(df: DataFrame, keys: list[str], column: str, fraction: float, name: str) -> DataFrame:
@@ -24,9 +66,11 @@ def rounded_index_percentile(df: DataFrame, keys: list[str], column: str, fracti
 
 
 def latency_summary(df: DataFrame, keys: list[str], column: str) -> DataFrame:
-    return df.groupBy(*keys).agg(
-        F.count(column).alias("n"), nearest_rank(column, 0.5).alias("p50"), nearest_rank(column, 0.95).alias("p95"), nearest_rank(column, 0.99).alias("p99"), F.max(column).alias("top")
-    )
+    """Count, p50, p95, p99 and maximum of each key's values that are not null."""
+    plain = df.groupBy(*keys).agg(F.count(column).alias("n"), F.max(column).alias("top"))
+    found = percentiles(df, keys, column, {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+    met = reduce(Column.__and__, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys], F.lit(True))
+    return plain.alias("a").join(found.alias("b"), met).select("a.*", "b.p50", "b.p95", "b.p99")
 
 
 def pass_rates(runs: DataFrame, k: int, keys: list[str], overall: bool = False) -> DataFrame:

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmill.operators import dedup, ranking
+from textmill.operators import dedup, ranking, rollups
 
 
 @dataclass
@@ -121,8 +121,14 @@ def cycle(rows: DataFrame, id_col: str, times: float) -> DataFrame:
     """
     whole, part = int(times), times - int(times)
     full = rows.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(whole - 1)))) if whole else rows.limit(0).withColumn("copy", F.lit(0))
-    n = int(rows.count() * times) - whole * rows.count()
-    return full if part <= 0 or n <= 0 else full.unionByName(rows.orderBy(id_col).limit(n).withColumn("copy", F.lit(whole)))
+    count = rows.count()
+    n = int(count * times) - whole * count
+    if part <= 0 or n <= 0:
+        return full
+    last = rollups.percentiles(rows.withColumn("_all", F.lit(1)), ["_all"], id_col, {"last": n / count}).first()["last"]
+    below = rows.where(F.col(id_col) < last)
+    tied = rows.where(F.col(id_col) == last).limit(n - below.count())
+    return full.unionByName(below.unionByName(tied).withColumn("copy", F.lit(whole)))
 
 
 SCHEMA = "query_id long, id string, position long"

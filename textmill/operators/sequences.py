@@ -66,6 +66,27 @@ def budget_reservations(df: DataFrame, keys: list[str], order: list[str], amount
     return found.withColumn("used", F.round("used", 4))
 
 
+def compare_and_set(df: DataFrame, keys: list[str], order: list[str], expected: str, owner: str, release: str, modulus: int | None = None) -> DataFrame:
+    """(keys, revision, owner, stale, foreign_owner): updates in order, each made only if it expects the current revision and nobody else owns the state.
+
+    An update that is made raises the revision by one and takes the state, or gives it back where ``release``. One that expects another revision
+    counts as ``stale``, one against another owner as ``foreign_owner``. Revisions are compared modulo ``modulus`` if there is one. A null
+    expectation is stale; a null owner owns nothing and is refused only by others.
+    """
+
+    def step(s: tuple, row: tuple) -> tuple:
+        revision, held, stale, foreign = s
+        wanted, by, gives = row
+        if wanted is None or wanted != (revision % modulus if modulus else revision):
+            return revision, held, stale + 1, foreign
+        if held is not None and held != by:
+            return revision, held, stale, foreign + 1
+        return revision + 1, None if gives else by, stale, foreign
+
+    schema = f"{key_schema(df, keys)}, revision long, owner string, stale long, foreign_owner long"
+    return fold(df, keys, order, [expected, owner, release], lambda: (0, None, 0, 0), step, lambda s: s, schema)
+
+
 def overflow(df: DataFrame, keys: list[str], order: list[str], raw_window: int, batch: int) -> DataFrame:
     """The rows before the last ``raw_window``, cut to whole batches."""
     ranked = df.withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).withColumn("_n", F.count("*").over(Window.partitionBy(*keys)))

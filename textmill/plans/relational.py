@@ -311,7 +311,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("a09_nearest_rank_percentile", "SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99 FROM events GROUP BY 1")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").groupBy("event_type").agg(*(rollups.nearest_rank("value", p).alias(n) for n, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))))
+    return rollups.percentiles(table(spark, d, "events"), ["event_type"], "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
 
 
 @query("a09b_rounded_index_percentile", "SELECT event_type, list_sort(list(value))[CAST(round_even((count(*) - 1) * 0.9, 0) AS BIGINT) + 1] AS p90 FROM events GROUP BY 1")

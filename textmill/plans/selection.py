@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textmill.functions import text
-from textmill.operators import dedup, ranking, selection
+from textmill.operators import dedup, ranking, rollups, selection
 from textmill.plans.registry import query
 from textmill.session import table
 from textmill.sources import files
@@ -101,8 +101,8 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("x15_experience_grades", "SELECT user_id, CASE WHEN max(value) > 4 * quantile_disc(value, 0.95) THEN 'poor' WHEN quantile_disc(value, 0.95) <= 30 THEN 'good' ELSE 'fair' END AS grade FROM events GROUP BY 1")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    p95 = F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value)")
-    return table(spark, d, "events").groupBy("user_id").agg(F.when(F.max("value") > 4 * p95, "poor").when(p95 <= 30, "good").otherwise("fair").alias("grade"))
+    found = rollups.latency_summary(table(spark, d, "events"), ["user_id"], "value")
+    return found.select("user_id", F.when(F.col("top") > 4 * F.col("p95"), "poor").when(F.col("p95") <= 30, "good").otherwise("fair").alias("grade"))
 
 
 @query("x17_fixture_expansion", "SELECT count(*) AS cases, count(DISTINCT n_nationkey || ':' || r_regionkey) = count(*) AS is_unique FROM nation, region")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmill.operators import sequences
+from textmill.operators import rollups, sequences
 from textmill.plans.registry import query
 from textmill.sources import files
 from textmill.session import table
@@ -54,7 +54,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("t07_p95_series", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS bucket, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY 1")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").groupBy(windows.bucket("ts", 86400).alias("bucket")).agg(F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value)").alias("p95"))
+    return rollups.percentiles(table(spark, d, "events").withColumn("bucket", windows.bucket("ts", 86400)), ["bucket"], "value", {"p95": 0.95})
 
 
 @query("t08_ratio", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS bucket, round(100.0 * count(*) FILTER (WHERE event_type = 'purchase') / count(*), 6) AS percent FROM events GROUP BY 1")
@@ -87,9 +87,16 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").groupBy("o_custkey").agg(newest).select("o_custkey", "v.o_orderkey")
 
 
-@query("t15_compare_and_set", "SELECT o_custkey, min(o_orderkey) AS writer FROM orders GROUP BY 1")
+@query("t15_compare_and_set", """WITH RECURSIVE e AS (SELECT user_id, event_type AS owner, event_id % 3 AS expected, event_type = 'purchase' AS release, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+r AS (SELECT user_id, 0::BIGINT AS i, 0::BIGINT AS revision, NULL::VARCHAR AS owner, 0::BIGINT AS stale, 0::BIGINT AS foreign_owner FROM (SELECT DISTINCT user_id FROM events) UNION ALL
+SELECT e.user_id, e.i, r.revision + (CASE WHEN e.expected = r.revision % 3 AND coalesce(r.owner = e.owner, true) THEN 1 ELSE 0 END), CASE WHEN e.expected = r.revision % 3 AND coalesce(r.owner = e.owner, true) THEN (CASE WHEN e.release THEN NULL ELSE e.owner END) ELSE r.owner END,
+r.stale + (CASE WHEN e.expected <> r.revision % 3 THEN 1 ELSE 0 END), r.foreign_owner + (CASE WHEN e.expected = r.revision % 3 AND NOT coalesce(r.owner = e.owner, true) THEN 1 ELSE 0 END) FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1)
+SELECT user_id, max_by(revision, i) AS revision, coalesce(max_by(coalesce(owner, '-'), i), '-') AS owner, max(stale) AS stale, max(foreign_owner) AS foreign_owner FROM r GROUP BY 1""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "orders").groupBy("o_custkey").agg(F.min_by("o_orderkey", "o_orderkey").alias("writer"))
+    """Events as updates of a user's state: each names the revision that it expects, here modulo 3, and owns the state until a purchase releases it."""
+    attempts = table(spark, d, "events").select("user_id", "ts", "event_id", F.col("event_type").alias("by"), (F.col("event_id") % 3).alias("expected"), (F.col("event_type") == "purchase").alias("release"))
+    found = sequences.compare_and_set(attempts, ["user_id"], ["ts", "event_id"], "expected", "by", "release", modulus=3)
+    return found.withColumn("owner", F.coalesce("owner", F.lit("-")))
 
 
 @query("t20_session_windows", "SELECT user_id, min(ts) AS start, count(*) AS n FROM (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, s")

@@ -165,10 +165,12 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, DOCS).select("doc_id", F.concat(key, F.lit("::0::"), F.substring(F.sha1(F.concat(key, F.lit(":0:"), "text")), 1, 16)).alias("chunk_id"), F.sha2("text", 256).alias("content_id"))
 
 
-@query("f47_rate_rules", "SELECT * FROM (VALUES ('5/minute', 5, 60), (' 10 / h ', 10, 3600), ('0/s', 1, 1), ('bad', 20, 30)) t(rule, \"limit\", window_seconds)")
+@query("f47_rate_rules", """SELECT event_id, CASE WHEN event_id % 8 < 6 THEN greatest(1, (props->>'$.k')::INT) ELSE 20 END AS "limit", CASE event_id % 8 WHEN 0 THEN 1 WHEN 1 THEN 60 WHEN 2 THEN 3600 WHEN 3 THEN 1 WHEN 4 THEN 60 WHEN 5 THEN 3600 ELSE 30 END AS window_seconds FROM events""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    rules = spark.createDataFrame([(r,) for r in ("5/minute", " 10 / h ", "0/s", "bad")], "rule string")
-    return rules.select("rule", text.parse_rate(F.col("rule"), 20, 30).alias("r")).select("rule", "r.*")
+    """A rule for each event: its number by units in both spellings, with blanks, and rules that are none."""
+    units = F.array(*map(F.lit, ("/s", " / m ", "/h", "/second", "/minute", " /hour", "/day", "per hour")))
+    rules = table(spark, d, "events").select("event_id", F.concat(F.get_json_object("props", "$.k"), F.get(units, (F.col("event_id") % 8).cast("int"))).alias("rule"))
+    return rules.select("event_id", text.parse_rate(F.col("rule"), 20, 30).alias("r")).select("event_id", "r.*")
 
 
 @query("f48_token_estimate", "SELECT doc_id, CASE WHEN length(trim(text)) > 0 THEN greatest(1, length(trim(text)) // 4) ELSE 0 END AS tokens FROM documents")
@@ -199,12 +201,18 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return grams.join(other, "item_id").select("item_id", F.round(similarity.map_cosine(F.col("a"), F.col("b")), 6).alias("similarity"))
 
 
-@query("f26_weighted_jaccard", "SELECT * FROM (VALUES (1, 0.739130), (2, 1.0), (3, 0.0), (4, 0.538462)) t(id, score)")
+@query("f26_weighted_jaccard", """WITH e AS (SELECT event_id, user_id, ts, event_type AS p, lag(event_type, 1) OVER w AS s1, lag(event_type, 2) OVER w AS s2, lag(event_type, 3) OVER w AS s3 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+o AS (SELECT *, list_distinct([x FOR x IN [s1, s2, s3] IF x IS NOT NULL AND x <> p]) AS d FROM e), m AS (SELECT *, [x FOR x IN [s1, s2, s3] IF list_contains(d, x)] AS l FROM o),
+t AS (SELECT event_id, p, len(d) AS n, l[1] AS a, [x FOR x IN l IF x <> l[1]][1] AS b FROM m), k AS (SELECT unnest(['view', 'click', 'purchase', 'signup', 'error', 'logout', 'login']) AS k UNION SELECT DISTINCT event_type FROM events),
+w AS (SELECT event_id, k, CASE WHEN k = p THEN CASE WHEN n = 0 THEN 1.0 ELSE 0.7 END WHEN k = a OR k = b THEN 0.3 / CASE WHEN b IS NULL THEN 1 ELSE 2 END ELSE 0.0 END::DOUBLE AS w FROM t, k),
+v AS (SELECT k, CASE k WHEN 'click' THEN 0.7 WHEN 'view' THEN 0.15 WHEN 'purchase' THEN 0.15 ELSE 0 END::DOUBLE AS v FROM k)
+SELECT event_id, round(sum(least(w, v)) / sum(greatest(w, v)), 6) AS score FROM w JOIN v USING (k) GROUP BY 1""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    rows = [(1, "m", ["a", "b"], "m", ["a", "c"]), (2, "m", ["a", "b"], "m", ["b", "a"]), (3, "m", [], "n", []), (4, "m", ["n"], "m", []), ]
-    pairs = spark.createDataFrame(rows, "id int, p string, s array<string>, q string, t array<string>")
-    score = similarity.weighted_jaccard(similarity.motive_weights(F.col("p"), F.col("s")), similarity.motive_weights(F.col("q"), F.col("t")))
-    return pairs.select("id", F.round(score, 6).alias("score"))
+    """Every event with the user's three before it as secondary motives, against a click with view and purchase beside it."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    rows = table(spark, d, "events").withColumn("before", F.array(*(F.lag("event_type", i).over(w) for i in (1, 2, 3))))
+    mine, other = similarity.motive_weights(F.col("event_type"), F.col("before")), similarity.motive_weights(F.lit("click"), F.array(F.lit("view"), F.lit("purchase")))
+    return rows.select("event_id", F.round(similarity.weighted_jaccard(mine, other), 6).alias("score"))
 
 
 @query("f27_trait_similarity", "SELECT l_orderkey, l_linenumber, CASE WHEN greatest(abs(l_quantity - 25), abs(l_discount * 500 - 25), abs(l_tax * 500 - 20)) <= 35 AND 1 - (abs(l_quantity - 25) + abs(l_discount * 500 - 25) + abs(l_tax * 500 - 20)) / 300 >= 0.75 THEN round(1 - (abs(l_quantity - 25) + abs(l_discount * 500 - 25) + abs(l_tax * 500 - 20)) / 300, 6) END AS similarity FROM lineitem")
