@@ -13,6 +13,7 @@ from textmill.plans.hybrid import _bm25_sql
 from textmill.plans.registry import query
 from textmill.session import scratch, table
 from textmill.sources import versioned
+from textmill.streaming import live
 
 LEVELS = ["low", "medium", "high"]
 
@@ -210,12 +211,18 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return rollups.latency_summary(rows, ["phase", "event_type"], "value").withColumn("grade", grade)
 
 
-@query("t17_resumed_crawl", """WITH c AS (SELECT page_id, 'https://' || lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)) AS host FROM pages) SELECT host, min(page_id) AS page_id FROM c WHERE page_id % 3 <> 0 AND host NOT IN (SELECT host FROM c WHERE page_id % 3 = 0) GROUP BY 1""")
+@query("t17_resumed_crawl", """WITH c AS (SELECT page_id, 'https://' || lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)) AS host FROM pages)
+SELECT host, coalesce(min(page_id) FILTER (WHERE page_id % 3 = 0), min(page_id) FILTER (WHERE page_id % 3 = 1), min(page_id)) AS page_id FROM c GROUP BY 1""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    """Hosts seen for the first time after an earlier run over every third page."""
+    """Hosts by the page that showed them first, over three runs of a crawl: the second goes on from the first one's checkpoint, the third has a checkpoint of its own and knows hosts from the stored table alone."""
     host = F.concat(F.lit("https://"), F.lower(F.regexp_extract("url", "^https?://([^/?#:]+)", 1)))
-    pages = table(spark, d, "pages").select(host.alias("host"), "page_id")
-    return history.new_only(pages.where("page_id % 3 <> 0"), pages.where("page_id % 3 = 0"), "host", [F.col("page_id")])
+    pages = table(spark, d, "pages").select(host.alias("host"), "page_id", F.timestamp_seconds("page_id").alias("at"))
+    source, path, out = (scratch(spark, x) for x in ("crawl", "hosts", "new"))
+    known = versioned.VersionedTable(spark, path, pages.select("host", "at").schema, ["host"], ["at"], 8)
+    for run, checkpoint in enumerate((first := scratch(spark, "crawl-state"), first, scratch(spark, "crawl-state"))):
+        pages.where(F.col("page_id") % 3 == run).coalesce(1).write.mode("append").parquet(source)
+        live.new_keys(live.event_stream(spark, source, pages), known, f"{out}/run={run // 2}", "host", "at", checkpoint).awaitTermination()
+    return spark.read.schema("host string, page_id long").parquet(*(f"{out}/run={r}/*" for r in (0, 1)))
 
 
 @query("t16_event_milestones", """WITH t AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i, role, text FROM conversations)

@@ -9,7 +9,7 @@ from textmill.operators import rollups, sequences
 from textmill.plans.registry import query
 from textmill.sources import files
 from textmill.session import table
-from textmill.streaming import windows
+from textmill.streaming import ordered, windows
 
 _SLIDES = "SELECT start, count(DISTINCT user_id) AS users FROM (SELECT user_id, unnest([time_bucket(INTERVAL 5 MINUTE, ts) - i * INTERVAL 5 MINUTE FOR i IN range(0, 3)]) AS start FROM events) GROUP BY 1"
 
@@ -81,6 +81,20 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return sequences.budget_reservations(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], "value", 100.0)
 
 
+@query("t11_leases")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Two leases of two hours for each user: an event acquires one for its kind, cheap ones first; purchases give that of clicks back."""
+    events = table(spark, d, "events").select("user_id", "ts", "event_id", (F.col("event_type") != "purchase").alias("acquire"), F.when(F.col("event_type") == "purchase", "click").otherwise(F.col("event_type")).alias("kind"), F.floor(F.col("value") / 20).alias("priority"))
+    return ordered.batch(events, ["user_id"], "ts", ["event_id"], ["acquire", "kind", "priority"], ordered.leases(2, 7200))
+
+
+@query("t13_bounded_cache")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """A cache of eight items and a day for each user; an item is a decade of an event's key, and errors invalidate it."""
+    events = table(spark, d, "events").select("user_id", "ts", "event_id", F.floor(F.get_json_object("props", "$.k").cast("int") / 5).alias("item"), (F.col("event_type") == "error").alias("invalidates"))
+    return ordered.batch(events, ["user_id"], "ts", ["event_id"], ["item", "invalidates"], ordered.cache(86_400, 8))
+
+
 @query("t14_versioned_upsert", "SELECT o_custkey, arg_max(o_orderkey, (o_orderpriority, o_orderdate, o_orderkey)) AS o_orderkey FROM orders GROUP BY 1")
 def _(spark: SparkSession, d: str) -> DataFrame:
     newest = F.max(F.struct("o_orderpriority", "o_orderdate", "o_orderkey")).alias("v")

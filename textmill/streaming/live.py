@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from textmill.session import written
 from textmill.sources.versioned import VersionedTable
 
 
@@ -66,5 +67,25 @@ def sync_corpus(stream: DataFrame, table: VersionedTable, checkpoint: str):  # n
     return sync_batches(stream, apply, checkpoint)
 
 
+def new_keys(stream: DataFrame, known: VersionedTable, out: str, key: str, ts: str, checkpoint: str, ttl: str | None = None):  # noqa: ANN201
+    """Write below ``out`` the first row of each key that no earlier row, of this or of an earlier run, has shown; ``known`` (key, ts) keeps them all.
+
+    With a ``ttl``, an interval such as ``7 days``, a key is new again that long after it was last new. A batch that is fed again writes the same rows
+    or, where it was finished, none. Null keys are left out.
+    """
+
+    def apply(batch: DataFrame, number: int) -> None:
+        if number <= known.manifest()["batches"].get(checkpoint, -1):
+            return
+        first = batch.where(F.col(key).isNotNull()).groupBy(key).agg(F.min_by(F.struct(*batch.columns), F.struct(ts, *(c for c in batch.columns if c not in (key, ts)))).alias("r")).select("r.*")
+        seen = known.read().select(F.col(key).alias("_key"), F.col(ts).alias("_ts"))
+        still = (F.col(key) == F.col("_key")) & (F.lit(True) if ttl is None else F.col(ts) < F.col("_ts") + F.expr(f"INTERVAL {ttl}"))
+        fresh = written(first.join(seen, still, "left_anti"), "new-keys")
+        fresh.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        known.merge(fresh.select(key, ts), number, checkpoint)
+
+    return sync_batches(stream, apply, checkpoint)
+
+
 def json_sink(stream: DataFrame, path: str, checkpoint: str):  # noqa: ANN201
     return stream.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
