@@ -327,3 +327,19 @@ def test_pipeline_stages_on_edge_rows(spark, tmp_path, docs, empty):
             assert found.columns == docs.columns and found.count() <= rows.count()
         packed = corpus_pipeline.pack_sequences(spark, rows, str(tmp_path))
         assert packed.select("doc_id").distinct().count() == rows.select("doc_id").distinct().count()
+
+
+def test_popular_simhash_buckets_are_cut_and_lose_no_link(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    base = np.int64(0x1234567812345678)
+    prints = {int(base)}
+    while len(prints) < 900:  # one half is nearly the same in all
+        p = int(base) ^ (int(rng.integers(0, 1 << 12)) << int(rng.integers(0, 20)))
+        prints.add(p ^ (1 << int(rng.integers(32, 63)) if rng.random() < 0.3 else 0))
+    prints |= {int(x) for x in rng.integers(-(1 << 62), 1 << 62, 200)}
+    df = spark.createDataFrame([(p,) for p in sorted(prints)], "fp long")
+    plain = connected_components(simhash.fingerprint_links(df)).collect()
+    monkeypatch.setattr(simhash, "popular_buckets", lambda d, most=50, f=simhash.popular_buckets: f(d, most))
+    assert simhash.popular_buckets(df).count() >= 32
+    cut = connected_components(simhash.fingerprint_links(df)).collect()
+    assert sorted(map(tuple, cut)) == sorted(map(tuple, plain)) and len(plain) > 700

@@ -20,6 +20,8 @@ SEGMENTS = 2
 WIDTH = 64 // SEGMENTS
 SMALL_GROUP = 24
 LARGE_GROUP = 4096  # a bucket of more fingerprints is searched by the bytes of the segment that it leaves open
+POPULAR = 20_000  # fingerprints with one segment beyond which its buckets are cut before the shuffle
+BROADCAST_BUCKETS = 1_000_000  # keys (8 bytes each) that may be broadcast
 
 
 def fingerprint(text: bytes | None) -> int:
@@ -117,7 +119,7 @@ def _links(keys: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray
         a.append(x[near])
         b.append(y[near])
     for at, n in zip(starts[sizes > SMALL_GROUP], sizes[sizes > SMALL_GROUP], strict=True):
-        x, y = _group_links(prints[at : at + n], int(keys[at] >> 32))
+        x, y = _group_links(prints[at : at + n], int(keys[at] >> 32) & 63)
         a.append(x)
         b.append(y)
     if not a:
@@ -164,19 +166,44 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
     Two fingerprints with 3 differing bits have one of two 32-bit segments in which at most one bit differs. Each
     segment is indexed under its 32 one-wildcard variants, so such a pair always shares a bucket. Buckets are joined by
     equality and verified; a bucket gives a spanning forest, not its pairs.
+
+    Buckets of popular segments are cut before they are brought together: of the four bytes of the other segment at least
+    one is equal in such a pair, so each fingerprint goes to four parts of its bucket, by byte, which lie in different tasks.
     """
     segment = f"(shiftrightunsigned(fp, {WIDTH} * (CAST(slot DIV {WIDTH} AS INT))) & {(1 << WIDTH) - 1}L)"
     key = F.expr(f"shiftleft(CAST(slot AS BIGINT), 32) | ({segment} & ~shiftleft(1L, slot % {WIDTH}))")
     variants = (
         distinct.select("fp", F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS * WIDTH - 1))).alias("slot"))
         .selectExpr("fp", "CAST(slot AS INT) AS slot")
-        .select(key.alias("key"), "fp")
+        .select(key.alias("key"), "fp", "slot")
+    )
+    popular = popular_buckets(distinct)
+    if popular is not None:
+        byte = F.expr(f"shiftrightunsigned(fp, 8 * part + IF(slot < {WIDTH}, {WIDTH}, 0)) & 255L")
+        parts = F.when(F.col("hot").isNotNull(), F.sequence(F.lit(0), F.lit(3))).otherwise(F.array(F.lit(None).cast("int")))
+        cut = F.when(F.col("part").isNull(), F.col("key")).otherwise(F.col("key").bitwiseOR(F.shiftleft(F.col("part").cast("long") + 1, 40)).bitwiseOR(F.shiftleft(byte, 44)))
+        variants = variants.join(popular, F.col("key") == F.col("hot"), "left").withColumn("part", F.explode(parts)).select(cut.alias("key"), "fp")
+    variants = (
+        variants.select("key", "fp")
         .repartition("key")
         .sortWithinPartitions("key")
     )
     return variants.mapInArrow(_linked, "a long, b long")
 
 
+def popular_buckets(distinct: DataFrame, most: int = POPULAR) -> DataFrame | None:
+    """Keys (column hot) of the buckets of segments that more than ``most`` fingerprints have, to be broadcast behind a count; null if there are none."""
+    low = (1 << WIDTH) - 1
+    held = distinct.select(F.explode(F.array(*(F.struct(F.lit(i).alias("segment"), F.expr(f"shiftrightunsigned(fp, {WIDTH * i}) & {low}L").alias("value")) for i in range(SEGMENTS)))).alias("s"))
+    hot = materialize(held.groupBy("s.segment", "s.value").agg(F.count("*").alias("n")).where(F.col("n") > most).select("segment", "value"), "popular-segments")
+    n = hot.count()
+    if not n:
+        return None
+    slots = hot.select("value", F.explode(F.sequence(F.col("segment") * WIDTH, F.col("segment") * WIDTH + WIDTH - 1)).alias("slot"))
+    keys = slots.select(F.expr(f"shiftleft(CAST(slot AS BIGINT), 32) | (value & ~shiftleft(1L, slot % {WIDTH}))").alias("hot")).distinct()
+    return F.broadcast(keys) if n * WIDTH <= BROADCAST_BUCKETS else keys
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp, component): component is the smallest id reachable over links of at most three bits.
 
