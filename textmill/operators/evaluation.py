@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textmill.operators import rollups
+
 
 def recall_at_k(found: DataFrame, exact: DataFrame, keys: list[str], id_col: str, k: int) -> DataFrame:
     """Overlap of two ranked lists over min(k, exact size), at least 1."""
@@ -86,3 +88,28 @@ def profile_failures(documents: DataFrame, profiles: DataFrame) -> DataFrame:
         F.size(F.array_distinct(F.flatten(F.collect_set(places("terms"))))).alias("t_hit"), F.size(F.array_distinct(F.flatten(F.collect_set(places("scopes"))))).alias("s_hit"), bundled.alias("bundled")
     )
     return one.select("case_id", "profile_id", (F.col("t_hit") < F.col("t")).alias("missing_terms"), (F.col("s_hit") < F.col("s")).alias("missing_scope"), (~F.col("bundled")).alias("unbundled"))
+
+
+def load_report(samples: DataFrame, run: str, user: str, phase: str, wait: str, phases: dict[str, tuple[float, float]]) -> tuple[DataFrame, DataFrame]:
+    """(metrics, runs) of load runs from waits by run, user and phase.
+
+    Metrics have a row for each run and phase of ``phases`` (its smooth and acceptable limit) and one for ``joint``, the longest wait of each
+    user who has all phases, with the largest limits: users who should be there (all of the run), ``missing`` ones, p50, p95, the longest wait and
+    a grade. A phase is ``poor`` where users are missing or the limits fail, ``smooth`` or ``acceptable`` where p95 is within the limit and no wait is
+    over twice that. Runs have how many users finished all phases, which metrics are poor, and the worst grade. Null waits are missing; other phases do not count.
+    """
+    kept = samples.where(F.col(phase).isin(*phases)).groupBy(run, user, phase).agg(F.max(wait).alias("wait")).where("wait is not null")
+    joint = kept.groupBy(run, user).agg(F.count("*").alias("n"), F.max("wait").alias("wait")).where(F.col("n") == len(phases)).select(run, user, F.lit("joint").alias(phase), "wait")
+    rows = kept.select(run, user, phase, "wait").unionByName(joint)
+    limits = phases | {"joint": tuple(max(x) for x in zip(*phases.values(), strict=True))}
+    users = samples.groupBy(run).agg(F.count_distinct(user).alias("users"))
+    asked = users.select(run, "users", F.explode(F.array(*(F.struct(F.lit(p).alias(phase), F.lit(float(a)).alias("smooth"), F.lit(float(b)).alias("acceptable")) for p, (a, b) in limits.items()))).alias("x")).select(run, "users", "x.*")
+    found = rollups.latency_summary(rows, [run, phase], "wait")
+    rows = asked.join(found, [run, phase], "left").withColumn("missing", F.col("users") - F.coalesce("n", F.lit(0)))
+    within = lambda limit: (F.col("missing") == 0) & (F.col("p95") <= F.col(limit)) & (F.col("top") <= 2 * F.col(limit))
+    grade = F.when(within("smooth"), "smooth").when(within("acceptable"), "acceptable").otherwise("poor")
+    metrics = rows.select(run, phase, "users", "missing", "p50", "p95", "top", grade.alias("grade"))
+    poor = F.sort_array(F.collect_list(F.when(F.col("grade") == "poor", F.col(phase))))
+    status = F.when(F.size("poor") > 0, "poor").when(F.col("fair"), "acceptable").otherwise("smooth")
+    runs = metrics.groupBy(run).agg(F.max("users").alias("users"), F.max(F.when(F.col(phase) == "joint", F.col("users") - F.col("missing"))).alias("finished"), poor.alias("poor"), F.bool_or(F.col("grade") == "acceptable").alias("fair"))
+    return metrics, runs.select(run, "users", "finished", "poor", status.alias("status"))

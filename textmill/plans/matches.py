@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textmill.functions import similarity, spans
-from textmill.operators import citations, evaluation, history, ranking
+from textmill.operators import citations, evaluation, history, ranking, rollups
 from textmill.plans.hybrid import _bm25_sql
 from textmill.plans.registry import query
 from textmill.session import scratch, table
@@ -204,13 +204,28 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 @query("x16_load_report", """SELECT strftime(ts, '%Y-%m-%d') AS phase, event_type, count(value) AS n, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99, max(value) AS top,
 CASE WHEN quantile_disc(value, 0.95) <= 20 THEN 'smooth' WHEN quantile_disc(value, 0.95) <= 40 THEN 'acceptable' ELSE 'poor' END AS grade FROM events GROUP BY 1, 2""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    from textmill.operators import rollups
-
     rows = table(spark, d, "events").withColumn("phase", F.date_format("ts", "yyyy-MM-dd"))
     grade = F.when(F.col("p95") <= 20, "smooth").when(F.col("p95") <= 40, "acceptable").otherwise("poor")
     return rollups.latency_summary(rows, ["phase", "event_type"], "value").withColumn("grade", grade)
 
 
+_PHASES = {"view": (70, 90), "click": (70, 90), "purchase": (60, 100)}
+
+
+@query("x16_phase_report", """WITH w AS (SELECT user_id % 7 AS run, user_id, event_type AS phase, max(value) AS wait FROM events WHERE event_type IN ('view', 'click', 'purchase') GROUP BY 1, 2, 3),
+a AS (SELECT * FROM w UNION ALL SELECT run, user_id, 'joint', max(wait) FROM w GROUP BY 1, 2 HAVING count(*) = 3), u AS (SELECT user_id % 7 AS run, count(DISTINCT user_id) AS users FROM events GROUP BY 1),
+l(phase, smooth, fair) AS (VALUES ('view', 70, 90), ('click', 70, 90), ('purchase', 60, 100), ('joint', 70, 100)),
+m AS (SELECT run, phase, any_value(users) AS users, any_value(users) - count(wait) AS missing, quantile_disc(wait, 0.95) AS p95, max(wait) AS top, any_value(smooth) AS smooth, any_value(fair) AS fair FROM u CROSS JOIN l LEFT JOIN a USING (run, phase) GROUP BY 1, 2),
+g AS (SELECT *, CASE WHEN missing = 0 AND p95 <= smooth AND top <= 2 * smooth THEN 'smooth' WHEN missing = 0 AND p95 <= fair AND top <= 2 * fair THEN 'acceptable' ELSE 'poor' END AS grade FROM m)
+SELECT run, max(users) AS users, max(users - missing) FILTER (WHERE phase = 'joint') AS finished, coalesce(string_agg(phase, ',' ORDER BY phase) FILTER (WHERE grade = 'poor'), '') AS poor,
+CASE WHEN bool_or(grade = 'poor') THEN 'poor' WHEN bool_or(grade = 'acceptable') THEN 'acceptable' ELSE 'smooth' END AS status FROM g GROUP BY 1""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Users in seven runs with three phases each: what is missing, what was slow, and the worst grade of each run."""
+    events = table(spark, d, "events").select((F.col("user_id") % 7).alias("run"), "user_id", "event_type", "value")
+    _, runs = evaluation.load_report(events, "run", "user_id", "event_type", "value", _PHASES)
+    return runs.withColumn("poor", F.array_join("poor", ","))
+
+
 @query("t17_resumed_crawl", """WITH c AS (SELECT page_id, 'https://' || lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)) AS host FROM pages)
 SELECT host, coalesce(min(page_id) FILTER (WHERE page_id % 3 = 0), min(page_id) FILTER (WHERE page_id % 3 = 1), min(page_id)) AS page_id FROM c GROUP BY 1""")
 def _(spark: SparkSession, d: str) -> DataFrame:
