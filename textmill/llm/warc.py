@@ -16,7 +16,7 @@ from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textmill.llm.common import materialize, prepare, rows_of, tidy
@@ -379,7 +379,7 @@ def gaps(found: DataFrame) -> DataFrame:
     return found.where(F.col("reason").isNotNull()).select("archive", "at", "bytes", "reason")
 
 
-def resolved(found: DataFrame, spark: SparkSession | None = None) -> DataFrame:
+def resolved(found: DataFrame) -> DataFrame:
     """Records with the payload of revisits taken from the response of their digest, for readers who need the bodies."""
     rows = records(found)
     bodies = rows.where("record_type = 'response'").groupBy("payload_digest").agg(F.first("payload").alias("_body"))
