@@ -172,8 +172,70 @@ def test_selected_candidates_meet_quotas_and_keep_order(spark, sf_dir):
             assert sum(langs[d] == lang for d in picked) >= min(least, sum(langs[d] == lang for d in order))
 
 
+def ranked_items(spark, sf_dir) -> dict[int, list]:
+    from textmill.plans.selection import _ranked
+
+    items = defaultdict(list)
+    for r in _ranked(spark, sf_dir).orderBy("query_id", "rank").collect():
+        items[r.query_id].append((r["rank"], r.id, r.scope, r.source, set(r.terms)))
+    return items
+
+
+def answers(spark, sf_dir, name: str) -> dict[int, list]:
+    found = defaultdict(list)
+    for r in QUERIES[name](spark, sf_dir).orderBy("query_id", "position").collect():
+        found[r.query_id].append(r.id)
+    return found
+
+
+def test_quotas_of_all_items(spark, sf_dir):
+    liked, want = {"the", "of", "la"}, {}
+    for q, rows in ranked_items(spark, sf_dir).items():
+        taken: list = []
+        for scope in ("fr", "de", "en", "en", None):  # the minimums, one place after the other; then whatever is best
+            for _ in range(1 if scope else 8 - len(taken)):
+                shown = set().union(*(t[4] & liked for t in taken))
+                pool = [r for r in rows if r not in taken and scope in (None, r[2])]
+                gain = lambda r, shown=shown: len((r[4] & liked) - shown)
+                pool = [r for r in pool if gain(r) == max(map(gain, pool))]
+                if scope:  # among equal gains the most liked words
+                    pool = [r for r in pool if len(r[4] & liked) == max(len(x[4] & liked) for x in pool)]
+                taken += pool[:1]
+        want[q] = [r[1] for r in sorted(taken)]
+    assert answers(spark, sf_dir, "k11_quota_selection") == want and want
+
+
+def test_prefixes_of_all_items(spark, sf_dir):
+    want = {}
+    for q, rows in ranked_items(spark, sf_dir).items():
+        head: list = []
+        for scope in ("en", "en", "en", "es"):
+            known = set().union(*(h[4] for h in head))
+            pool = sorted((r for r in rows if r not in head and r[2] == scope), key=lambda r, known=known: (len(r[4] & known) - len(r[4]), -len(r[4]), r[0]))
+            head += pool[:1]
+        while len(head) < min(8, len(rows)):
+            rest = [r for r in rows if r not in head]
+            rare = [r for r in rest if Counter(h[3] for h in head)[r[3]] < 2]
+            head.append((rare or rest)[0])
+        want[q] = [r[1] for r in head + [r for r in rows if r not in head]]
+    assert answers(spark, sf_dir, "k12_prefix_reorder") == want and want
+
+
+def test_structured_chunks_lose_no_word(spark, sf_dir):
+    from textmill.plans.structure import _markdown
+
+    found = defaultdict(list)
+    for r in QUERIES["f19_structured_chunks"](spark, sf_dir).orderBy("doc_id", "index").collect():
+        found[r.doc_id].append(r)
+    words = lambda t: re.findall(r"[^\W_]+", t)
+    for d, text in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", _markdown().alias("m")).collect():
+        chunks = found[d]
+        assert all(len(c.text) <= 1000 or c.kind != "paragraph" for c in chunks) and [c["index"] for c in chunks] == list(range(len(chunks)))
+        have = Counter(w for c in chunks for w in words(f"{c.section} {c.text}"))
+        rest = Counter(w for line in (text or "").split("\n") if not line.startswith("#") for w in words(line)) - have
+        assert sum(rest.values()) <= 0.02 * max(50, sum(have.values())), (d, rest.most_common(5))
+
+
 def test_parts_of_other_queries(spark, sf_dir):
-    for name in ("k11_quota_selection", "k12_prefix_reorder", "f19_structured_chunks"):
-        assert QUERIES[name](spark, sf_dir).count() > 0
     assert spans.event_milestones([(0.5, "event: a\nda"), (1.0, "ta: x\n\n"), (2.0, "data: y\n\n")]) == [("a", "x", 1.0), ("message", "y", 2.0)]
     assert text.merge_chunks("a\n\nb", 10, 2) == ["a\nb"]
