@@ -86,3 +86,11 @@ def test_near_licences_and_tags_are_told_apart(spark):
     df = spark.createDataFrame([(i, f"{i}/file", t) for i, (_, t) in enumerate(rows)], "doc_id long, path string, text string")
     found = {r.id: r.license for r in license_scan.scan(df, F.col("path")).collect()}
     assert {i: found[i] for i in range(len(rows))} == {i: k for i, (k, _) in enumerate(rows)}
+
+
+def test_words_of_most_files_are_no_signal():
+    templates = {(0, "A"): {"the": 60.0, "x": 50.0, "y": 50.0, "z": 50.0}, (1, "B"): {"the": 2.0, "u": 50.0, "v": 50.0}}
+    weights = {"the": 2.0, "u": 50.0, "v": 50.0, "x": 50.0, "y": 50.0, "z": 50.0}
+    signal = license_scan.signal_terms(templates, 0.36, weights)
+    assert "the" not in signal
+    assert all(sum(w for t, w in words.items() if t not in signal) < 0.36 * sum(words.values()) for words in templates.values())
