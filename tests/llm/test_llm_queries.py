@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import random
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -13,7 +18,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tests.oracle import compare
-from textmill.llm import chat, language_id, packing
+from textmill.llm import chat, language_id, packing, tokenization
 from textmill.llm.queries import ORACLE_SQL, QUERIES
 from textmill.llm.tokenization import PieceEncoder
 
@@ -135,6 +140,52 @@ def test_piece_encoder_equals_the_library(name, sf_dir):
         assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode([t.encode() for t in texts])] == [ids_of(name, t, 9)[:-1].tolist() for t in texts]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_pieces_of_any_bytes_equal_the_library(name, monkeypatch):
+    rng = random.Random(7)
+    atoms = ["a", "B", "foo", "É", "ß", "×", "÷", "é", "J\u030c", "12", "7", "'s", "'LL", "'", ",", "...", "$$$", " ", " ", " ", "\n", "\n", "\t", "\x00", "\x1c", "\u00a0", "日本", "ſ", "İ", "\x7f", "\U0001f600", "ﬁ"]
+    texts = ["".join(rng.choices(atoms, k=rng.randint(1, 12))) for _ in range(3000)] + [" ", "\n", "\t \n", " a", "a "]
+    monkeypatch.setattr(tokenization, "MOST_CACHED", 500)  # pieces are forgotten all the time
+    monkeypatch.setattr(tokenization, "_numbers", lambda pieces, f=tokenization._numbers: f(pieces) % np.uint64(1999))  # and many share a number
+    encoder = PieceEncoder(public_tokenizers.path(name))
+    for size in (1, 7, 1000):
+        for at in range(0, len(texts), size):
+            part = texts[at : at + size]
+            assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode([t.encode() for t in part])] == [ids_of(name, t, 9)[:-1].tolist() for t in part]
+    assert len(encoder.cache.keys) <= 500 and encoder.encode([None, b"", b" \n" if encoder.drops_spaces else b""]) == [b"", b"", b""]
+
+
+def test_words_with_marks_are_encoded_once():
+    words, marks = [f"{a}{b}word" for a in "abcdefghij" for b in "klmnopqrst"], [".", ",", "!!", "$$$", "&&&", ".\n12", "***", "###"]
+    text = "x " + " ".join(w + m for w in words for m in marks)
+    encoder = PieceEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert np.frombuffer(encoder.encode([text.encode()])[0], "<u4").tolist() == ids_of("byte_bpe_50k.json", text, 9)[:-1].tolist()
+    assert len(encoder.cache.keys) == 1 + len(words) + 9  # "x", seven marks, "\n", "12"; before, each word with each mark
+
+
+_GROWTH = """
+import random, sys
+sys.path.insert(0, sys.argv[2])
+from textmill.llm.tokenization import PieceEncoder
+anon = lambda: next(int(x.split()[1]) >> 10 for x in open("/proc/self/status") if x.startswith("RssAnon"))
+encoder, rng, most = PieceEncoder(sys.argv[1]), random.Random(5), 0
+encoder.encode([b"some words"])
+before = anon()
+for _ in range(14):
+    encoder.encode([" ".join("".join(rng.choices("abcdefghijklmnop", k=9)) for _ in range(100)).encode() for _ in range(1000)])
+    most = max(most, anon() - before)
+print(most)
+"""
+
+
+def test_an_encoder_of_words_that_are_all_different_stays_small():
+    if not os.path.exists("/proc/self/status"):
+        pytest.skip("memory is read from /proc")
+    root = str(Path(tokenization.__file__).parents[2])
+    most = int(subprocess.run([sys.executable, "-c", _GROWTH, public_tokenizers.path("word_bpe_49k.json"), root], capture_output=True, check=True, text=True).stdout)
+    assert most < 100
+
+
 def test_differencing_is_balanced_and_whole():
     rng = np.random.default_rng(3)
     lengths = rng.integers(1, 4096, 500).tolist()
