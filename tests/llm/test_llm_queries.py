@@ -179,6 +179,7 @@ print(most)
 
 
 def test_an_encoder_of_words_that_are_all_different_stays_small():
+    """Packing in the pipeline: two workers share an executor with the JVM. The cache of bytes in dictionaries grew by 173 MB here."""
     if not os.path.exists("/proc/self/status"):
         pytest.skip("memory is read from /proc")
     root = str(Path(tokenization.__file__).parents[2])
