@@ -66,3 +66,10 @@ def test_all_matching_and_all_ranked_rows(spark, sf_dir, tmp_path):
     assert QUERIES["p17_catalog_filter"](spark, str(tmp_path)).count() > 100
     ranked = QUERIES["k17_parent_ranking"](spark, str(tmp_path)).collect()
     assert len(ranked) > 50 and ranked == sorted(ranked, key=lambda r: (r.best, -r.n, r.l_suppkey))
+
+
+def test_last_lines_with_numbers_are_no_dates(spark, tmp_path):
+    endings = ["", None, "+1 (235) 555-2058 un.", "4512160218721939", "a\nwh 2019 thes.  ", "In March 2019", "March 20190", "\n \n"]
+    docs = [(4 * i + k, None if t is None else f"Words of a text.\n{t}", f"src{k}") for i, t in enumerate(endings) for k in range(4)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").toPandas().to_parquet(f"{tmp_path}/documents.parquet")
+    compare(spark, QUERIES["f05_footers"], ORACLE_SQL["f05_footers"], str(tmp_path))

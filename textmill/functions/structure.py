@@ -20,11 +20,12 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, _EDGES, "")
 
 
-def strip_footer(text: Column, signature: list[str | None], link_at: int, link_prefix: str, owner_at: int, near_end: int = 20) -> Column:
+def strip_footer(text: Column, signature: list[str | None], link_at: int, link_prefix: str, owner_at: int, near_end: int = 20, date: str = r"\b(19|20)\d{2}\b") -> Column:
     """(content, last_changed, owner, removed): a text without its editorial footer.
 
     A footer is the whole ``signature`` of non-blank lines, null standing for any, within the last ``near_end`` of them; its link and its
-    owner line (after the last comma) must fit. A short line with a year before it is the date of the last change.
+    owner line (after the last comma) must fit. A short line before it in which ``date`` is found, any year
+    unless a site's dates have a stricter form, is the date of the last change.
     """
     plain = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), "\u00a0\u3000", "  "), "[\u200b-\u200d\ufeff]", "")
     lines = F.transform(F.split(plain, r"\r?\n", -1), lambda x: F.regexp_replace(x, r"\s+$", ""))
@@ -49,7 +50,7 @@ def strip_footer(text: Column, signature: list[str | None], link_at: int, link_p
 
     def result(rows: Column, p: Column) -> Column:
         before = said(rows, p - 1)
-        dated = F.coalesce((p > 0) & (F.char_length(before) <= 64) & before.rlike(r"(19|20)\d{2}"), F.lit(False))
+        dated = F.coalesce((p > 0) & (F.char_length(before) <= 64) & before.rlike(date), F.lit(False))
         end = F.when(p.isNull(), F.size(lines)).otherwise(F.when(dated, F.get(rows, p - 1)["at"]).otherwise(F.get(rows, p)["at"]))
         owner = clean_inline(F.regexp_extract(said(rows, p + owner_at), ",([^,]*)$", 1))
         return F.struct(
