@@ -43,3 +43,7 @@ def test_exact_neighbours_are_those_of_all_cosines(spark, monkeypatch, k):
 
 def test_recall_compares_no_pairs_of_rows(spark, sf_dir):
     assert pairless(QUERIES["e01_recall_at_k"](spark, sf_dir))
+
+
+def test_exact_knn_compares_no_pairs_of_rows(spark, sf_dir):
+    assert pairless(QUERIES["k01_exact_knn"](spark, sf_dir))
