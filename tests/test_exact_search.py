@@ -47,3 +47,19 @@ def test_recall_compares_no_pairs_of_rows(spark, sf_dir):
 
 def test_exact_knn_compares_no_pairs_of_rows(spark, sf_dir):
     assert pairless(QUERIES["k01_exact_knn"](spark, sf_dir))
+
+
+@pytest.mark.parametrize("k", [1, 7, 400])
+def test_nearest_ids_are_those_of_all_distances(spark, monkeypatch, k):
+    rng = random.Random(k)
+    ids = [rng.randrange(-500, 900) for _ in range(250)] + [7, 7, 7, None]
+    rows = spark.createDataFrame([(i,) for i in ids], "vec_id long").repartition(5)
+    asked = [-10_000, -3, 7, 8, 500, 10_000]
+    queries = spark.createDataFrame([(q,) for q in asked], "query_id long")
+    monkeypatch.setattr(ranking, "PRODUCTS", 20)
+    found = sorted((r.query_id, r["rank"], r.vec_id) for r in ranking.nearest_ids(rows, queries, "vec_id", k).collect())
+    assert found == sorted((q, i, x) for q in asked for i, x in enumerate(sorted((x for x in ids if x is not None), key=lambda x: (abs(x - q), x))[:k], 1))
+
+
+def test_weighted_fusion_compares_no_pairs_of_rows(spark, sf_dir):
+    assert pairless(QUERIES["k09_weighted_rrf"](spark, sf_dir))

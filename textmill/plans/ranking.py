@@ -128,8 +128,7 @@ SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)
 
 def _branches(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     vectors, queries = table(spark, d, "embeddings"), _queries(spark, d)
-    near = ranking.beside(vectors.select("vec_id"), queries.select("query_id"))
-    return ranking.knn(vectors, queries, "vec_id", "embedding", 28), ranking.top_k(near, ["query_id"], [F.abs(F.col("vec_id") - F.col("query_id")), F.col("vec_id")], 28)
+    return ranking.knn(vectors, queries, "vec_id", "embedding", 28), ranking.nearest_ids(vectors, queries, "vec_id", 28)
 
 
 @query("k09_weighted_rrf", _RRF)
