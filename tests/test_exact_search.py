@@ -63,3 +63,7 @@ def test_nearest_ids_are_those_of_all_distances(spark, monkeypatch, k):
 
 def test_weighted_fusion_compares_no_pairs_of_rows(spark, sf_dir):
     assert pairless(QUERIES["k09_weighted_rrf"](spark, sf_dir))
+
+
+def test_rerank_fusion_compares_no_pairs_of_rows(spark, sf_dir):
+    assert pairless(QUERIES["k10_rerank_fusion"](spark, sf_dir))
