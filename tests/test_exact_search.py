@@ -7,7 +7,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from textmill.operators import ranking
+from textmill.functions import similarity
+from textmill.operators import history, ranking
 from textmill.plans import QUERIES
 
 
@@ -67,3 +68,38 @@ def test_weighted_fusion_compares_no_pairs_of_rows(spark, sf_dir):
 
 def test_rerank_fusion_compares_no_pairs_of_rows(spark, sf_dir):
     assert pairless(QUERIES["k10_rerank_fusion"](spark, sf_dir))
+
+
+def test_reply_matches_compare_no_pairs_of_rows(spark, sf_dir):
+    assert pairless(QUERIES["f29_reply_matches"](spark, sf_dir))
+
+
+@pytest.mark.parametrize("alike", [False, True])
+def test_replies_are_those_of_all_pairs(spark, monkeypatch, alike):
+    rng = random.Random(5)
+    words = ["alpha", "alpine", "beta", "better", "gamma", "gala", "delta", "42", "Σίσυφος", "ﬁne"]
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    pairs = [(i // 3, i % 3, say(rng.randint(1, 5)), say(rng.randint(3, 9)), i % 3 + 1, rng.choice(["", "?!", say(6)])) for i in range(150)]
+    pairs += [(60 + i, 0, "alpha beta gamma", f"gala delta {say(2)}", 1, "") for i in range(8)] + [(70 + i, 0, "alpha beta gamma", "42 42 delta", 1, "") for i in range(8)] + [(None, 0, "alpha beta gamma", "better better", 1, ""), (80, 0, "zzzzzzzzzz", "q", 1, "")]
+    names = ["conv_id", "turn", "said", "reply", "reply_turn", "around"]
+    df = spark.createDataFrame(pairs, "conv_id long, turn long, said string, reply string, reply_turn long, around string").repartition(4)
+    session = lambda a, b: 0.8 if alike else (a * b % 7) / 7
+    like, want = similarity.bigram_cosine, {}
+    for c, n, said, _, _, around in (p for p in pairs if p[0] is not None and (p[0] % 4 == 0 or p[0] >= 60) and sum(x.isalnum() for x in p[2]) >= 8):
+        mine, found = [p[3] for p in pairs if p[0] == c], []
+        for fc, fn, fsaid, reply, reply_turn, faround in pairs:
+            if fc in (None, c) or like(said, fsaid) < 0.6 or (around and faround and like(around, faround) < 0.45) or max(like(reply, x) for x in mine) >= 0.96:
+                continue
+            found.append((round(0.6 * like(said, fsaid) + 0.2 * like(around, faround) + 0.2 * session(c, fc), 6), reply_turn, fc, fn))
+        if found:
+            want[c, n] = max(found)
+    assert len(want) > 30 and (80, 0) not in want
+    score = F.lit(0.8) if alike else F.coalesce(F.col("conv_id") * F.col("from_conv") % 7 / 7, F.lit(0.0))
+    asked = df.where("conv_id % 4 = 0 or conv_id >= 60").select("conv_id", "turn", "said", "around")
+    for most, rows, cells in ((10_000, 512, 1 << 23), (9, 7, 60)):
+        monkeypatch.setattr(ranking, "SMALL_QUERIES", most)
+        monkeypatch.setattr(history, "ROWS", rows)
+        monkeypatch.setattr(history, "CELLS", cells)
+        got = history.reply_matches(asked, df.select(names), 0.6, score, (0.8, 0.8) if alike else (0.0, 1.0)).where("from_conv is not null").collect()
+        same = {(r.conv_id, r.turn): (r.score, r.from_conv, r.from_turn) for r in got}
+        assert {k: v for k, v in same.items() if k in want and v[1] in {p[0] for p in pairs}} == {k: (s, c, n) for k, (s, _, c, n) in want.items()}
