@@ -103,3 +103,28 @@ def test_replies_are_those_of_all_pairs(spark, monkeypatch, alike):
         got = history.reply_matches(asked, df.select(names), 0.6, score, (0.8, 0.8) if alike else (0.0, 1.0)).where("from_conv is not null").collect()
         same = {(r.conv_id, r.turn): (r.score, r.from_conv, r.from_turn) for r in got}
         assert {k: v for k, v in same.items() if k in want and v[1] in {p[0] for p in pairs}} == {k: (s, c, n) for k, (s, _, c, n) in want.items()}
+
+
+def test_flagship_builds_no_index_and_no_copies_of_texts(spark, sf_dir, monkeypatch):
+    from textmill.operators import inverted, joins
+
+    monkeypatch.setattr(inverted.InvertedIndex, "add", None)  # an index of all words took most of the time
+    assert QUERIES["hybrid_retrieval"](spark, sf_dir).count() > 0
+    facts = spark.createDataFrame([("of the",), ("x",)], "fact string")
+    found = joins.contained_facts(spark.read.parquet(f"{sf_dir}/documents.parquet"), facts, "text", "fact", ["doc_id"])
+    assert found.columns == ["doc_id", "fact"] and "Generate" not in plan(found)
+
+
+@pytest.mark.parametrize("held", [1 << 19, 3])
+def test_bm25_of_a_scan_is_that_of_joins(spark, monkeypatch, held):
+    rng = random.Random(held)
+    texts = [(i, " ".join(rng.choice("abcdefghij") * rng.randint(1, 2) for _ in range(rng.randint(0, 30)))) for i in range(400)] + [(500 + i, "a b c") for i in range(30)] + [(600, None), (601, "")]
+    docs = spark.createDataFrame(texts, "id long, text string").repartition(3)
+    queries = spark.createDataFrame([(i, " ".join(rng.sample("abcdefghijz", 3))) for i in range(30)] + [(99, "zz"), (98, None)], "item long, said string")
+    for name, value in {"HELD": held, "SLICE": 64, "CHUNK": 7}.items():
+        monkeypatch.setattr(ranking, name, value)
+    run = lambda: sorted(map(str, ranking.bm25(docs, queries, "id", "text", "item", "said", 12).select("item", "id", "score", "rank").collect()))
+    scanned = run()
+    monkeypatch.setattr(ranking, "SMALL_QUERIES", 1)
+    want = run()
+    assert len(scanned) > 300 and [r.split("score")[0] for r in scanned] == [r.split("score")[0] for r in want]

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textmill.session import written
 
@@ -44,19 +49,51 @@ def rarest_words(facts: DataFrame, fact_col: str) -> DataFrame:
     return each.join(common, "_first").groupBy(fact_col, "_fact").agg(F.min_by("_first", F.struct("_n", (-F.char_length("_first")).alias("_l"), "_first")).alias("_first"))
 
 
-def contained_facts(queries: DataFrame, facts: DataFrame, query_col: str, fact_col: str) -> DataFrame:
-    """Facts whose normalised words stand in a query as whole words: an equi-join on the word of the fact that fewest facts have, then containment.
+_WORD = re.compile(r"[^\W_]+")
+
+
+def _held(shared, names: list[str]) -> Callable:  # noqa: ANN001
+    """(text, other columns) -> the other columns beside the number of each fact that the text holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_word = shared.value
+        for batch in batches:
+            rows, facts = [], []
+            for i, text in enumerate(batch.column(0).to_pylist()):
+                words = _WORD.findall((text or "").lower())
+                found = by_word.keys() & set(words)
+                plain = f" {' '.join(words)} " if found else ""
+                for word in found:
+                    mine = [n for n, fact in by_word[word] if fact in plain]
+                    rows += [i] * len(mine)
+                    facts += mine
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(c.take(at) for c in batch.columns[1:]), pa.array(facts, pa.int32())], names)
+
+    return run
+
+
+def contained_facts(queries: DataFrame, facts: DataFrame, query_col: str, fact_col: str, keep: list[str] | None = None) -> DataFrame:
+    """Facts whose normalised words stand in a query as whole words, beside the query's columns, or those of ``keep``.
 
-    Of equally rare words the longest is taken, then the first by alphabet: facts that all begin alike still spread over their other words.
-    Where the facts are few, a query's other words are left out before it is multiplied by its words. A fact without words is in no query.
+    Facts meet queries on the word that fewest facts have; of equally rare words the longest, then the first by alphabet: facts that all begin
+    alike still spread over their other words. SMALL_FACTS facts at most are broadcast by that word, and each query is read once where it
+    lies; more are joined on it. A fact without words is in no query.
     """
+    keep = keep or queries.columns
     keyed = written(rarest_words(facts, fact_col), "keyed-facts")
-    words = F.array_distinct(F.split(F.trim("_query"), " "))
-    firsts = [r[0] for r in keyed.select("_first").distinct().limit(SMALL_FACTS + 1).collect()]
-    if len(firsts) <= SMALL_FACTS:
-        words = F.array_intersect(words, F.lit(firsts) if firsts else F.array().cast("array<string>"))
-    said = queries.withColumn("_query", normalized(query_col)).withColumn("_first", F.explode(words))
-    return said.join(keyed, "_first").where(F.contains("_query", "_fact")).drop("_query", "_fact", "_first")
+    asked = keyed.limit(SMALL_FACTS + 1).collect()
+    if len(asked) > SMALL_FACTS:
+        said = queries.withColumn("_query", normalized(query_col)).withColumn("_first", F.explode(F.array_distinct(F.split(F.trim("_query"), " "))))
+        return said.join(keyed, "_first").where(F.contains("_query", "_fact")).select(*keep, *keyed.drop("_fact", "_first").columns)
+    spark, by_word = queries.sparkSession, {}
+    for n, r in enumerate(asked):
+        by_word.setdefault(r._first, []).append((n, r._fact))
+    number = T.StructField("_n", T.IntegerType())
+    out = T.StructType([*(queries.schema[c] for c in keep), number])
+    found = queries.select(F.col(query_col).alias("_text"), *keep).mapInArrow(_held(spark.sparkContext.broadcast(by_word), out.names), out)
+    named = spark.createDataFrame([(n, r[fact_col]) for n, r in enumerate(asked)], T.StructType([number, facts.schema[fact_col]]))
+    return found.join(F.broadcast(named), "_n").drop("_n")
 
 
 def with_stats(df: DataFrame, one_row: DataFrame) -> DataFrame:
