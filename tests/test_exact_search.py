@@ -128,3 +128,10 @@ def test_bm25_of_a_scan_is_that_of_joins(spark, monkeypatch, held):
     monkeypatch.setattr(ranking, "SMALL_QUERIES", 1)
     want = run()
     assert len(scanned) > 300 and [r.split("score")[0] for r in scanned] == [r.split("score")[0] for r in want]
+
+
+def test_selection_builds_no_index(spark, sf_dir, monkeypatch):
+    from textmill.operators import inverted
+
+    monkeypatch.setattr(inverted.InvertedIndex, "add", None)
+    assert QUERIES["hybrid_selection"](spark, sf_dir).count() > 0
